@@ -7,6 +7,8 @@ observations, nations are states.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,41 @@ class Catalog:
                 .withColumn("DAYS", F.explode(F.sequence(F.lit(1), F.lit(10))))
                 .select("STATE", F.concat(F.lit("C"), "i").alias("COUNTY"), "DAYS",
                         (20 + 2 * F.col("DAYS")).cast("double").alias("COUNTY_MAX")))
+
+    @property
+    def places(self) -> DataFrame:
+        """Many places with a value, one per customer."""
+        k = F.col("c_custkey")
+        return self.table("customer").select(
+            k.alias("ID"), (-125 + (k * 37 % 6007) / 100.0).alias("LONGITUDE"),
+            (30 + (k * 53 % 2003) / 100.0).alias("LATITUDE"),
+            (k * 89 % 3001).cast("double").alias("ELEVATION"), F.col("c_acctbal").alias("VALUE"))
+
+    def grid_spec(self):
+        from firnline.operators.grid import GridSpec
+        n = self._grid_side()
+        return GridSpec(-125.0, 30.0, 60.0 / (n - 1), 20.0 / (n - 1))
+
+    def _grid_side(self) -> int:
+        # The row count comes from the file footers.
+        return math.ceil(math.sqrt(self.table("part").count()))
+
+    @property
+    def grid(self) -> DataFrame:
+        """A square climate grid over the stations, one cell per part."""
+        n, s = self._grid_side(), self.grid_spec()
+        k = F.col("p_partkey")
+        row, col, size = F.floor(k / n), k % n, F.col("p_size")
+        return self.table("part").select(
+            row.alias("row"), col.alias("col"), (F.lit(s.x0) + col * s.dx).alias("x"),
+            (F.lit(s.y0) + row * s.dy).alias("y"),
+            F.when(size >= 6, F.col("p_retailprice")).alias("PPTWT"),
+            size.cast("double").alias("TD"), (size - 10).cast("double").alias("MAT"))
+
+    def rectangles(self, rows) -> DataFrame:
+        """Edge table of rectangles (id, x0, y0, x1, y1), one polygon each."""
+        from firnline.sources.tables import polygon_edges
+        rings = [(r, 1, 1, [(a, b), (c, b), (c, d), (a, d)]) for r, a, b, c, d in rows]
+        schema = ("region_id string, poly_id int, ring_id int, "
+                  "points array<struct<x: double, y: double>>")
+        return polygon_edges(self.spark.createDataFrame(rings, schema))

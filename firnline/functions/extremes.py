@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of algorithm AS 241 (PPND16) for the normal
@@ -40,28 +40,32 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _horner(coefficients, x: Column) -> Column:
-    total = F.lit(coefficients[-1])
+def polynomial_text(coefficients, x: str, suffix: str = "D") -> str:
+    """Horner form as SQL text, lowest power first; one parse instead of many Column calls."""
+    text = f"{coefficients[-1]!r}{suffix}"
     for c in reversed(coefficients[:-1]):
-        total = total * x + F.lit(c)
-    return total
+        text = f"({text} * {x} + {c!r}{suffix})"
+    return text
 
 
-def qnorm(p) -> Column:
-    """Standard normal quantile; infinite at 0 and 1, null outside."""
-    p = _col(p)
-    q = p - 0.5
-    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    centre_r = F.lit(0.180625) - q * q
-    centre = q * _horner(AS241_CENTRE_NUM, centre_r) / _horner(AS241_CENTRE_DEN, centre_r)
-    tail = _horner(AS241_TAIL_NUM, r - 1.6) / _horner(AS241_TAIL_DEN, r - 1.6)
-    far = _horner(AS241_FAR_NUM, r - 5.0) / _horner(AS241_FAR_DEN, r - 5.0)
-    outer = F.when(r <= 5.0, tail).otherwise(far)
-    return (F.when(p == 0, F.lit(float("-inf")))
-            .when(p == 1, F.lit(float("inf")))
-            .when((p > 0) & (p < 1),
-                  F.when(F.abs(q) <= 0.425, centre)
-                  .otherwise(F.when(q < 0, -outer).otherwise(outer))))
+def _ratio_text(num, den, x: str) -> str:
+    return f"{polynomial_text(num, x)} / {polynomial_text(den, x)}"
+
+
+def with_qnorm(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Add the standard normal quantile of ``p``: infinite at 0 and 1, null outside.
+
+    Intermediate results get projections of their own, so each is evaluated once.
+    """
+    staged = df.withColumn("_qp", p).selectExpr(
+        "*", "_qp - 0.5D AS _qq", "sqrt(-ln(least(_qp, 1 - _qp))) AS _qr").selectExpr(
+        "*", "0.180625D - _qq * _qq AS _qc", "_qr - 1.6D AS _qt", "_qr - 5D AS _qf")
+    value = f"""CASE WHEN _qp = 0 THEN double('-Infinity') WHEN _qp = 1 THEN double('Infinity')
+      WHEN _qp > 0 AND _qp < 1 THEN CASE
+        WHEN abs(_qq) <= 0.425D THEN _qq * {_ratio_text(AS241_CENTRE_NUM, AS241_CENTRE_DEN, '_qc')}
+        ELSE sign(_qq) * CASE WHEN _qr <= 5 THEN {_ratio_text(AS241_TAIL_NUM, AS241_TAIL_DEN, '_qt')}
+          ELSE {_ratio_text(AS241_FAR_NUM, AS241_FAR_DEN, '_qf')} END END END"""
+    return staged.withColumn(out, F.expr(value)).drop("_qp", "_qq", "_qr", "_qc", "_qt", "_qf")
 
 
 def gamma_function(x) -> Column:
@@ -74,10 +78,6 @@ def gamma_function(x) -> Column:
     return F.sqrt(F.lit(2 * 3.141592653589793)) * F.pow(t, z + 0.5) * F.exp(-t) * series
 
 
-def qlnorm(p, meanlog, sdlog) -> Column:
-    return F.exp(_col(meanlog) + _col(sdlog) * qnorm(p))
-
-
 def qexp(p, rate) -> Column:
     return F.try_divide(-F.ln(1 - _col(p)), _col(rate))
 

@@ -49,26 +49,28 @@ def gamma_cdf(a, x):
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     x = np.maximum(x, 1e-300)
     front = np.exp(a * np.log(x) - x - log_gamma(a))
+    out = np.empty_like(x)
     low = x < a + 1
+    terms = int(200 + 12 * np.sqrt(a.max(initial=1.0)))
 
-    xs = np.where(low, x, 0.0)
-    term = 1 / a
+    k, xs = a[low].copy(), x[low]
+    term = 1 / k
     total = term.copy()
-    k = a.copy()
-    for _ in range(2000):
-        k = k + 1
+    for _ in range(terms):
+        k += 1
         term = term * xs / k
-        total = total + term
-        if np.all(np.abs(term) <= np.abs(total) * 1e-16):
+        total += term
+        if np.all(term <= total * 1e-16):
             break
+    out[low] = front[low] * total
 
-    xc = np.where(low, a + 2, x)
-    b = xc + 1 - a
+    ac, xc = a[~low], x[~low]
+    b = xc + 1 - ac
     c = np.full_like(b, 1e300)
     d = 1 / b
     h = d.copy()
-    for i in range(1, 2000):
-        an = -i * (i - a)
+    for i in range(1, terms):
+        an = -i * (i - ac)
         b = b + 2
         d = 1 / (an * d + b)
         c = b + an / c
@@ -76,32 +78,41 @@ def gamma_cdf(a, x):
         h = h * step
         if np.all(np.abs(step - 1) <= 1e-16):
             break
-    return np.where(low, front * total, 1 - front * h)
+    out[~low] = 1 - front[~low] * h
+    return out
 
 
 def gamma_quantile(p, shape, rate):
-    """Bracketed Newton on the distribution function, elementwise; NaN in, NaN out."""
+    """Bracketed Newton on the distribution function, elementwise; NaN in, NaN out.
+
+    The start is the cube of a normal with a rough normal quantile.
+    """
     p, shape, rate = np.broadcast_arrays(*(np.asarray(v, float) for v in (p, shape, rate)))
-    ok = (p >= 0) & (p < 1) & (shape > 0) & (rate > 0)
-    q, a = np.where(ok, p, 0.5), np.where(ok, shape, 1.0)
-    lo, hi = np.zeros_like(q), np.maximum(a, 1.0)
+    ok = (p > 0) & (p < 1) & (shape > 0) & (rate > 0)
+    out = np.where((p == 0) & (shape > 0) & (rate > 0), 0.0, np.nan)
+    q, a = p[ok], shape[ok]
+    t = np.sqrt(-2 * np.log(np.minimum(q, 1 - q)))
+    z = np.sign(q - 0.5) * (t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t))
+    x = a * np.maximum(1 - 1 / (9 * a) + z / (3 * np.sqrt(a)), 0.01) ** 3
+    lo, hi = np.zeros_like(x), np.full_like(x, np.inf)
+    open_ = np.arange(len(x))
     for _ in range(200):
-        short = gamma_cdf(a, hi) < q
-        if not np.any(short):
+        if len(open_) == 0:
             break
-        hi = np.where(short, hi * 2, hi)
-    x = 0.5 * (lo + hi)
-    for _ in range(200):
-        f = gamma_cdf(a, x) - q
-        lo, hi = np.where(f < 0, x, lo), np.where(f < 0, hi, x)
-        density = np.exp((a - 1) * np.log(np.maximum(x, 1e-300)) - x - log_gamma(a))
-        new = x - f / np.maximum(density, 1e-300)
-        new = np.where((new > lo) & (new < hi), new, 0.5 * (lo + hi))
-        done = np.abs(new - x) <= 1e-14 * np.maximum(x, 1e-300)
-        x = new
-        if np.all(done):
-            break
-    return np.where(ok, np.where(q == 0, 0.0, x) / rate, np.nan)
+        xi, ai = x[open_], a[open_]
+        f = gamma_cdf(ai, xi) - q[open_]
+        lo[open_] = np.where(f < 0, xi, lo[open_])
+        hi[open_] = np.where(f < 0, hi[open_], xi)
+        density = np.exp((ai - 1) * np.log(xi) - xi - log_gamma(ai))
+        new = xi - f / np.maximum(density, 1e-300)
+        inside = (new > lo[open_]) & (new < hi[open_])
+        middle = np.where(np.isinf(hi[open_]), 2 * xi, 0.5 * (lo[open_] + hi[open_]))
+        new = np.where(inside, new, middle)
+        x[open_] = new
+        open_ = open_[np.abs(new - xi) > 1e-13 * xi]
+    out = out.copy()
+    out[ok] = x / rate[ok]
+    return out
 
 
 def gamma_shape(log_mean_gap):
@@ -163,89 +174,114 @@ def tilt(values, counts):
     return k_out, scale_out
 
 
-def gev_nll(theta, x, c):
-    """Negative log likelihood; theta is (location, log scale, shape)."""
-    loc, log_scale, shape = theta
-    if not -50 < log_scale < 50:
-        return np.inf
-    z = (x - loc) * np.exp(-log_scale)
-    if abs(shape) < 1e-9:
-        return float(np.sum(c * (log_scale + z + np.exp(np.minimum(-z, 700)))))
-    support = 1 + shape * z
-    if np.any(support <= 0):
-        return np.inf
-    log_t = -np.log(support) / shape
-    return float(np.sum(c * (log_scale - (1 + shape) * log_t + np.exp(np.minimum(log_t, 700)))))
-
-
-def simplex_minimum(f, start, steps, rounds=2000):
-    """Nelder-Mead descent; returns the best point, its value and whether it settled."""
-    points = [np.array(start, float)]
-    for i, s in enumerate(steps):
-        p = np.array(start, float)
-        p[i] += s
-        points.append(p)
-    points = np.array(points)
-    vals = np.array([f(p) for p in points])
-    for _ in range(rounds):
-        order = np.argsort(vals, kind="stable")
-        points, vals = points[order], vals[order]
-        if np.isfinite(vals[-1]) and vals[-1] - vals[0] <= 1e-12 * (abs(vals[0]) + 1e-6) \
-                and np.max(np.abs(points[1:] - points[0])) < 1e-7 * (1 + np.max(np.abs(points[0]))):
-            return points[0], vals[0], True
-        centre = points[:-1].mean(axis=0)
-        mirrored = centre + (centre - points[-1])
-        fm = f(mirrored)
-        if fm < vals[0]:
-            further = centre + 2 * (centre - points[-1])
-            ff = f(further)
-            points[-1], vals[-1] = (further, ff) if ff < fm else (mirrored, fm)
-        elif fm < vals[-2]:
-            points[-1], vals[-1] = mirrored, fm
-        else:
-            towards = mirrored if fm < vals[-1] else points[-1]
-            inner = centre + 0.5 * (towards - centre)
-            fi = f(inner)
-            if fi < min(fm, vals[-1]):
-                points[-1], vals[-1] = inner, fi
-            else:
-                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                vals[1:] = [f(p) for p in points[1:]]
-    return points[0], vals[0], False
-
-
-def gev_fit(x, c, fixed_shape=None):
-    """Maximum likelihood (location, scale, shape); NaNs when it does not settle."""
-    x, c = np.asarray(x, float), np.asarray(c, float)
-    nothing = (np.nan, np.nan, np.nan)
-    n = c.sum()
-    mean = (c * x).sum() / n
-    var = (c * (x - mean) ** 2).sum() / max(n - 1, 1)
-    if len(x) < 2 or not var > 0:
-        return nothing
+def newton_stencil(free: int):
+    """Offsets of a central-difference gradient and Hessian in ``free`` dimensions."""
+    unit = np.eye(free)
+    points = [np.zeros(free)]
+    points += [s * unit[i] for i in range(free) for s in (1, -1)]
+    points += [unit[i] * s + unit[j] * t
+               for i in range(free) for j in range(i + 1, free) for s in (1, -1) for t in (1, -1)]
+    return points
+
+
+def newton_directions(costs, widths):
+    """Descent directions and Newton decrements from costs at the stencil, one row per group."""
+    f, h = np.asarray(costs, float), np.asarray(widths, float)
+    groups, free = h.shape
+    grad, hess = np.zeros((groups, free)), np.zeros((groups, free, free))
+    for i in range(free):
+        up, down = f[:, 1 + 2 * i], f[:, 2 + 2 * i]
+        grad[:, i] = (up - down) / (2 * h[:, i])
+        hess[:, i, i] = (up - 2 * f[:, 0] + down) / h[:, i] ** 2
+    at = 1 + 2 * free
+    for i in range(free):
+        for j in range(i + 1, free):
+            mixed = (f[:, at] - f[:, at + 1] - f[:, at + 2] + f[:, at + 3]) / (4 * h[:, i] * h[:, j])
+            hess[:, i, j] = hess[:, j, i] = mixed
+            at += 4
+    ok = np.isfinite(grad).all(axis=1) & np.isfinite(hess).all(axis=(1, 2))
+    hess[~ok], grad[~ok] = np.eye(free), 0.0
+    # Work in units of the stencil widths, where the Hessian is well scaled.
+    scaled = hess * h[:, :, None] * h[:, None, :]
+    low = np.linalg.eigvalsh(scaled)[:, 0]
+    top = np.abs(scaled).max(axis=(1, 2)) + 1e-300
+    lift = np.where(low < 1e-10 * top, 1e-6 * top - 1.5 * np.minimum(low, 0), 0.0)
+    scaled = scaled + lift[:, None, None] * np.eye(free)
+    step = -np.linalg.solve(scaled, (grad * h)[:, :, None])[:, :, 0] * h
+    decrement = -0.5 * (grad * step).sum(axis=1)
+    decrement[~ok] = np.inf
+    return step, decrement
+
+
+# Fixed value: Euler's constant.
+EULER = 0.5772156649015329
+STENCIL_WIDTH = 1e-4
+SETTLED = 1e-9
+LADDER = [0.0] + [2.0 ** -i for i in range(12)]
+
+
+def gev_fit(values, counts, fixed_shapes=None, rounds: int = 60):
+    """Maximum likelihood (location, scale, shape) for many groups at once.
+
+    Damped Newton steps from the moment estimates, all groups side by side.
+    A group that does not settle, or whose likelihood grows without bound
+    (shape below -1), gets NaN.
+    """
+    out = np.full((len(values), 3), np.nan)
+    some = np.array([i for i, v in enumerate(values) if len(v) > 1], int)
+    if len(some) == 0:
+        return out
+    sizes = np.array([len(values[i]) for i in some])
+    x = np.concatenate([np.asarray(values[i], float) for i in some])
+    c = np.concatenate([np.asarray(counts[i], float) for i in some])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n = np.add.reduceat(c, starts)
+    mean = np.add.reduceat(c * x, starts) / n
+    var = np.add.reduceat(c * (x - np.repeat(mean, sizes)) ** 2, starts) / n
     scale = np.sqrt(6 * var) / np.pi
-    start = np.array([mean - 0.5772156649015329 * scale, np.log(scale), 0.05])
-    if fixed_shape is not None and not np.isnan(fixed_shape):
-        z = (x - start[0]) / scale
-        while np.any(1 + fixed_shape * z <= 0):
-            scale *= 1.5
-            z = (x - start[0]) / scale
-        best, _, settled = simplex_minimum(
-            lambda t: gev_nll((t[0], t[1], fixed_shape), x, c),
-            [start[0], np.log(scale)], [0.2 * scale, 0.2])
-        best = np.array([best[0], best[1], fixed_shape])
-    else:
-        z = (x - start[0]) / scale
-        while np.any(1 + start[2] * z <= 0):
-            start[2] /= 2
-        best, value, settled = simplex_minimum(
-            lambda t: gev_nll(t, x, c), start, [0.2 * scale, 0.2, 0.1])
-        again, value2, settled2 = simplex_minimum(
-            lambda t: gev_nll(t, x, c), best, [0.05 * scale, 0.05, 0.05])
-        if value2 <= value:
-            best, settled = again, settled2
-        if best[2] < -1 or abs(best[2]) > 5:
-            settled = False
-    if not settled or not np.all(np.isfinite(best)):
-        return nothing
-    return float(best[0]), float(np.exp(best[1])), float(best[2])
+    free = 3 if fixed_shapes is None else 2
+    shape = np.full(len(some), 0.01) if free == 3 else np.asarray(fixed_shapes, float)[some]
+    theta = np.stack([mean - EULER * scale, np.log(scale), shape], axis=1)
+
+    def cost(t):
+        loc, log_scale, xi = (np.repeat(t[:, k], sizes) for k in range(3))
+        with np.errstate(all="ignore"):
+            z = (x - loc) * np.exp(-log_scale)
+            flat = np.abs(xi) < 1e-9
+            support = np.where(flat, 1.0, 1 + xi * z)
+            log_t = np.where(flat, -z, -np.log(support) / np.where(flat, 1.0, xi))
+            each = log_scale - (1 + xi) * log_t + np.exp(np.minimum(log_t, 700))
+            each = np.where(support > 0, each, 1e12)
+        return np.add.reduceat(c * each, starts) / n
+
+    if free == 2:
+        # A fixed shape may put a value outside the support of the start: widen it.
+        for _ in range(60):
+            outside = cost(theta) > 1e9
+            if not outside.any():
+                break
+            theta[outside, 1] += 0.5
+    points = newton_stencil(free)
+    decrement = np.full(len(some), np.inf)
+    for _ in range(rounds):
+        width = np.full((len(some), free), STENCIL_WIDTH)
+        width[:, 0] *= np.exp(theta[:, 1])
+        costs = []
+        for p in points:
+            moved = theta.copy()
+            moved[:, :free] += p * width
+            costs.append(cost(moved))
+        step, decrement = newton_directions(np.stack(costs, axis=1), width)
+        trials = []
+        for a in LADDER:
+            moved = theta.copy()
+            moved[:, :free] += a * step
+            trials.append(cost(moved))
+        best = np.array(LADDER)[np.argmin(np.stack(trials, axis=1), axis=1)]
+        theta[:, :free] += best[:, None] * step
+        if np.all((decrement < 1e-14) | (best == 0) | (theta[:, 2] < -1)):
+            break
+    good = (decrement < SETTLED) & (theta[:, 2] > -1) & np.isfinite(theta).all(axis=1)
+    theta[:, 1] = np.exp(theta[:, 1])
+    out[some[good]] = theta[good]
+    return out

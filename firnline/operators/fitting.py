@@ -16,12 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firnline.functions import extremes, numerics
 from firnline.session import cut_lineage
 
 SMALL_GROUP = 4096
 RANK_BINS = 1024
+_DOUBLE = T.DoubleType()
 NEWTON_ROUNDS = 40
 
 METHODS = {
@@ -109,8 +111,8 @@ def lnorm_regression(df: DataFrame, keys, value: str, tail: float = 1) -> DataFr
     """
     pos = plotting_positions(df, keys, value)
     used = pos.where((F.col("v") > 0) & (F.col("i") > (1 - float(tail)) * F.col("n")) & (F.col("n") > 1))
-    q, x = extremes.qnorm(F.col("p")), F.ln("v")
-    fit = used.select(*keys, q.alias("_q"), x.alias("_x")).groupBy(*keys).agg(
+    scored = extremes.with_qnorm(used.withColumn("_x", F.ln("v")), F.col("p"), "_q")
+    fit = scored.groupBy(*keys).agg(
         F.regr_slope("_q", "_x").alias("_b1"), F.regr_intercept("_q", "_x").alias("_b0"))
     return fit.select(*keys, F.try_divide(-F.col("_b0"), F.col("_b1")).alias("PAR1"),
                       F.try_divide(F.lit(1.0), F.col("_b1")).alias("PAR2"))
@@ -133,7 +135,7 @@ def _as_arrays(counts: DataFrame, keys) -> DataFrame:
             .select(*keys, F.col("_vc.v").alias("_v"), F.col("_vc.c").alias("_c")))
 
 
-@F.pandas_udf("k double, log_scale double")
+@F.pandas_udf(T.StructType([T.StructField("k", _DOUBLE), T.StructField("log_scale", _DOUBLE)]))
 def _tilt_udf(v: pd.Series, c: pd.Series) -> pd.DataFrame:
     k, scale = numerics.tilt(v.to_list(), c.to_list())
     return pd.DataFrame({"k": k, "log_scale": scale})
@@ -182,10 +184,18 @@ def _tilt_by_passes(counts: DataFrame, keys) -> DataFrame:
     return sums.select(*keys, "k", (F.col("top") + F.ln(F.col("s0") / F.col("n")) / F.col("k")).alias("log_scale"))
 
 
-@F.pandas_udf("p1 double, p2 double, p3 double")
-def _gev_udf(v: pd.Series, c: pd.Series, shape: pd.Series) -> pd.DataFrame:
-    rows = [numerics.gev_fit(a, b, s) for a, b, s in zip(v, c, shape)]
-    return pd.DataFrame(rows, columns=["p1", "p2", "p3"], dtype="float64")
+_GEV_TYPE = T.StructType([T.StructField(f"p{i}", _DOUBLE) for i in (1, 2, 3)])
+
+
+@F.pandas_udf(_GEV_TYPE)
+def _gev_udf(v: pd.Series, c: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(numerics.gev_fit(v.to_list(), c.to_list()), columns=["p1", "p2", "p3"])
+
+
+@F.pandas_udf(_GEV_TYPE)
+def _gev_shape_udf(v: pd.Series, c: pd.Series, shape: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(numerics.gev_fit(v.to_list(), c.to_list(), shape.to_numpy(dtype=float)),
+                        columns=["p1", "p2", "p3"])
 
 
 def gev_mle(counts: DataFrame, keys, shapes: DataFrame | None = None,
@@ -195,11 +205,11 @@ def gev_mle(counts: DataFrame, keys, shapes: DataFrame | None = None,
     small, large = split_by_size(counts, keys, small_group)
     arrays = _as_arrays(small, keys)
     if shapes is None:
-        arrays = arrays.withColumn("_s", F.lit(None).cast("double"))
+        solved = arrays.withColumn("_t", _gev_udf("_v", "_c"))
     else:
-        arrays = arrays.join(shapes.withColumnRenamed("shape", "_s"), keys, "left")
-    solved = arrays.withColumn("_t", _gev_udf("_v", "_c", "_s")).select(
-        *keys, *[_nan_to_null(F.col(f"_t.p{i}")).alias(f"PAR{i}") for i in (1, 2, 3)])
+        shapes = shapes.where(F.col("shape").isNotNull())
+        solved = arrays.join(shapes, keys).withColumn("_t", _gev_shape_udf("_v", "_c", "shape"))
+    solved = solved.select(*keys, *[_nan_to_null(F.col(f"_t.p{i}")).alias(f"PAR{i}") for i in (1, 2, 3)])
     return solved if large is None else solved.unionByName(_gev_by_passes(large, keys, shapes))
 
 
@@ -212,72 +222,40 @@ def _gev_cost(loc: Column, log_scale: Column, shape: Column) -> Column:
     return F.when((support > 0) | (F.abs(shape) < 1e-9), cost).otherwise(F.lit(1e12))
 
 
-def _stencil(free: int):
-    """Offsets for a central-difference gradient and Hessian in ``free`` dimensions."""
-    unit = np.eye(free)
-    points = [np.zeros(free)]
-    points += [s * unit[i] for i in range(free) for s in (1, -1)]
-    points += [unit[i] * s + unit[j] * t
-               for i in range(free) for j in range(i + 1, free) for s in (1, -1) for t in (1, -1)]
-    return points
-
-
-def _newton_direction(free: int, costs, steps):
-    f = np.asarray(costs, float)
-    h = np.asarray(steps, float)
-    grad, hess = np.zeros(free), np.zeros((free, free))
-    for i in range(free):
-        up, down = f[1 + 2 * i], f[2 + 2 * i]
-        grad[i] = (up - down) / (2 * h[i])
-        hess[i, i] = (up - 2 * f[0] + down) / h[i] ** 2
-    at = 1 + 2 * free
-    for i in range(free):
-        for j in range(i + 1, free):
-            hess[i, j] = hess[j, i] = (f[at] - f[at + 1] - f[at + 2] + f[at + 3]) / (4 * h[i] * h[j])
-            at += 4
-    try:
-        low = np.linalg.eigvalsh(hess)[0]
-        if low <= 0:
-            hess = hess + (1e-6 - 1.5 * low) * np.eye(free)
-        return -np.linalg.solve(hess, grad)
-    except np.linalg.LinAlgError:
-        return np.zeros(free)
-
-
 def _gev_by_passes(counts: DataFrame, keys, shapes: DataFrame | None = None) -> DataFrame:
-    """GEV likelihood for very large groups: damped Newton steps.
+    """The same Newton steps with every cost a parallel aggregate.
 
     One pass sums the cost at a stencil of points around the estimate, the next
     sums it at a ladder of step lengths; only sums per group leave the tasks.
     """
     free = 3 if shapes is None else 2
-    points = _stencil(free)
-    ladder = [0.0] + [2.0 ** -i for i in range(12)]
+    points = numerics.newton_stencil(free)
+    ladder = numerics.LADDER
 
     base = counts.groupBy(*keys).agg(F.sum("c").alias("n"),
                                      F.sum(F.col("c") * F.col("v")).alias("_s"),
                                      F.sum(F.col("c") * F.col("v") * F.col("v")).alias("_q"))
     mean = F.col("_s") / F.col("n")
     scale = F.sqrt(6 * F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(1e-300))) / float(np.pi)
-    start = base.select(*keys, "n", (mean - 0.5772156649015329 * scale).alias("t0"),
-                        F.ln(scale).alias("t1"), F.lit(0.01).alias("t2"), F.lit(1.0).alias("move"))
+    start = base.select(*keys, "n", (mean - numerics.EULER * scale).alias("t0"),
+                        F.ln(scale).alias("t1"), F.lit(0.01).alias("t2"))
     if shapes is not None:
         start = start.drop("t2").join(shapes.withColumnRenamed("shape", "t2"), keys)
     state = cut_lineage(start)
 
-    @F.pandas_udf("array<double>")
-    def direction(costs: pd.Series, steps: pd.Series) -> pd.Series:
-        return pd.Series([_newton_direction(free, c, s) for c, s in zip(costs, steps)])
+    @F.pandas_udf(T.ArrayType(_DOUBLE))
+    def direction(costs: pd.Series, widths: pd.Series) -> pd.Series:
+        step, decrement = numerics.newton_directions(np.stack(costs.to_list()), np.stack(widths.to_list()))
+        return pd.Series(np.column_stack([step, decrement]).tolist())
 
     theta = [F.col("t0"), F.col("t1"), F.col("t2")]
-    width = [F.exp("t1") * 1e-3, F.lit(1e-3), F.lit(1e-3)]
+    width = [F.exp("t1") * numerics.STENCIL_WIDTH] + [F.lit(numerics.STENCIL_WIDTH)] * 2
     for _ in range(NEWTON_ROUNDS):
-        here = counts.join(state, keys)
         costs = []
         for p in points:
             moved = [theta[i] + float(p[i]) * width[i] if i < free else theta[i] for i in range(3)]
-            costs.append(F.sum(F.col("c") * _gev_cost(*moved)) / F.first("n"))
-        local = here.groupBy(*keys, "n", "t0", "t1", "t2").agg(F.array(*costs).alias("f"))
+            costs.append(F.sum(F.col("c") * _gev_cost(*moved)) / F.max("n"))
+        local = counts.join(state, keys).groupBy(*keys, "n", "t0", "t1", "t2").agg(F.array(*costs).alias("f"))
         aimed = cut_lineage(local.withColumn("d", direction("f", F.array(*width[:free]))))
         step = [F.col("d")[i] if i < free else F.lit(0.0) for i in range(3)]
         trial = counts.join(aimed, keys).groupBy(*keys, "n", "t0", "t1", "t2", "d").agg(
@@ -287,19 +265,22 @@ def _gev_by_passes(counts: DataFrame, keys, shapes: DataFrame | None = None) ->
                             F.array_position("g", F.array_min("g")).cast("int"))
         state = cut_lineage(trial.withColumn("a", best).select(
             *keys, "n", *[(t + s * F.col("a")).alias(f"t{i}") for i, (t, s) in enumerate(zip(theta, step))],
-            F.greatest(F.abs(step[0] * F.col("a")) / F.exp("t1"), F.abs(step[1] * F.col("a")),
-                       F.abs(step[2] * F.col("a"))).alias("move")))
-        if state.agg(F.max("move")).first()[0] < 1e-9:
+            F.element_at("d", -1).alias("decrement"), "a"))
+        open_ = (F.col("decrement") >= 1e-14) & (F.col("a") > 0) & (F.col("t2") >= -1)
+        if not state.where(open_).take(1):
             break
-    return state.select(*keys, F.col("t0").alias("PAR1"), F.exp("t1").alias("PAR2"), F.col("t2").alias("PAR3"))
+        state = state.drop("decrement", "a")
+    good = (F.col("decrement") < numerics.SETTLED) & (F.col("t2") > -1) if "decrement" in state.columns else F.lit(False)
+    return state.select(*keys, *[F.when(good, c).alias(f"PAR{i}") for i, c in enumerate(
+        [F.col("t0"), F.exp("t1"), F.col("t2")], 1)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def _gamma_shape_udf(gap: pd.Series) -> pd.Series:
     return pd.Series(numerics.gamma_shape(gap.to_numpy(dtype=float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def qgamma(p: pd.Series, shape: pd.Series, rate: pd.Series) -> pd.Series:
     """Gamma quantile, one Arrow batch at a time."""
     return pd.Series(numerics.gamma_quantile(*(s.to_numpy(dtype=float) for s in (p, shape, rate))))
@@ -307,26 +288,31 @@ def qgamma(p: pd.Series, shape: pd.Series, rate: pd.Series) -> pd.Series:
 
 # --- the fit table ------------------------------------------------------------
 
-def quantile(distr: str, p: Column, par1, par2, par3) -> Column:
+def with_quantile(df: DataFrame, distr: str, p: Column, out: str) -> DataFrame:
+    """Add the ``p`` quantile of the distribution with parameters PAR1..PAR3."""
+    par1, par2, par3 = F.col("PAR1"), F.col("PAR2"), F.col("PAR3")
     if distr == "lnorm":
-        return extremes.qlnorm(p, par1, par2)
+        return extremes.with_qnorm(df, p, "_z").withColumn(out, F.exp(par1 + par2 * F.col("_z"))).drop("_z")
+    df = df.withColumn("_p", p)
     if distr == "exp":
-        return extremes.qexp(p, par1)
-    if distr == "gamma":
-        return _nan_to_null(qgamma(p, par1, par2))
-    if distr == "gumbel":
-        return extremes.qgumbel(p, par1, par2)
-    if distr == "gev":
-        return extremes.qgev_exact(p, par1, par2, par3)
-    raise ValueError(f"no distribution {distr!r}")
-
-
-def event_level(distr: str, share: float = 0.98) -> Column:
-    """Level exceeded in a share ``1 - share`` of years, given the share of zero years."""
+        level = extremes.qexp(F.col("_p"), par1)
+    elif distr == "gamma":
+        level = _nan_to_null(qgamma("_p", par1, par2))
+    elif distr == "gumbel":
+        level = extremes.qgumbel(F.col("_p"), par1, par2)
+    elif distr == "gev":
+        level = extremes.qgev_exact(F.col("_p"), par1, par2, par3)
+    else:
+        raise ValueError(f"no distribution {distr!r}")
+    return df.withColumn(out, level).drop("_p")
+
+
+def with_event_level(fits: DataFrame, distr: str, share: float = 0.98, out: str = "EVENT50") -> DataFrame:
+    """Add the level exceeded in a share ``1 - share`` of years, given PROP_ZERO, the share of zero years."""
     zero = F.col("PROP_ZERO")
-    p = F.try_divide(F.lit(share) - zero, 1 - zero)
-    level = quantile(distr, p, F.col("PAR1"), F.col("PAR2"), F.col("PAR3"))
-    return F.when(zero >= share, F.lit(0.0)).when(F.col("PAR1").isNotNull(), level)
+    p = F.when(zero < share, (F.lit(share) - zero) / (1 - zero))
+    return with_quantile(fits, distr, p, "_level").withColumn(
+        out, F.when(zero >= share, F.lit(0.0)).when(F.col("PAR1").isNotNull(), F.col("_level"))).drop("_level")
 
 
 def fit_dist(df: DataFrame, id: str, values: str, distr: str, method: str = "mle",
@@ -404,7 +390,7 @@ def fit_dist(df: DataFrame, id: str, values: str, distr: str, method: str = "mle
     if "_prior" in out.columns:
         out = out.withColumn("PRIORITIZED", F.try_divide(F.col("_prior"), F.col("NFIT")))
         extra = ["PRIORITIZED"]
-    return out.withColumn("EVENT50", event_level(distr)).select(
+    return with_event_level(out, distr).select(
         id, "DISTR", "NFIT", "PROP_ZERO", *extra, "PAR1", "PAR2", "PAR3", "EVENT50")
 
 
@@ -464,27 +450,33 @@ def mle_levels(df: DataFrame, id: str, value: str, requests, small_group: int =
     if "gamma" in wanted:
         table = table.withColumn("_k", F.when(varied, _nan_to_null(_gamma_shape_udf(F.ln("_m") - F.col("_ml")))))
 
-    zero = 1 - F.try_divide(F.col("_pos"), F.col("_n"))
+    table = table.withColumn("_zero", 1 - F.try_divide(F.col("_pos"), F.col("_n")))
+    place = {share: i for i, share in enumerate(sorted({s for _, s in requests.values()}))}
+    for share, i in place.items():
+        table = table.withColumn(f"_t{i}", F.try_divide(F.lit(share) - F.col("_zero"), 1 - F.col("_zero")))
+        inside = F.when((F.col(f"_t{i}") > 0) & (F.col(f"_t{i}") < 1), F.col(f"_t{i}"))
+        table = table.withColumn(f"_in{i}", inside)
+        if wanted & {"lnorm", "norm"}:
+            table = extremes.with_qnorm(table, F.col(f"_in{i}"), f"_z{i}")
 
     def level(distr, share):
-        t = F.try_divide(F.lit(share) - zero, 1 - zero)
-        inside = F.when((t > 0) & (t < 1), t)
+        t, p, z = (F.col(f"_{c}{place[share]}") for c in ("t", "in", "z"))
         if distr == "lnorm":
-            fit = F.when(varied, extremes.qlnorm(inside, F.col("_ml"), F.col("_sl")))
+            fit = F.when(varied, F.exp(F.col("_ml") + F.col("_sl") * z))
         elif distr == "norm":
-            fit = F.when(varied, F.col("_m") + F.col("_s") * extremes.qnorm(inside))
+            fit = F.when(varied, F.col("_m") + F.col("_s") * z)
         elif distr == "gamma":
-            fit = _nan_to_null(qgamma(inside, F.col("_k"), F.col("_k") / F.col("_m")))
+            fit = _nan_to_null(qgamma(p, F.col("_k"), F.col("_k") / F.col("_m")))
         else:
             k, ls = F.col(f"_{distr}.k"), F.col(f"_{distr}.log_scale")
             if distr == "weibull":
-                fit = F.exp(ls + F.ln(-F.ln(1 - inside)) / k)
+                fit = F.exp(ls + F.ln(-F.ln(1 - p)) / k)
             elif distr == "frechet":
-                fit = F.exp(-ls - F.ln(-F.ln(inside)) / k)
+                fit = F.exp(-ls - F.ln(-F.ln(p)) / k)
             elif distr == "gumbel":
-                fit = F.col("_m") - ls - F.ln(-F.ln(inside)) / k
+                fit = F.col("_m") - ls - F.ln(-F.ln(p)) / k
             else:
-                fit = F.col("_top") + 1 - F.exp(ls + F.ln(-F.ln(inside)) / k)
+                fit = F.col("_top") + 1 - F.exp(ls + F.ln(-F.ln(p)) / k)
         return (F.when(F.col("_top") == 0, 0.0)
                 .when(F.col("_pos") < MIN_POSITIVE, F.col("_top"))
                 .when(varied & (t <= 0), 0.0).otherwise(fit))

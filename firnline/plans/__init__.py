@@ -1 +1 @@
-
+"""End-to-end analyses composed of the operators."""

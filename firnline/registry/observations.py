@@ -49,20 +49,20 @@ def f4(cat):
 
 
 @query("f5_year_range", with_views(f"""
-SELECT {K}, {wy()} AS YEAR FROM obs WHERE {wy()} BETWEEN 1994 AND 1996""", "obs"))
+SELECT {K}, {wy()} AS YEAR FROM obs WHERE {wy()} BETWEEN 1996 AND 1998""", "obs"))
 def f5(cat):
     year = calendar.water_year("DATE")
-    return cat.obs.where(year.between(1994, 1996)).select(*KEY, year.alias("YEAR"))
+    return cat.obs.where(year.between(1996, 1998)).select(*KEY, year.alias("YEAR"))
 
 
 @query("f6_station_filters", with_views("""
 SELECT ID, STATE, LATITUDE, ELEVATION FROM stations
 WHERE STATE IS NOT NULL AND ELEVATION <> -999.9 AND LATITUDE <> -999.9 AND LONGITUDE <> -999.9
-  AND ELEVATION > -100 AND LATITUDE <= 45 AND STATE IN ('FRANCE', 'CANADA', 'CHINA', 'PERU', 'INDIA', 'KENYA')""",
+  AND ELEVATION > -100 AND LATITUDE <= 45 AND STATE IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_12', 'NATION_20')""",
                                       "stations"))
 def f6(cat):
     known = rules.known_elevation(rules.known_location(cat.stations))
-    return rules.in_states(known, ["FRANCE", "CANADA", "CHINA", "PERU", "INDIA", "KENYA"], 45).select(
+    return rules.in_states(known, ["NATION_1", "NATION_4", "NATION_7", "NATION_12", "NATION_20"], 45).select(
         "ID", "STATE", "LATITUDE", "ELEVATION")
 
 
@@ -96,25 +96,25 @@ def s2(cat):
 
 @query("s4_state_scan", with_views(f"""
 SELECT {K}, ID, VALUE FROM obs
-WHERE ID IN (SELECT ID FROM stations WHERE STATE IN ('FRANCE', 'CHINA'))""", "obs", "stations"))
+WHERE ID IN (SELECT ID FROM stations WHERE STATE IN ('NATION_3', 'NATION_17'))""", "obs", "stations"))
 def s4(cat):
-    return scans.state_scan(cat.obs, cat.stations, ["FRANCE", "CHINA"]).select(*KEY, "ID", "VALUE")
+    return scans.state_scan(cat.obs, cat.stations, ["NATION_3", "NATION_17"]).select(*KEY, "ID", "VALUE")
 
 
 @query("s5_region_scan", with_views(f"""
 SELECT {K}, ID, VALUE FROM obs WHERE ID IN (
-  SELECT ID FROM stations WHERE starts_with(ECO3, '2.') OR regexp_matches(ECO3, '^3.2.1') OR starts_with(ECO3, '4.1.'))""",
+  SELECT ID FROM stations WHERE starts_with(ECO3, '2.') OR regexp_matches(ECO3, '^5.1.1') OR starts_with(ECO3, '4.1.'))""",
                                   "obs", "stations"))
 def s5(cat):
-    return scans.region_scan(cat.obs, cat.stations, ["2", "3.2.1", "4.1"]).select(*KEY, "ID", "VALUE")
+    return scans.region_scan(cat.obs, cat.stations, ["2", "5.1.1", "4.1"]).select(*KEY, "ID", "VALUE")
 
 
 @query("s5_region_scan_exact", with_views(f"""
 SELECT {K}, ID, VALUE FROM obs WHERE ID IN (
-  SELECT ID FROM stations WHERE split_part(ECO3, '.', 1) = '2' OR ECO3 = '3.2.1'
+  SELECT ID FROM stations WHERE split_part(ECO3, '.', 1) = '2' OR ECO3 = '5.1.1'
      OR (split_part(ECO3, '.', 1) = '4' AND split_part(ECO3, '.', 2) = '1'))""", "obs", "stations"))
 def s5_exact(cat):
-    return scans.region_scan(cat.obs, cat.stations, ["2", "3.2.1", "4.1"], exact=True).select(
+    return scans.region_scan(cat.obs, cat.stations, ["2", "5.1.1", "4.1"], exact=True).select(
         *KEY, "ID", "VALUE")
 
 

@@ -1 +1 @@
-
+"""The row-wise cleaning rules on arriving files."""
