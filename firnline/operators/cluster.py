@@ -1,16 +1,18 @@
 """Agglomerative clustering of stations, cut at a height.
 
 Stations at one place are merged first (their dissimilarity is zero) and count
-with their number. For the reducible linkages the tree is grown in rounds:
-every cluster finds its nearest neighbour among the pairs not above the cut,
-all mutual nearest neighbours merge at once, and the pairs are regrouped. This
-gives the clusters of the one-merge-at-a-time tree, takes few rounds, and each
-round is a handful of aggregates and joins; no group of stations is ever
-brought together in one task. (The method is that of Sumengen et al. 2021,
+with their number. Groups of at most ``SMALL_GROUP`` places (an ecoregion has a
+few hundred) are solved from their matrix, many groups side by side. Beyond
+that the tree of a reducible linkage is grown in rounds on the cluster: every
+cluster finds its nearest neighbour among the pairs not above the cut, all
+mutual nearest neighbours merge at once, and the pairs are regrouped. This
+gives the clusters of the one-merge-at-a-time tree, and each round is a handful
+of aggregates and joins. (The method is that of Sumengen et al. 2021,
 "Scaling Hierarchical Agglomerative Clustering to Billion-sized Datasets".)
 
 Centroid and median linkage are not reducible: a merge can bring two clusters
-closer than either part was. They run group by group, in one task per group.
+closer than either part was. They run from the matrix only, and a group too
+large for it is an error.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import types as T
 
 from firnline.functions import geodesy as geo
 from firnline.functions.labels import cluster_label
+from firnline.operators import rules
 from firnline.operators.spatial import dissimilarity_pairs
 from firnline.session import cut_lineage
 
 REDUCIBLE = ("single", "complete", "average", "mcquitty", "ward.D", "ward.D2")
 WHOLE_GROUP = ("median", "centroid")
 WHOLE_GROUP_LIMIT = 5000
+SMALL_GROUP = 2000
 
 
 def _mutual_nearest(pairs: DataFrame) -> DataFrame:
@@ -175,57 +179,103 @@ def _grow_from_sums(pairs: DataFrame, places: DataFrame, h: float, method: str,
     return members.select("node", "cluster")
 
 
-def whole_group_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.ndarray:
-    """Merge the nearest two clusters until the nearest are above ``h``; first index is the label."""
+def dense_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.ndarray:
+    """Clusters of a small group from its matrix; the first member's index is the label.
+
+    Reducible linkages merge all mutual nearest neighbours of a round, as the
+    distributed rounds do; the others merge the nearest pair only.
+    """
     d, size = d.astype(float).copy(), size.astype(float).copy()
+    top = h
+    if method == "ward.D2":
+        d, top = d * d, h * h
+    if method.startswith("ward"):
+        d *= 2 * np.outer(size, size) / np.add.outer(size, size)
     n = len(size)
     label = np.arange(n)
     np.fill_diagonal(d, np.inf)
     alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] <= h:
-            break
-        i, j = min(i, j), max(i, j)
-        if method == "centroid":
-            total = size[i] + size[j]
-            row = (size[i] * d[i] + size[j] * d[j]) / total - size[i] * size[j] * d[i, j] / total ** 2
-        else:
-            row = (d[i] + d[j]) / 2 - d[i, j] / 4
-        row[[i, j]] = np.inf
+
+    def merge(i, j):
+        ni, nj, nk, dij = size[i], size[j], size, d[i, j]
+        with np.errstate(invalid="ignore"):
+            if method == "single":
+                row = np.minimum(d[i], d[j])
+            elif method == "complete":
+                row = np.maximum(d[i], d[j])
+            elif method == "average":
+                row = (ni * d[i] + nj * d[j]) / (ni + nj)
+            elif method == "mcquitty":
+                row = (d[i] + d[j]) / 2
+            elif method == "centroid":
+                row = (ni * d[i] + nj * d[j]) / (ni + nj) - ni * nj * dij / (ni + nj) ** 2
+            elif method == "median":
+                row = (d[i] + d[j]) / 2 - dij / 4
+            else:
+                row = ((ni + nk) * d[i] + (nj + nk) * d[j] - nk * dij) / (ni + nj + nk)
         row[~alive] = np.inf
+        row[[i, j]] = np.inf
         d[i], d[:, i] = row, row
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
         label[label == j] = i
+
+    while alive.sum() > 1:
+        if method in WHOLE_GROUP:
+            i, j = divmod(int(np.argmin(d)), n)
+            if not d[i, j] <= top:
+                break
+            merge(min(i, j), max(i, j))
+            continue
+        best = np.argmin(d, axis=1)
+        rows = np.arange(n)
+        pairs = rows[(best[best] == rows) & (rows < best) & (d[rows, best] <= top)]
+        if len(pairs) == 0:
+            break
+        for i in pairs:
+            merge(int(i), int(best[i]))
     return label
 
 
-def _cluster_whole_groups(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float) -> DataFrame:
+def _cluster_in_tasks(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float,
+                      limit: int) -> DataFrame:
+    """Groups of at most ``limit`` places, one group per task."""
     node = places.schema["node"].dataType
     schema = T.StructType([T.StructField("node", node), T.StructField("cluster", node)])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > WHOLE_GROUP_LIMIT:
+        if len(pdf) > limit:
             raise ValueError(f"{method} linkage needs all distances of a group at once; "
-                             f"{len(pdf)} places are more than {WHOLE_GROUP_LIMIT}")
+                             f"{len(pdf)} places are more than {limit}")
         pdf = pdf.sort_values("node", ignore_index=True)
         xyz = pdf[["px", "py", "pz"]].to_numpy()
-        chord = np.sqrt(((xyz[:, None, :] - xyz[None, :, :]) ** 2).sum(axis=2))
-        km = 2 * geo.PAIR_RADIUS_KM * np.arcsin(np.minimum(chord / 2, 1))
         e = pdf["pe"].to_numpy()
-        score = km / dist_adj + np.abs(e[:, None] - e[None, :]) / elev_adj
-        label = whole_group_linkage(score, pdf["n"].to_numpy(), h, method)
+        score = np.empty((len(pdf), len(pdf)))
+        for i in range(len(pdf)):
+            chord = np.sqrt(((xyz - xyz[i]) ** 2).sum(axis=1))
+            km = 2 * geo.PAIR_RADIUS_KM * np.arcsin(np.minimum(chord / 2, 1))
+            score[i] = km / dist_adj + np.abs(e - e[i]) / elev_adj
+        label = dense_linkage(score, pdf["n"].to_numpy(), h, method)
         return pd.DataFrame({"node": pdf["node"], "cluster": pdf["node"].to_numpy()[label]})
 
     return places.groupBy("_g").applyInPandas(one, schema)
 
 
+def _cluster_by_rounds(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float,
+                       lon: str, lat: str, elev: str) -> DataFrame:
+    pairs = dissimilarity_pairs(places, dist_adj, elev_adj, h, "node", lon, lat, elev, ["_g"]).select(
+        F.col("ID1").alias("u"), F.col("ID2").alias("v"), F.col("SCORE").alias("d"))
+    if method in ("single", "complete"):
+        return _grow_from_pairs(pairs, places.select("node", F.col("node").alias("cluster")), method).select(
+            "node", "cluster")
+    return _grow_from_sums(pairs, places, h, method, dist_adj, elev_adj)
+
+
 def cluster_stations(stations: DataFrame, dist_adj: float, elev_adj: float, h: float,
                      method: str = "complete", group: str | None = None, id: str = "ID",
                      lon: str = "LONGITUDE", lat: str = "LATITUDE", elev: str = "ELEVATION",
-                     out: str = "CLUST", label: bool = False) -> DataFrame:
+                     out: str = "CLUST", label: bool = False, small_group: int = SMALL_GROUP) -> DataFrame:
     """Add the cluster of each station, numbered from 1 within its group by smallest id.
 
     Dissimilarity is km / dist_adj + |elevation gap| / elev_adj, the tree is cut
@@ -247,14 +297,16 @@ def cluster_stations(stations: DataFrame, dist_adj: float, elev_adj: float, h: f
         .withColumn("pe", F.col(elev)))
 
     if method in WHOLE_GROUP:
-        found = _cluster_whole_groups(places, h, method, dist_adj, elev_adj)
+        found = _cluster_in_tasks(places, h, method, dist_adj, elev_adj, WHOLE_GROUP_LIMIT)
     else:
-        pairs = dissimilarity_pairs(places, dist_adj, elev_adj, h, "node", lon, lat, elev, ["_g"]).select(
-            F.col("ID1").alias("u"), F.col("ID2").alias("v"), F.col("SCORE").alias("d"))
-        if method in ("single", "complete"):
-            found = _grow_from_pairs(pairs, places.select("node", F.col("node").alias("cluster")), method)
+        large = places.groupBy("_g").agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") > small_group)
+        if large.take(1):
+            small = rules.anti(places, large, ["_g"])
+            rest = rules.anti(places, small, ["_g"])
+            found = _cluster_in_tasks(small, h, method, dist_adj, elev_adj, small_group).unionByName(
+                _cluster_by_rounds(rest, h, method, dist_adj, elev_adj, lon, lat, elev))
         else:
-            found = _grow_from_sums(pairs, places, h, method, dist_adj, elev_adj)
+            found = _cluster_in_tasks(places, h, method, dist_adj, elev_adj, small_group)
 
     placed = places.select(*keys, "node").join(found, "node")
     first = placed.groupBy("_g", "cluster").agg(F.min("node").alias("_first"))

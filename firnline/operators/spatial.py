@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.functions import geodesy as geo
+from firnline.session import cut_lineage
 
 BAND_DEG = 1.0
 TILES_DEG = (4.0, 0.5)
@@ -179,8 +180,9 @@ def nearest(points: DataFrame, edges: DataFrame, by=(), carry=(), match=(), metr
         if limit is not None:
             pairs = pairs.where(F.col("_low") <= limit)
         if prune:
-            best = pairs.groupBy(*match, *by, *older_p, *pk).agg(F.min("_high").alias("_cap"))
-            pairs = pairs.join(best, [*match, *by, *older_p, *pk]).where(F.col("_low") <= F.col("_cap"))
+            # At most one row per tile of the globe in each of these windows.
+            around = Window.partitionBy(*match, *by, *older_p, *pk)
+            pairs = pairs.withColumn("_cap", F.min("_high").over(around)).where(F.col("_low") <= F.col("_cap"))
         keys = [*older_p, *pk, *older_e, *ek]
         candidates = pairs.select(*match, *by, *keys)
 
@@ -213,15 +215,21 @@ def _km(c, radius: float = geo.POLYGON_RADIUS_KM):
     return geo.chord_to_km(c, radius)
 
 
-def place_region_km(points: DataFrame, edges: DataFrame, lon: str, lat: str,
-                    max_km: float | None = None) -> DataFrame:
-    """(lon, lat, region_id, dist_km) with 0 inside a region."""
-    limit = None if max_km is None else km_to_chord(max_km)
-    near = nearest(points, edges, by=["region_id"], limit=limit, lon=lon, lat=lat)
-    inside = point_in_polygon(points, edges, lon, lat).select(lon, lat, "region_id", F.lit(0.0).alias("_in")).distinct()
-    # A place deep inside a region has its border beyond the limit: keep it too.
-    both = near.join(inside, [lon, lat, "region_id"], "full_outer")
-    return both.select(lon, lat, "region_id", F.coalesce("_in", _km(F.col("_dist"))).alias("dist_km"))
+def place_region_km(points: DataFrame, edges: DataFrame, lon: str, lat: str, paired: bool = False) -> DataFrame:
+    """(lon, lat, region_id, dist_km) with 0 inside a region.
+
+    ``paired`` says that ``points`` already names the region of each row in a
+    region_id column; without it every place meets every region.
+    """
+    key = [lon, lat, "region_id"]
+    if paired:
+        near = nearest(points, edges, match=["region_id"], lon=lon, lat=lat)
+    else:
+        near = nearest(points, edges, by=["region_id"], lon=lon, lat=lat)
+    inside = point_in_polygon(points.select(lon, lat), edges, lon, lat).select(
+        *key, F.lit(0.0).alias("_in")).distinct()
+    both = near.join(inside, key, "left")
+    return both.select(*key, F.coalesce("_in", _km(F.col("_dist"))).alias("dist_km"))
 
 
 def regional_distance(points: DataFrame, edges: DataFrame, id: str, lon: str = "LONGITUDE",
@@ -237,14 +245,12 @@ def regional_distance(points: DataFrame, edges: DataFrame, id: str, lon: str = "
     if max_dist is None:
         return rows.join(place_region_km(rows, edges, lon, lat), [lon, lat]).select(id, "region_id", "dist_km")
     degrees = max_dist / 65
-    reach = degrees * math.pi / 180 * geo.POLYGON_RADIUS_KM * (1 + 1e-6)
-    places = rows.select(lon, lat).distinct()
+    places = cut_lineage(rows.select(lon, lat).distinct())
     flat = nearest(places, edges, by=["region_id"], metric=geo.PLANE, limit=degrees, lon=lon, lat=lat)
     inside = point_in_polygon(places, edges, lon, lat).select(lon, lat, "region_id")
-    close = flat.select(lon, lat, "region_id").union(inside).distinct()
-    near = place_region_km(places, edges, lon, lat, reach).join(close, [lon, lat, "region_id"], "left_semi")
-    lost = places.join(close, [lon, lat], "left_anti")
-    far = place_region_km(lost, edges, lon, lat)
+    close = cut_lineage(flat.select(lon, lat, "region_id").union(inside).distinct())
+    near = place_region_km(close, edges, lon, lat, paired=True)
+    far = place_region_km(places.join(close, [lon, lat], "left_anti"), edges, lon, lat)
     return rows.join(near.unionByName(far), [lon, lat]).select(id, "region_id", "dist_km")
 
 
@@ -257,7 +263,7 @@ def nearest_region(points: DataFrame, edges: DataFrame, out: str = "region_id",
                    lon: str = "LONGITUDE", lat: str = "LATITUDE",
                    window_deg: float | None = None) -> DataFrame:
     """Add the containing region, else the nearest one (within the window), else null."""
-    placed = assign_region(points, edges, "_inside", lon, lat, match)
+    placed = cut_lineage(assign_region(points, edges, "_inside", lon, lat, match))
     lost = placed.where(F.col("_inside").isNull())
     limit = None
     if window_deg is not None:

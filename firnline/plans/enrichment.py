@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from firnline.functions.loads import INCH_TO_MM
 from firnline.operators import rules, spatial
 from firnline.operators.reshape import state_abbreviation
+from firnline.session import cut_lineage
 
 # Fixed value: the record the limits are taken from.
 SNOW_DEPTH_RECORD = "All-Time Maximum Snow Depth"
@@ -42,10 +43,10 @@ def add_ecoregion(stations: DataFrame, full: DataFrame, simple: DataFrame, borde
     the window keeps null.
     """
     placed = spatial.assign_region(stations, full, "ECO3")
-    placed = spatial.assign_region(placed, simple, "ECO3_simp")
+    placed = cut_lineage(spatial.assign_region(placed, simple, "ECO3_simp"))
     matched = placed.where(F.col("ECO3").isNotNull())
     others = placed.where(F.col("ECO3").isNull())
-    near = matched.unionByName(spatial.within_degrees(others, simple, border_deg))
+    near = cut_lineage(matched.unionByName(spatial.within_degrees(others, simple, border_deg)))
     missing = F.col("ECO3").isNull() | F.col("ECO3_simp").isNull()
     close = spatial.nearest_region(near.where(missing), simple, "_close", window_deg=window_deg).select(
         "ID", "_close")

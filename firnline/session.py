@@ -30,6 +30,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage so that a loop's plan stays short."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    The plan behind it is gone, it survives the loss of executors, and Spark
+    sees its true size. (A checkpoint would keep the size Spark had estimated,
+    and estimates of repeated joins multiply.)
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
