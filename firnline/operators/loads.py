@@ -115,10 +115,10 @@ def load_outliers(rows: DataFrame, bounds: DataFrame) -> DataFrame:
         "cuID", "ID", "DATE", "WEIGHT", "CUTOFF")
 
 
-def long_records(covered_maxima: DataFrame) -> DataFrame:
-    """Clusters with more than eleven covered seasons, without their lowest tenth.
+def long_records(covered_maxima: DataFrame, min_seasons: int = MIN_SEASONS) -> DataFrame:
+    """Clusters with more than ``min_seasons`` covered seasons, without their lowest tenth.
 
     Low seasons stay where the lower quartile is zero.
     """
-    n = covered_maxima.groupBy("cuID").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIN_SEASONS)
+    n = covered_maxima.groupBy("cuID").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_seasons)
     return with_group(covered_maxima, n, "cuID").where((F.col("maxW") > F.col("q10")) | (F.col("q25") == 0))

@@ -9,6 +9,8 @@ with that region's rows, as its contract says; see :func:`function_models`.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firnline.operators import spatial
+from firnline.session import cut_lineage
+
 
 def _per_region(value) -> Column:
     """A number for all regions, or a dict of region to number."""
@@ -186,3 +191,51 @@ def predict_function(data: DataFrame, distances: DataFrame, models: DataFrame, i
     rows = weights.select(id, "region_id").join(data, id)
     preds = function_predictions(rows, models, id, predict)
     return blend(preds.join(weights.select(id, "region_id", "w"), [id, "region_id"]), id)
+
+
+# --- both steps together ------------------------------------------------------------------
+
+@dataclass
+class RegionalModel:
+    """Models of all regions and what predicting with them needs."""
+
+    models: DataFrame
+    members: DataFrame
+    edges: DataFrame
+    lon: str
+    lat: str
+    x: list[str] | None = None
+    predict_function: Callable | None = None
+
+    def predict(self, data: DataFrame, id: str, smooth, distances: DataFrame | None = None) -> DataFrame:
+        """(id, prediction); ``smooth`` is a width in km, or one per region."""
+        if distances is None:
+            widest = max(smooth.values()) if isinstance(smooth, dict) else smooth
+            known = self.models.where(F.col("error").isNull()).select("region_id")
+            edges = self.edges.join(known, "region_id", "left_semi")
+            distances = cut_lineage(spatial.regional_distance(data, edges, id, self.lon, self.lat, widest))
+        if self.x is not None:
+            return predict_linear(data, distances, self.models, id, self.x, smooth)
+        return predict_function(data, distances, self.models, id, self.predict_function, smooth)
+
+
+def regional_model(data: DataFrame, edges: DataFrame, id: str, buffer, min_n: int = 0, y: str | None = None,
+                   x=None, fit: Callable | None = None, predict: Callable | None = None,
+                   lon: str = "LONGITUDE", lat: str = "LATITUDE",
+                   distances: DataFrame | None = None) -> RegionalModel:
+    """Train one model per region: linear (``y``, ``x``) or the user's (``fit``, ``predict``).
+
+    ``members`` of the result lists the training rows of each region, and the
+    ``error`` column of ``models`` the regions whose model failed.
+    """
+    if (fit is None) == (y is None):
+        raise ValueError("give either y and x, or fit and predict")
+    if distances is None:
+        distances = cut_lineage(spatial.regional_distance(data, edges, id, lon, lat))
+    members = cut_lineage(membership(distances, id, buffer, min_n))
+    if fit is None:
+        models = linear_models(data, members, id, y, list(x or []))
+    else:
+        models = function_models(data, members, id, fit)
+    return RegionalModel(cut_lineage(models), members, edges, lon, lat,
+                         None if fit else list(x or []), predict)

@@ -11,6 +11,7 @@ from firnline.functions import loads as conv
 from firnline.functions.labels import parent_region
 from firnline.operators import fitting, loads, rules, spatial
 from firnline.operators.reshape import row_median
+from firnline.session import cut_lineage
 
 MISSING_BASIN = 99999999
 
@@ -41,19 +42,20 @@ def cluster_summary(stations: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def design_loads(obs: DataFrame, stations: DataFrame, first_year: int = 1967, last_year: int = 2018,
-                 method: str = "Sturm", remove_outliers: bool = True):
+                 method: str = "Sturm", remove_outliers: bool = True, min_seasons: int = loads.MIN_SEASONS):
     """(load table, outliers, covered maxima).
 
     The outlier table carries ``relevant``, 1 where its cluster got a load. It is
     empty when outliers are kept.
     """
-    daily = daily_loads(obs, stations, first_year, last_year, method)
-    outliers = outliers_of(daily)
+    daily = cut_lineage(daily_loads(obs, stations, first_year, last_year, method))
+    outliers = cut_lineage(outliers_of(daily))
     if remove_outliers:
         daily = rules.anti(daily, outliers, ["cuID", "ID", "DATE"])
     else:
         outliers = outliers.limit(0)
-    maxima = loads.long_records(loads.covered(loads.season_maxima(loads.daily_representative(daily))))
+    maxima = cut_lineage(loads.long_records(loads.covered(loads.season_maxima(
+        loads.daily_representative(daily))), min_seasons))
     levels = fitting.load_summary(maxima, "cuID", "maxW").withColumnRenamed("cuID", "_key")
     places = cluster_summary(stations, daily)
     table = places.join(levels, F.col("cuID").eqNullSafe(F.col("_key"))).drop("_key")

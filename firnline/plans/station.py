@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.operators import cluster, fitting, maxima, qc, rules
+from firnline.session import cut_lineage
 from firnline.sources.scans import region_scan
 
 
@@ -38,7 +39,7 @@ def depth_maxima(obs: DataFrame, stations: DataFrame, states, max_latitude: floa
     cluster is what a loop over ecoregions would do.
     """
     kept = rules.in_states(stations, states, max_latitude)
-    grouped = cluster.cluster_stations(kept, dist_adj, elev_adj, h, group="ECO3", label=True)
+    grouped = cut_lineage(cluster.cluster_stations(kept, dist_adj, elev_adj, h, group="ECO3", label=True))
     rows = obs.join(grouped.select("ID", "CLUST"), "ID")
     clean = qc.clean_station_data(rows, ["mpzero", "qflag", "month", "high_max"], max_grouping="CLUST",
                                   iqr_cutoff=3, max_yearly_outliers=5)

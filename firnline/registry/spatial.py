@@ -12,6 +12,7 @@ from firnline.plans import climate, enrichment, pairs as pair_plan
 from firnline.registry.base import big, query, rnd
 from firnline.registry.sqltext import (IN_RECTANGLE, RECTANGLES, haversine_sql, sphere_distance_ctes,
                                        with_views)
+from firnline.session import cut_lineage
 
 
 def regions(cat):
@@ -406,14 +407,19 @@ MODEL_VIEWS = {
 }
 
 
+def _distances(cat):
+    """Written once: membership and blending read it several times."""
+    return cut_lineage(spatial.regional_distance(cat.places, regions(cat), "ID"))
+
+
 @query("r1_region_members", with_views("SELECT region_id, ID FROM members", "places", "regions", "edges", **MODEL_VIEWS))
 def r1_members(cat):
-    d = spatial.regional_distance(cat.places, regions(cat), "ID")
+    d = _distances(cat)
     return regional.membership(d, "ID", 150, 400).select("region_id", "ID")
 
 
 def _models(cat):
-    d = spatial.regional_distance(cat.places, regions(cat), "ID")
+    d = _distances(cat)
     return d, regional.linear_models(cat.places, regional.membership(d, "ID", 150, 400), "ID", "VALUE", ["ELEVATION"])
 
 
@@ -439,7 +445,7 @@ SELECT ID, round(sum(w * m) / sum(w), 5) AS PREDICTION FROM scored JOIN (
   SELECT region_id, median(VALUE) AS m FROM members JOIN places USING (ID) GROUP BY region_id) USING (region_id) GROUP BY ID""",
                                         "places", "regions", "edges", **MODEL_VIEWS))
 def r2_function(cat):
-    d = spatial.regional_distance(cat.places, regions(cat), "ID")
+    d = _distances(cat)
     members = regional.membership(d, "ID", {"A": 150, "B": 150, "C": 150, "D": 150}, 400)
     models = regional.function_models(cat.places, members, "ID", lambda rows: float(rows["VALUE"].median()))
     out = regional.predict_function(cat.places, d, models, "ID", lambda m, rows: [m] * len(rows), 120)

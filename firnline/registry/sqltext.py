@@ -50,7 +50,7 @@ def wy(date: str = "DATE") -> str:
 def with_views(body: str, *views: str, **extra: str) -> str:
     """``body`` behind a WITH list of the named base views and any extra ones."""
     parts = [f"{v} AS ({BASE[v]})" for v in views] + [f"{k} AS ({q})" for k, q in extra.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 ROW_RULES = """(MFLAG IS NULL OR MFLAG <> 'P') AND (QFLAG IS NULL OR QFLAG IN ('', ' '))
