@@ -145,7 +145,7 @@ def function_predictions(scored: DataFrame, models: DataFrame, id: str, predict,
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({id: [], "region_id": [], "pred": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (id, "region_id", "pred")})
         model = pickle.loads(right["model"].iloc[0])
         values = np.asarray(predict(model, left.drop(columns="_s")), float)
         return pd.DataFrame({id: left[id].to_numpy(), "region_id": left["region_id"].to_numpy(), "pred": values})

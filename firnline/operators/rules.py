@@ -49,7 +49,7 @@ def in_states(stations: DataFrame, states, max_latitude: float | None = None) ->
 
 def drop_element_year(df: DataFrame, element: str = "WESD", year: int = 1952,
                       date: str = "DATE") -> DataFrame:
-    """Remove one element in one calendar year; a null date or element removes the row."""
+    """Remove one element in one calendar year; other elements stay, even without a date."""
     return df.where((F.year(date) != year) | (F.col("ELEMENT") != element))
 
 

@@ -62,14 +62,14 @@ def brute_linkage(score, size, h, method):
 @pytest.mark.parametrize("method", cluster.REDUCIBLE)
 def test_clusters_against_definition(spark, method):
     rng = np.random.default_rng(3)
-    base = np.column_stack([rng.uniform(-110, -108.5, 26), rng.uniform(40, 41.5, 26), rng.uniform(1000, 1600, 26)])
+    base = np.column_stack([rng.uniform(-110, -108.5, 14), rng.uniform(40, 41.5, 14), rng.uniform(1000, 1600, 14)])
     rows = np.vstack([base, base[:4], base[:2]])  # copies of some places
     df = points(spark, rows)
     want_places = brute_linkage(
         np.array([[km(a[:2], b[:2]) / 40 + abs(a[2] - b[2]) / 300 for b in base] for a in base]),
-        np.array([1.0 + (i < 4) + (i < 2) for i in range(26)]), 1.6, method)
-    want = sorted(sorted(g + [26 + i for i in g if i < 4] + [30 + i for i in g if i < 2]) for g in want_places)
-    assert 3 < len(want) < 26
+        np.array([1.0 + (i < 4) + (i < 2) for i in range(14)]), 1.6, method)
+    want = sorted(sorted(g + [14 + i for i in g if i < 4] + [18 + i for i in g if i < 2]) for g in want_places)
+    assert 1 < len(want) < 14
     for small in (2000, 0):
         got = cluster.cluster_stations(df, 40, 300, 1.6, method, small_group=small).toPandas()
         assert sorted(sorted(g.ID.tolist()) for _, g in got.groupby("CLUST")) == want
