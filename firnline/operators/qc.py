@@ -98,7 +98,8 @@ def above_county_max(obs: DataFrame, stations: DataFrame, county_maxes: DataFram
     w = Window.partitionBy(*CHUNK).orderBy(*order)
     rank = F.struct(*order)
 
-    rows = _station_months(obs.join(station_limits(stations, county_maxes), "ID", "left"))
+    # Spread by station-month even where the join had to bring a station together.
+    rows = _station_months(obs.join(station_limits(stations, county_maxes), "ID", "left")).repartition(*CHUNK)
     stepped = (rows
                .withColumn("_prev", F.lag(F.struct("VALUE", "DATE")).over(w))
                .withColumn("_step", F.when(
