@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from firnline.functions import extremes, labels
@@ -301,7 +303,35 @@ def d12_gamma(cat):
         "ID", rnd("L98", 3).alias("L98"))
 
 
-@query("d13_load_summary")
+def _load_summary_sql() -> str:
+    """All load columns at once: a chain per Weibull form and a gamma quantile per share."""
+    names = {"DLI": "gumbel", "DLII": "frechet", "DLIII": "revweibull", "DLW": "weibull"}
+    views, joins, columns = {}, "", []
+    for stem, form in names.items():
+        pre = stem.lower()
+        views[f"{pre}_y"] = f"SELECT ID AS G, {FAMILY_FORMS[form]} AS y FROM ym JOIN stats USING (ID) WHERE MAX > 0"
+        views.update(tilt_sql(f"{pre}_y", prefix=pre))
+        views[f"{pre}_c"] = f"SELECT G AS ID, k AS {pre}_k, log_scale AS {pre}_s FROM {pre}_fit"
+        joins += f" LEFT JOIN {pre}_c USING (ID)"
+        fit = re.sub(r"\bk\b", f"{pre}_k", FAMILY_LEVELS[form].replace("log_scale", f"{pre}_s"))
+        columns += [f"{level_sql(fit, 0.98)} AS {stem}", f"{level_sql(fit, 0.99)} AS {stem}2"]
+    views["gsrc"] = "SELECT ID AS G, M AS m, ML AS ml FROM stats WHERE POS > 4 AND TOP > LO"
+    views.update(gamma_shape_sql("gsrc"))
+    for share, pre, stem in ((0.98, "ga", "DLG"), (0.99, "gb", "DLG2")):
+        t = f"({share} - Z) / (1 - Z)"
+        views[f"{pre}in"] = f"SELECT G, {t} AS p, k AS a FROM gk15 JOIN stats ON ID = G WHERE {t} > 0"
+        views.update(gamma_quantile_sql(f"{pre}in", prefix=pre))
+        views[f"{pre}_c"] = f"SELECT G AS ID, x / a AS {pre}_x FROM {pre}_fit"
+        joins += f" LEFT JOIN {pre}_c USING (ID)"
+        columns.append(f"{level_sql(f'{pre}_x * M', share)} AS {stem}")
+    log = "exp(ML + SL * (" + qnorm_sql("{T}") + "))"
+    columns += [f"{level_sql(log, 0.98)} AS DLL", f"{level_sql(log, 0.99)} AS DLL2"]
+    return with_views(f"SELECT ID, N AS numMax, MED AS medMax, TOP AS mMax, {', '.join(columns)} FROM stats "
+                      f"JOIN (SELECT ID, median(MAX) AS MED FROM ym GROUP BY ID) USING (ID){joins}",
+                      "obs_sparse", clean=CLEAN_SPARSE, ym=YM, stats=LEVEL_STATS, **views)
+
+
+@query("d13_load_summary", _load_summary_sql())
 def d13(cat):
     out = fitting.load_summary(sparse_maxima(cat), "ID", "MAX")
     return out.select("ID", "numMax", rnd("medMax").alias("medMax"), rnd("mMax").alias("mMax"),
