@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import checks
+from firnline.llm.decontam import contamination
 from firnline.llm.quality import quality
 from firnline.llm.simhash import near_duplicates
 from firnline.llm.text import table
@@ -32,3 +33,8 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
 @query("op2_golay_simhash")
 def op2(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
+
+
+@query("op7_winnowing")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))

@@ -182,4 +182,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with its smallest doc_id, of repeated rows one."""
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"])
