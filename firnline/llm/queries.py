@@ -10,6 +10,7 @@ from firnline.llm import checks
 from firnline.llm.decontam import contamination
 from firnline.llm.quality import quality
 from firnline.llm.simhash import near_duplicates
+from firnline.llm.substrings import digest, without_repeats
 from firnline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+@query("op4_count_min")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return digest(without_repeats(table(spark, root, "documents")))
+
+
 @query("op7_winnowing")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))

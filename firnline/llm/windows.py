@@ -12,20 +12,19 @@ import xxhash
 PIECE_BYTES = 2_000_000
 
 # Odd multiplier of the rolling hash, and the constants of the splitmix64 finaliser.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, np.ndarray] = {}
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step)
-    return _powers[0], _powers[1]
+def _powers_to(n: int, base: int) -> np.ndarray:
+    """The powers 0 to n - 1 of ``base`` modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        step = np.full(n, base, np.uint64)
+        step[0] = 1
+        _powers[base] = np.cumprod(step)
+    return _powers[base][:n]
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -56,19 +55,27 @@ class Words:
         self.first = last - self.counts
         self.left = np.repeat(last, self.counts) - np.arange(n)
         self.place = np.arange(n) - np.repeat(self.first, self.counts)
-        power, _ = _powers_to(len(raw) + 1)
-        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)])])
+        self._raw = raw
 
-    def hashes(self, k: int) -> np.ndarray:
-        """A hash of the k words from each word on; only valid where ``left`` is k or more."""
-        n = len(self.start)
+    def _hashes(self, k: int, base: int) -> np.ndarray:
+        n, size = len(self.start), len(self.data)
         out = np.zeros(n, np.uint64)
         if n >= k:
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum((self._raw.astype(np.uint64) + np.uint64(1)) * _powers_to(size, base), out=sums[1:])
             s = self.start[:n - k + 1]
-            _, inverse = _powers_to(len(self.data) + 1)
-            out[:n - k + 1] = mix((self._sums[self.end[k - 1:]] - self._sums[s]) * inverse[s])
+            # Differences of prefix sums, brought to a common power.
+            out[:n - k + 1] = mix((sums[self.end[k - 1:]] - sums[s]) * _powers_to(size + 1, pow(base, -1, 1 << 64))[s])
         return out
 
+    def hashes(self, k: int) -> np.ndarray:
+        """A hash of the k words from each word on; only valid where ``left`` is k or more."""
+        return self._hashes(k, _BASES[0])
+
+    def second(self, k: int) -> np.ndarray:
+        """Another 32 bits of hash of the same words."""
+        return (self._hashes(k, _BASES[1]) >> np.uint64(32)).astype(np.uint32)
+
     def exact(self, at: np.ndarray, k: int) -> np.ndarray:
         """128-bit hashes, as two columns, of the k words from each word in ``at`` on."""
         data, digest = self.data, xxhash.xxh3_128_digest
