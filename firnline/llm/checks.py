@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firnline.llm import quality
+from firnline.llm import mixing, quality, sharding
 from firnline.llm.text import CRC_TABLE_SQL, crc_sql
 
 QUALITY = rf"""
@@ -36,3 +36,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, scor
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(score >= t, true) AS kept FROM f, t
 """
+
+
+def unit_sql(*parts: str) -> str:
+    text = " || ':' || ".join(f"coalesce(({p})::VARCHAR, '~')" for p in parts)
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / {float(2 ** 52)!r})"
+
+
+MIX = f"""
+WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0) + 16)::DOUBLE AS bytes FROM documents GROUP BY source),
+r AS (SELECT source, pow(bytes, {mixing.POWER}) / sum(pow(bytes, {mixing.POWER})) OVER () * sum(bytes) OVER () / bytes AS rate FROM sizes),
+q AS (SELECT source, rate, ceil(rate / {mixing.PART})::INT AS parts FROM r),
+pk AS (SELECT source, parts, k, CASE WHEN k = 0 THEN exp(-rate / parts)
+    ELSE exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) END AS p FROM q, range({mixing.STEPS + 1}) AS s(k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pk),
+u AS (SELECT doc_id, d.source, j, CASE WHEN parts = 1 THEN {unit_sql(str(mixing.SEED), 'doc_id', "'count'")}
+    ELSE {unit_sql(str(mixing.SEED), 'doc_id', "'count'", 'j')} END AS u
+  FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source, range(parts) AS s(j)),
+n AS (SELECT doc_id, u.source, count(c) AS n FROM u LEFT JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id, u.source)
+SELECT doc_id, source, n::INT AS n_copies, copy::INT AS copy,
+  row_number() OVER (ORDER BY {unit_sql(str(mixing.SEED), 'doc_id', "'order'", 'copy')}, doc_id, copy) - 1 AS position
+FROM n, range(1, n + 1) AS s(copy)
+"""
+
+_TOP = (1 << sharding.BITS) - 1
+SHARDS = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+d AS (SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, coalesce({crc_sql('text')}, 0) AS text_crc32,
+    coalesce({crc_sql('lang')} & {_TOP}, 0) AS a, coalesce({crc_sql('source')} & {_TOP}, 0) AS b FROM documents, crc_table c),
+e AS (SELECT *, least(2 * (length(bin(size)) - 5) + substr(bin(size), 2, 1)::INT, {_TOP})::BIGINT AS z FROM d),
+turn AS (SELECT DISTINCT a, b, z, a AS x0, b AS x1, z AS x2, {1 << (sharding.BITS - 1)}::BIGINT AS q FROM e
+  UNION ALL
+  SELECT a, b, z, x0, x1, x2, q >> 1 FROM (
+    SELECT a, b, z, q, CASE WHEN y2 & q > 0 THEN xor(y0, q - 1) ELSE xor(y0, xor(y0, y2) & (q - 1)) END AS x0, y1 AS x1,
+      CASE WHEN y2 & q > 0 THEN y2 ELSE xor(y2, xor(y0, y2) & (q - 1)) END AS x2 FROM (
+      SELECT a, b, z, q, x2 AS y2, CASE WHEN x1 & q > 0 THEN xor(w, q - 1) ELSE xor(w, xor(w, x1) & (q - 1)) END AS y0,
+        CASE WHEN x1 & q > 0 THEN x1 ELSE xor(x1, xor(w, x1) & (q - 1)) END AS y1 FROM (
+        SELECT *, CASE WHEN x0 & q > 0 THEN xor(x0, q - 1) ELSE x0 END AS w FROM turn WHERE q > 1)))),
+gray AS (SELECT a, b, z, x0 AS g0, xor(x0, x1) AS g1, xor(xor(x0, x1), x2) AS g2 FROM turn WHERE q = 1),
+flip AS (SELECT *, list_reduce([0::BIGINT] || list_transform(range(1, {sharding.BITS}), lambda i: CASE WHEN g2 & (1 << i) > 0 THEN (1 << i) - 1 ELSE 0 END),
+    lambda m, n: xor(m, n)) AS f FROM gray),
+ind AS (SELECT a, b, z, list_sum(list_transform(range({sharding.BITS}), lambda i:
+    (((xor(g0, f) >> i) & 1) << (3 * i + 2)) + (((xor(g1, f) >> i) & 1) << (3 * i + 1)) + (((xor(g2, f) >> i) & 1) << (3 * i))))::BIGINT AS hilbert FROM flip),
+p AS (SELECT *, row_number() OVER (ORDER BY hilbert, text_crc32, doc_id, size) - 1 AS pos, count(*) OVER () AS n FROM e JOIN ind USING (a, b, z)),
+s AS (SELECT *, (pos * {sharding.SHARDS} // n)::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard,
+  (pos - (shard * n + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, hilbert FROM s
+"""

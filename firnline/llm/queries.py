@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import checks
 from firnline.llm.decontam import contamination
+from firnline.llm.mixing import mixed_ids
 from firnline.llm.quality import quality
+from firnline.llm.sharding import placement
 from firnline.llm.simhash import near_duplicates
 from firnline.llm.substrings import digest, without_repeats
 from firnline.llm.text import table
@@ -36,11 +38,21 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+@query("op3_poisson_mix", checks.MIX)
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return mixed_ids(table(spark, root, "documents"))
+
+
 @query("op4_count_min")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     return digest(without_repeats(table(spark, root, "documents")))
 
 
+@query("op5_hilbert_shards", checks.SHARDS)
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return placement(table(spark, root, "documents"))
+
+
 @query("op7_winnowing")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
