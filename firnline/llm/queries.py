@@ -14,6 +14,7 @@ from firnline.llm.sharding import placement
 from firnline.llm.simhash import near_duplicates
 from firnline.llm.substrings import digest, without_repeats
 from firnline.llm.text import table
+from firnline.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -56,3 +57,8 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_winnowing")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op8_warc_split")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return round_trip(table(spark, root, "pages"))
