@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import checks
 from firnline.llm.decontam import contamination
+from firnline.llm.langid import identify
 from firnline.llm.mixing import mixed_ids
 from firnline.llm.quality import quality
 from firnline.llm.sharding import placement
@@ -54,6 +55,11 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
     return placement(table(spark, root, "documents"))
 
 
+@query("op6_piece_language")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return identify(table(spark, root, "documents"))
+
+
 @query("op7_winnowing")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
