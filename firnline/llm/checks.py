@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from firnline.llm import mixing, quality, sharding
+from firnline.llm import decontam, mixing, quality, sharding, substrings, urls
 from firnline.llm.text import CRC_TABLE_SQL, crc_sql
 
 QUALITY = rf"""
@@ -83,3 +83,84 @@ s AS (SELECT *, (pos * {sharding.SHARDS} // n)::INT AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard,
   (pos - (shard * n + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, hilbert FROM s
 """
+
+
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+win AS (SELECT doc_id, i, list_slice(words, i, i + {substrings.WINDOW - 1}) AS w FROM d, range(1, len(words) - {substrings.WINDOW - 2}) AS r(i)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM dup, range({substrings.WINDOW}) AS r(k) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
+def _letter_words(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_letter_words('text')} AS words FROM documents),
+b AS (SELECT item_id, {_letter_words('text')} AS words FROM benchmark),
+bw AS (SELECT DISTINCT item_id, t, list_slice(words, i, i + t - 1) AS w
+  FROM (SELECT *, least(len(words), {decontam.WINDOW}) AS t FROM b WHERE len(words) > 0), range(1, len(words) - t + 2) AS r(i)),
+dw AS (SELECT doc_id, i, t, list_slice(words, i, i + t - 1) AS w FROM d, (SELECT DISTINCT t FROM bw), range(1, len(words) - t + 2) AS r(i)),
+hit AS (SELECT doc_id, i, t, item_id FROM dw JOIN bw USING (t, w)),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(t) AS r(k) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first_id FROM p)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+_FIT = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h + p}'"
+    for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+_K = urls.ORDER
+
+
+def _level(k: int) -> str:
+    """One more character of context: counts of the tails, of their contexts, and the blended probabilities."""
+    blend = ", ".join(f"CASE WHEN all_{c} > 0 THEN (coalesce(n_{c}, 0) + kinds_{c} * p_{c}) / (all_{c} + kinds_{c}) ELSE p_{c} END AS p_{c}" for c in ("good", "bad"))
+    return f"""t{k} AS (SELECT substr(gram, {_K + 1 - k}, {k + 1}) AS tail, sum(good) AS n_good, sum(bad) AS n_bad FROM counted WHERE good + bad > 0 GROUP BY 1),
+c{k} AS (SELECT substr(tail, 1, {k}) AS context, sum(n_good) AS all_good, sum(n_bad) AS all_bad,
+  count(*) FILTER (n_good > 0) AS kinds_good, count(*) FILTER (n_bad > 0) AS kinds_bad FROM t{k} GROUP BY 1),
+p{k} AS (SELECT gram, {blend} FROM p{k - 1 if k else 's'} LEFT JOIN t{k} ON tail = substr(gram, {_K + 1 - k}, {k + 1})
+  LEFT JOIN c{k} ON context = substr(gram, {_K + 1 - k}, {k}))"""
+
+
+URLS = f"""
+WITH {CRC_TABLE_SQL},
+u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{urls.PARTS}', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '{urls.PARTS}', 2) AS path FROM pages),
+r AS (SELECT *, host || path AS text, {_FIT} AS found FROM u),
+x AS (SELECT text, count(*) FILTER (starts_with(found, 'allow ')) AS good, count(*) FILTER (starts_with(found, 'block ')) AS bad FROM r GROUP BY text),
+y AS (SELECT x.*, {crc_sql('text')} % 4 = 2 AS calibrates FROM x, crc_table c),
+g AS (SELECT text, good, bad, calibrates, substr('{urls.START * _K}' || text || '{urls.END}', i::INT, {_K + 1}) AS gram FROM y, range(1, length(text) + 2) AS s(i)),
+counted AS (SELECT gram, sum(CASE WHEN calibrates THEN 0 ELSE good END)::BIGINT AS good, sum(CASE WHEN calibrates THEN 0 ELSE bad END)::BIGINT AS bad FROM g GROUP BY gram),
+ps AS (SELECT gram, {1 / urls.SYMBOLS!r}::DOUBLE AS p_good, {1 / urls.SYMBOLS!r}::DOUBLE AS p_bad FROM counted),
+{", ".join(_level(k) for k in range(_K + 1))},
+s AS (SELECT text, good, bad, calibrates, sum(round((ln(p_good) - ln(p_bad)) * 1e6)::BIGINT)::BIGINT / (count(*) * 1e6) AS score
+  FROM g JOIN p{_K} USING (gram) GROUP BY ALL),
+st AS (SELECT floor(score * {urls.STEPS})::BIGINT AS step, sum(good) AS good, sum(bad) AS bad FROM s WHERE calibrates GROUP BY 1),
+ga AS (SELECT step, coalesce(sum(bad) OVER w, 0) * sum(good) OVER () - coalesce(sum(good) OVER w, 0) * sum(bad) OVER () AS gain,
+  least(sum(good) OVER (), sum(bad) OVER ()) AS least_ FROM st WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce((SELECT step / {float(urls.STEPS)!r} FROM ga WHERE least_ > 0 ORDER BY gain DESC, step LIMIT 1), 0) AS l)
+SELECT page_id, host, path, CASE WHEN found IS NOT NULL THEN substr(found, 7) END AS rule,
+  CASE WHEN found IS NOT NULL THEN substr(found, 1, 5) WHEN score >= l THEN 'allow' ELSE 'block' END AS verdict, score
+FROM r JOIN s USING (text), l
+"""

@@ -15,6 +15,7 @@ from firnline.llm.sharding import placement
 from firnline.llm.simhash import near_duplicates
 from firnline.llm.substrings import digest, without_repeats
 from firnline.llm.text import table
+from firnline.llm.urls import judged
 from firnline.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +46,7 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     return mixed_ids(table(spark, root, "documents"))
 
 
-@query("op4_count_min")
+@query("op4_count_min", checks.REPEATS)
 def op4(spark: SparkSession, root: str) -> DataFrame:
     return digest(without_repeats(table(spark, root, "documents")))
 
@@ -60,11 +61,16 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return identify(table(spark, root, "documents"))
 
 
-@query("op7_winnowing")
+@query("op7_winnowing", checks.CONTAMINATION)
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return contamination(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
 
-@query("op8_warc_split")
+@query("op8_warc_split", checks.WARC)
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return round_trip(table(spark, root, "pages"))
+
+
+@query("op10_url_ratio", checks.URLS)
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return judged(table(spark, root, "pages"))
