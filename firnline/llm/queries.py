@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import checks
 from firnline.llm.decontam import contamination
+from firnline.llm.html import extract
 from firnline.llm.langid import identify
 from firnline.llm.mixing import mixed_ids
 from firnline.llm.quality import quality
@@ -71,6 +72,11 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
     return round_trip(table(spark, root, "pages"))
 
 
+@query("op9_block_tree")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return extract(table(spark, root, "pages"))
+
+
 @query("op10_url_ratio", checks.URLS)
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return judged(table(spark, root, "pages"))
