@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from firnline.llm.ranks import without
 from firnline.llm.text import col, crc32
 from firnline.session import cut_lineage
 
@@ -239,12 +241,12 @@ class Scorer:
         return [UNKNOWN if e else self.langs[b] for b, e in zip(best, empty)], np.where(empty, 0.0, share)
 
 
-def _judge(langs: list[str], pieces: list[str], model: np.ndarray):
+def _judge(langs: list[str], pieces: list[str], model: np.ndarray, text_col: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(langs, pieces, model)
         for part in parts:
             pred, score, held, size = [], [], [], 0
-            for t in part.column("text"):
+            for t in part.column(text_col):
                 held.append(words_of(t.as_py()))
                 size += len(held[-1])
                 if size >= 300_000:
@@ -253,11 +255,27 @@ def _judge(langs: list[str], pieces: list[str], model: np.ndarray):
             if held:
                 p, s = scorer.judge(held)
                 pred, score = pred + p, score + s.tolist()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                                             [*part.schema.names, "lang_pred", "score"])
     return run
 
 
+def with_language(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``docs`` with lang_pred and score (columns of these names are replaced); see ``identify``."""
+    known = docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").alias("text"), col(docs, "lang").alias("lang"))
+    pieces = load_pieces(vocabulary)
+    langs, model = fit(known, pieces, max_docs=max_docs)
+    kept = without(docs, "lang_pred", "score")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(_judge(langs, pieces, model, "text"), schema)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language is UNKNOWN."""
+    found = with_language(docs)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[col(found, c) for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+
+
 def identify(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``.
 
@@ -268,8 +286,6 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int = MAX_
     held out nor learned from; repeated rows get a result each; other columns
     are ignored.
     """
-    texts = docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").alias("text"), col(docs, "lang").alias("lang"))
-    pieces = load_pieces(vocabulary)
-    langs, model = fit(texts, pieces, max_docs=max_docs)
-    judged = texts.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    return judged.mapInArrow(_judge(langs, pieces, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    found = with_language(docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").alias("text"), col(docs, "lang").alias("lang")),
+                          vocabulary, max_docs)
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.llm.graph import components
@@ -179,7 +179,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with its smallest doc_id, of repeated rows one."""
+    """``docs`` without near-duplicates: of each component the row with its smallest doc_id.
+
+    Of rows with one id a single one stays, by the hash of its text.
+    """
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(cut_lineage(keep), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("_row", one).where(F.col("_row") == 1).drop("_row")
