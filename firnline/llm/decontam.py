@@ -52,12 +52,12 @@ def _prints(lengths: list[int]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                ids = part.column("doc").to_numpy(zero_copy_only=False)
+                ids = part.column("doc")
                 for first, words in pieces(part.column("text"), letter_words):
                     for t in lengths:
                         at, hashes = winnow(words, t)
                         if len(at):
-                            yield {"doc": ids[first + words.doc[at]], "t": np.full(len(at), t, np.int32),
+                            yield {"doc": ids.take(pa.array(first + words.doc[at])), "t": np.full(len(at), t, np.int32),
                                    "hash": hashes.view(np.int64), "place": words.place[at].astype(np.int32)}
         yield from batches(rows(), _PRINTS)
     return run
@@ -73,13 +73,13 @@ def _item_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows of each item."""
     def rows():
         for part in parts:
-            ids = part.column("doc").to_numpy(zero_copy_only=False)
+            ids = part.column("doc")
             for first, words in pieces(part.column("text"), letter_words):
                 size = np.minimum(words.counts[words.doc], WINDOW)
                 for t in np.unique(size).tolist():
                     at = np.flatnonzero((size == t) & (words.left >= t))
                     h = words.exact(at, t)
-                    yield {"doc": ids[first + words.doc[at]], "t": np.full(len(at), t, np.int32), "h1": h[:, 0], "h2": h[:, 1],
+                    yield {"doc": ids.take(pa.array(first + words.doc[at])), "t": np.full(len(at), t, np.int32), "h1": h[:, 0], "h2": h[:, 1],
                            "place": words.place[at].astype(np.int32)}
     yield from batches(rows(), _SPANS)
 
@@ -88,7 +88,7 @@ def _spans_around(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each matched gram of a document, extended to the windows that contain it."""
     def rows():
         for part in parts:
-            ids = part.column("doc").to_numpy(zero_copy_only=False)
+            ids = part.column("doc")
             hits = part.column("hits")
             for first, words in pieces(part.column("text"), letter_words):
                 wanted: dict[int, list[np.ndarray]] = {}
@@ -100,7 +100,7 @@ def _spans_around(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for t, at in wanted.items():
                     at = np.unique(np.concatenate(at))
                     h = words.exact(at, t)
-                    yield {"doc": ids[first + words.doc[at]], "t": np.full(len(at), t, np.int32), "h1": h[:, 0], "h2": h[:, 1],
+                    yield {"doc": ids.take(pa.array(first + words.doc[at])), "t": np.full(len(at), t, np.int32), "h1": h[:, 0], "h2": h[:, 1],
                            "place": words.place[at].astype(np.int32)}
     yield from batches(rows(), _SPANS)
 

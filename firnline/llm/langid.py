@@ -266,8 +266,11 @@ def with_language(docs: DataFrame, vocabulary: str = VOCABULARY, max_docs: int =
     pieces = load_pieces(vocabulary)
     langs, model = fit(known, pieces, max_docs=max_docs)
     kept = without(docs, "lang_pred", "score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(_judge(langs, pieces, model, "text"), schema)
+    # Plain names inside, since a name with a dot can't pass.
+    plain = kept.toDF(*[f"c{i}" for i in range(len(kept.columns))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    text_col = plain.columns[[c.lower() for c in kept.columns].index("text")]
+    return plain.mapInArrow(_judge(langs, pieces, model, text_col), schema).toDF(*kept.columns, "lang_pred", "score")
 
 
 def identified(docs: DataFrame) -> DataFrame:
