@@ -174,34 +174,16 @@ def tilt(values, counts):
     return k_out, scale_out
 
 
-def newton_stencil(free: int):
-    """Offsets of a central-difference gradient and Hessian in ``free`` dimensions."""
-    unit = np.eye(free)
-    points = [np.zeros(free)]
-    points += [s * unit[i] for i in range(free) for s in (1, -1)]
-    points += [unit[i] * s + unit[j] * t
-               for i in range(free) for j in range(i + 1, free) for s in (1, -1) for t in (1, -1)]
-    return points
-
-
-def newton_directions(costs, widths):
-    """Descent directions and Newton decrements from costs at the stencil, one row per group."""
-    f, h = np.asarray(costs, float), np.asarray(widths, float)
-    groups, free = h.shape
-    grad, hess = np.zeros((groups, free)), np.zeros((groups, free, free))
-    for i in range(free):
-        up, down = f[:, 1 + 2 * i], f[:, 2 + 2 * i]
-        grad[:, i] = (up - down) / (2 * h[:, i])
-        hess[:, i, i] = (up - 2 * f[:, 0] + down) / h[:, i] ** 2
-    at = 1 + 2 * free
-    for i in range(free):
-        for j in range(i + 1, free):
-            mixed = (f[:, at] - f[:, at + 1] - f[:, at + 2] + f[:, at + 3]) / (4 * h[:, i] * h[:, j])
-            hess[:, i, j] = hess[:, j, i] = mixed
-            at += 4
+def newton_step(grad, hess, widths):
+    """Descent directions and Newton decrements, one row per group.
+
+    ``widths`` are the units in which the Hessian is well scaled. A curvature
+    that is not positive is lifted, so every direction descends.
+    """
+    grad, hess, h = (np.array(x, dtype=float) for x in (grad, hess, widths))
+    free = h.shape[1]
     ok = np.isfinite(grad).all(axis=1) & np.isfinite(hess).all(axis=(1, 2))
     hess[~ok], grad[~ok] = np.eye(free), 0.0
-    # Work in units of the stencil widths, where the Hessian is well scaled.
     scaled = hess * h[:, :, None] * h[:, None, :]
     low = np.linalg.eigvalsh(scaled)[:, 0]
     top = np.abs(scaled).max(axis=(1, 2)) + 1e-300
@@ -215,17 +197,51 @@ def newton_directions(costs, widths):
 
 # Fixed value: Euler's constant.
 EULER = 0.5772156649015329
-STENCIL_WIDTH = 1e-4
-SETTLED = 1e-9
+#: Newton rounds at most, the decrement below which a group stops, and below which it counts as settled.
+ROUNDS, STOP, SETTLED = 60, 1e-14, 1e-9
+#: A start whose fixed shape leaves values outside the support is widened by this in log scale, again and again.
+WIDEN = 0.5
+#: Below this size of shape times z the logarithm and its derivatives are summed as series.
+SERIES = 1e-3
 LADDER = [0.0] + [2.0 ** -i for i in range(12)]
 
 
-def gev_fit(values, counts, fixed_shapes=None, rounds: int = 60):
+def gev_derivatives(z, xi, inverse_scale):
+    """Gradient and Hessian of a value's cost in (location, log scale, shape), as 3 and 6 arrays.
+
+    With u = ln(1 + xi z) / xi and t = exp(-u) the cost is log scale +
+    (1 + xi) u + t; u1 and u2 are the derivatives of u by the shape.
+    """
+    p = xi * z
+    small = np.abs(p) < SERIES
+    y = 1 + p
+    safe = np.where(small, 1.0, xi)
+    log = np.log(np.where(y > 0, y, 1.0))
+    u = np.where(small, z * (1 - p / 2 + p ** 2 / 3 - p ** 3 / 4 + p ** 4 / 5), log / safe)
+    u1 = np.where(small, z ** 2 * (-1 / 2 + 2 * p / 3 - 3 * p ** 2 / 4 + 4 * p ** 3 / 5 - 5 * p ** 4 / 6), (z / y - u) / safe)
+    u2 = np.where(small, z ** 3 * (2 / 3 - 6 * p / 4 + 12 * p ** 2 / 5 - 20 * p ** 3 / 6 + 30 * p ** 4 / 7),
+                  (-(z / y) ** 2 - 2 * u1) / safe)
+    t = np.exp(np.minimum(-u, 700))
+    rest = 1 + xi - t
+    a, a_z, a_xi = rest / y, (1 + xi) * (t - xi) / y ** 2, (1 + t * u1) / y - rest * z / y ** 2
+    grad = [-inverse_scale * a, 1 - z * a, u + rest * u1]
+    hess = [inverse_scale ** 2 * a_z, inverse_scale * (a + z * a_z), -inverse_scale * a_xi, z * (a + z * a_z), -z * a_xi,
+            2 * u1 + rest * u2 + t * u1 ** 2]
+    return grad, hess
+
+
+def full_hessian(six, free: int):
+    """Matrices from their upper triangles (rows of six sums), cut to the free parameters."""
+    six = np.asarray(six, float)
+    return six[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)[:, :free, :free]
+
+
+def gev_fit(values, counts, fixed_shapes=None, rounds: int = ROUNDS):
     """Maximum likelihood (location, scale, shape) for many groups at once.
 
-    Damped Newton steps from the moment estimates, all groups side by side.
-    A group that does not settle, or whose likelihood grows without bound
-    (shape below -1), gets NaN.
+    Damped Newton steps from the moment estimates, all groups side by side; a
+    group stops by itself. One that does not settle, or whose likelihood grows
+    without bound (shape below -1), gets NaN.
     """
     out = np.full((len(values), 3), np.nan)
     some = np.array([i for i, v in enumerate(values) if len(v) > 1], int)
@@ -243,35 +259,36 @@ def gev_fit(values, counts, fixed_shapes=None, rounds: int = 60):
     shape = np.full(len(some), 0.01) if free == 3 else np.asarray(fixed_shapes, float)[some]
     theta = np.stack([mean - EULER * scale, np.log(scale), shape], axis=1)
 
-    def cost(t):
+    lo, hi = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+    theta[:, 1] += widening(theta, lo, hi)
+
+    def spread(t):
         loc, log_scale, xi = (np.repeat(t[:, k], sizes) for k in range(3))
         with np.errstate(all="ignore"):
-            z = (x - loc) * np.exp(-log_scale)
-            flat = np.abs(xi) < 1e-9
-            support = np.where(flat, 1.0, 1 + xi * z)
-            log_t = np.where(flat, -z, -np.log(support) / np.where(flat, 1.0, xi))
-            each = log_scale - (1 + xi) * log_t + np.exp(np.minimum(log_t, 700))
-            each = np.where(support > 0, each, 1e12)
+            return (x - loc) * np.exp(-log_scale), log_scale, xi
+
+    def cost(t):
+        z, log_scale, xi = spread(t)
+        with np.errstate(all="ignore"):
+            p = xi * z
+            small = np.abs(p) < SERIES
+            u = np.where(small, z * (1 - p / 2 + p ** 2 / 3 - p ** 3 / 4 + p ** 4 / 5),
+                         np.log(np.where(p > -1, 1 + p, 1.0)) / np.where(small, 1.0, xi))
+            each = np.where(p > -1, log_scale + (1 + xi) * u + np.exp(np.minimum(-u, 700)), 1e12)
         return np.add.reduceat(c * each, starts) / n
 
-    if free == 2:
-        # A fixed shape may put a value outside the support of the start: widen it.
-        for _ in range(60):
-            outside = cost(theta) > 1e9
-            if not outside.any():
-                break
-            theta[outside, 1] += 0.5
-    points = newton_stencil(free)
     decrement = np.full(len(some), np.inf)
+    done = np.zeros(len(some), bool)
     for _ in range(rounds):
-        width = np.full((len(some), free), STENCIL_WIDTH)
-        width[:, 0] *= np.exp(theta[:, 1])
-        costs = []
-        for p in points:
-            moved = theta.copy()
-            moved[:, :free] += p * width
-            costs.append(cost(moved))
-        step, decrement = newton_directions(np.stack(costs, axis=1), width)
+        z, log_scale, xi = spread(theta)
+        with np.errstate(all="ignore"):
+            grad, hess = gev_derivatives(z, xi, np.exp(-log_scale))
+            grad, hess = (np.stack([np.add.reduceat(c * g, starts) / n for g in part], axis=1) for part in (grad, hess))
+        widths = np.ones((len(some), free))
+        widths[:, 0] = np.exp(theta[:, 1])
+        step, fall = newton_step(grad[:, :free], full_hessian(hess, free), widths)
+        step[done] = 0.0
+        decrement = np.where(done, decrement, fall)
         trials = []
         for a in LADDER:
             moved = theta.copy()
@@ -279,9 +296,18 @@ def gev_fit(values, counts, fixed_shapes=None, rounds: int = 60):
             trials.append(cost(moved))
         best = np.array(LADDER)[np.argmin(np.stack(trials, axis=1), axis=1)]
         theta[:, :free] += best[:, None] * step
-        if np.all((decrement < 1e-14) | (best == 0) | (theta[:, 2] < -1)):
+        done |= (decrement < STOP) | (best == 0) | (theta[:, 2] < -1)
+        if done.all():
             break
     good = (decrement < SETTLED) & (theta[:, 2] > -1) & np.isfinite(theta).all(axis=1)
     theta[:, 1] = np.exp(theta[:, 1])
     out[some[good]] = theta[good]
     return out
+
+
+def widening(theta, lo, hi):
+    """What to add to the log scale, in steps of WIDEN, so that the support holds the smallest and the largest value."""
+    need = np.maximum(-theta[:, 2] * (lo - theta[:, 0]), -theta[:, 2] * (hi - theta[:, 0]))
+    with np.errstate(all="ignore"):
+        steps = np.floor((np.log(np.maximum(need, 1e-300)) - theta[:, 1]) / WIDEN) + 1
+    return WIDEN * np.where((need > 0) & np.isfinite(steps), np.maximum(steps, 0), 0)

@@ -213,64 +213,98 @@ def gev_mle(counts: DataFrame, keys, shapes: DataFrame | None = None,
     return solved if large is None else solved.unionByName(_gev_by_passes(large, keys, shapes))
 
 
+def _series(p: Column, *terms: float) -> Column:
+    """terms[0] + terms[1] p + terms[2] p^2 + ..."""
+    out = F.lit(float(terms[-1]))
+    for t in reversed(terms[:-1]):
+        out = out * p + F.lit(float(t))
+    return out
+
+
 def _gev_cost(loc: Column, log_scale: Column, shape: Column) -> Column:
     """Negative log likelihood of one value; huge outside the support."""
     z = (F.col("v") - loc) * F.exp(-log_scale)
-    support = 1 + shape * z
-    log_t = F.when(F.abs(shape) < 1e-9, -z).otherwise(F.try_divide(-F.ln(support), shape))
-    cost = log_scale - (1 + shape) * log_t + F.exp(F.least(log_t, F.lit(700.0)))
-    return F.when((support > 0) | (F.abs(shape) < 1e-9), cost).otherwise(F.lit(1e12))
+    p = shape * z
+    u = F.when(F.abs(p) < numerics.SERIES, z * _series(p, 1, -1 / 2, 1 / 3, -1 / 4, 1 / 5)).otherwise(
+        F.try_divide(F.ln(1 + p), shape))
+    return F.when(p > -1, log_scale + (1 + shape) * u + F.exp(F.least(-u, F.lit(700.0)))).otherwise(F.lit(1e12))
+
+
+def _gev_derivatives(rows: DataFrame) -> list[Column]:
+    """Sums over ``rows(v, c, t0, t1, t2)`` of the 3 first and 6 second derivatives; see ``numerics.gev_derivatives``."""
+    z, xi, y, p, c = (F.col(k) for k in ("_z", "t2", "_y", "_p", "c"))
+    u, u1, u2, t, s = (F.col(k) for k in ("_u", "_u1", "_u2", "_t", "_s"))
+    rest = 1 + xi - t
+    a, a_z, a_xi = rest / y, (1 + xi) * (t - xi) / (y * y), (1 + t * u1) / y - rest * z / (y * y)
+    each = [-s * a, 1 - z * a, u + rest * u1,
+            s * s * a_z, s * (a + z * a_z), -s * a_xi, z * (a + z * a_z), -z * a_xi, 2 * u1 + rest * u2 + t * u1 * u1]
+    return [F.sum(c * e) for e in each]
+
+
+def _with_gev_parts(rows: DataFrame) -> DataFrame:
+    xi, z, y, p, u, u1 = (F.col(k) for k in ("t2", "_z", "_y", "_p", "_u", "_u1"))
+    small = F.abs(p) < numerics.SERIES
+    rows = rows.withColumn("_s", F.exp(-F.col("t1"))).withColumn("_z", (F.col("v") - F.col("t0")) * F.col("_s"))
+    rows = rows.withColumn("_p", xi * z).withColumn("_y", 1 + p)
+    rows = rows.withColumn("_u", F.when(small, z * _series(p, 1, -1 / 2, 1 / 3, -1 / 4, 1 / 5)).otherwise(F.try_divide(F.ln(y), xi)))
+    rows = rows.withColumn("_u1", F.when(small, z * z * _series(p, -1 / 2, 2 / 3, -3 / 4, 4 / 5, -5 / 6)).otherwise(
+        F.try_divide(F.try_divide(z, y) - u, xi)))
+    rows = rows.withColumn("_u2", F.when(small, z * z * z * _series(p, 2 / 3, -6 / 4, 12 / 5, -20 / 6, 30 / 7)).otherwise(
+        F.try_divide(-F.pow(F.try_divide(z, y), F.lit(2.0)) - 2 * u1, xi)))
+    return rows.withColumn("_t", F.exp(F.least(-u, F.lit(700.0))))
 
 
 def _gev_by_passes(counts: DataFrame, keys, shapes: DataFrame | None = None) -> DataFrame:
-    """The same Newton steps with every cost a parallel aggregate.
+    """The Newton steps of ``numerics.gev_fit`` with every sum a parallel aggregate.
 
-    One pass sums the cost at a stencil of points around the estimate, the next
-    sums it at a ladder of step lengths; only sums per group leave the tasks.
+    One pass sums gradient and Hessian, the next the cost at a ladder of step
+    lengths; only sums per group leave the tasks. Each group stops by itself
+    and takes no part in later passes; one that has not settled by the last
+    round has null parameters.
     """
     free = 3 if shapes is None else 2
-    points = numerics.newton_stencil(free)
     ladder = numerics.LADDER
-
-    base = counts.groupBy(*keys).agg(F.sum("c").alias("n"),
+    base = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"),
                                      F.sum(F.col("c") * F.col("v")).alias("_s"),
                                      F.sum(F.col("c") * F.col("v") * F.col("v")).alias("_q"))
     mean = F.col("_s") / F.col("n")
     scale = F.sqrt(6 * F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(1e-300))) / float(np.pi)
-    start = base.select(*keys, "n", (mean - numerics.EULER * scale).alias("t0"),
-                        F.ln(scale).alias("t1"), F.lit(0.01).alias("t2"))
+    start = base.select(*keys, "n", "_lo", "_hi", (mean - numerics.EULER * scale).alias("t0"), F.ln(scale).alias("t1"), F.lit(0.01).alias("t2"))
     if shapes is not None:
         start = start.drop("t2").join(shapes.withColumnRenamed("shape", "t2"), keys)
-    state = cut_lineage(start)
+    need = F.greatest(*[-F.col("t2") * (F.col(k) - F.col("t0")) for k in ("_lo", "_hi")])
+    steps = F.floor((F.ln(need) - F.col("t1")) / numerics.WIDEN) + 1
+    wide = F.when(need > 0, numerics.WIDEN * F.greatest(steps, F.lit(0))).otherwise(F.lit(0.0))
+    state = cut_lineage(start.select(*keys, "n", "t0", (F.col("t1") + wide).alias("t1"), F.col("t2").cast("double").alias("t2"),
+                                     F.lit(float("inf")).alias("decrement"), F.lit(False).alias("done")))
 
     @F.pandas_udf(T.ArrayType(_DOUBLE))
-    def direction(costs: pd.Series, widths: pd.Series) -> pd.Series:
-        step, decrement = numerics.newton_directions(np.stack(costs.to_list()), np.stack(widths.to_list()))
+    def direction(sums: pd.Series, scales: pd.Series) -> pd.Series:
+        both = np.array(sums.to_list(), dtype=float)
+        widths = np.ones((len(both), free))
+        widths[:, 0] = scales
+        step, decrement = numerics.newton_step(both[:, :free], numerics.full_hessian(both[:, 3:], free), widths)
         return pd.Series(np.column_stack([step, decrement]).tolist())
 
     theta = [F.col("t0"), F.col("t1"), F.col("t2")]
-    width = [F.exp("t1") * numerics.STENCIL_WIDTH] + [F.lit(numerics.STENCIL_WIDTH)] * 2
-    for _ in range(NEWTON_ROUNDS):
-        costs = []
-        for p in points:
-            moved = [theta[i] + float(p[i]) * width[i] if i < free else theta[i] for i in range(3)]
-            costs.append(F.sum(F.col("c") * _gev_cost(*moved)) / F.max("n"))
-        local = counts.join(state, keys).groupBy(*keys, "n", "t0", "t1", "t2").agg(F.array(*costs).alias("f"))
-        aimed = cut_lineage(local.withColumn("d", direction("f", F.array(*width[:free]))))
+    for _ in range(numerics.ROUNDS):
+        moving = state.where("not done")
+        rows = _with_gev_parts(counts.join(moving, keys))
+        local = rows.groupBy(*keys, "n", "t0", "t1", "t2").agg(F.array(*_gev_derivatives(rows)).alias("f"))
+        local = local.withColumn("f", F.transform("f", lambda x: x / F.col("n")))
+        aimed = cut_lineage(local.withColumn("d", direction("f", F.exp("t1"))).drop("f"))
         step = [F.col("d")[i] if i < free else F.lit(0.0) for i in range(3)]
         trial = counts.join(aimed, keys).groupBy(*keys, "n", "t0", "t1", "t2", "d").agg(
-            F.array(*[F.sum(F.col("c") * _gev_cost(*[t + s * a for t, s in zip(theta, step)]))
-                      for a in ladder]).alias("g"))
-        best = F.element_at(F.array(*[F.lit(a) for a in ladder]),
-                            F.array_position("g", F.array_min("g")).cast("int"))
-        state = cut_lineage(trial.withColumn("a", best).select(
+            F.array(*[F.sum(F.col("c") * _gev_cost(*[t + s * a for t, s in zip(theta, step)])) for a in ladder]).alias("g"))
+        best = F.element_at(F.array(*[F.lit(a) for a in ladder]), F.array_position("g", F.array_min("g")).cast("int"))
+        moved = trial.withColumn("a", best).select(
             *keys, "n", *[(t + s * F.col("a")).alias(f"t{i}") for i, (t, s) in enumerate(zip(theta, step))],
-            F.element_at("d", -1).alias("decrement"), "a"))
-        open_ = (F.col("decrement") >= 1e-14) & (F.col("a") > 0) & (F.col("t2") >= -1)
-        if not state.where(open_).take(1):
+            F.element_at("d", -1).alias("decrement"), "a")
+        stop = (F.col("decrement") < numerics.STOP) | (F.col("a") == 0) | (F.col("t2") < -1)
+        state = cut_lineage(state.where("done").unionByName(moved.withColumn("done", stop).drop("a")))
+        if not state.where("not done").take(1):
             break
-        state = state.drop("decrement", "a")
-    good = (F.col("decrement") < numerics.SETTLED) & (F.col("t2") > -1) if "decrement" in state.columns else F.lit(False)
+    good = (F.col("decrement") < numerics.SETTLED) & (F.col("t2") > -1)
     return state.select(*keys, *[F.when(good, c).alias(f"PAR{i}") for i, c in enumerate(
         [F.col("t0"), F.exp("t1"), F.col("t2")], 1)])
 
@@ -381,7 +415,7 @@ def fit_dist(df: DataFrame, id: str, values: str, distr: str, method: str = "mle
     elif method == "lmoments":
         out = joined(gev_from_l_moments(l_moments(df, [id], values), [id]))
     else:
-        shapes = None if shape is None else df.groupBy(id).agg(F.min(F.col(shape).cast("double")).alias("shape"))
+        shapes = None if shape is None else _one_shape(df, id, F.col(shape).cast("double"))
         out = joined(gev_mle(value_counts(nonzero, [id], values), [id], shapes, small_group))
 
     out = out.withColumns({"DISTR": F.lit(distr),
@@ -394,6 +428,13 @@ def fit_dist(df: DataFrame, id: str, values: str, distr: str, method: str = "mle
         id, "DISTR", "NFIT", "PROP_ZERO", *extra, "PAR1", "PAR2", "PAR3", "EVENT50")
 
 
+def _one_shape(df: DataFrame, id: str, shape: Column) -> DataFrame:
+    """The fixed shape of each group. Rows have no order that could make one the first, so two shapes are an error."""
+    found = df.groupBy(id).agg(F.min(shape).alias("shape"), F.max(shape).alias("_other"))
+    return found.select(id, F.when(F.col("shape") < F.col("_other"), F.raise_error(F.lit("a group has two shapes")).cast("double"))
+                        .otherwise(F.col("shape")).alias("shape"))
+
+
 def return_levels(fits: DataFrame, id: str, periods, tol: float = 1e-6) -> DataFrame:
     """GEV return levels of every fit (PAR1..PAR3) for each return period in years."""
     each = fits.withColumn("PERIOD", F.explode(F.array(*[F.lit(float(p)) for p in periods])))
