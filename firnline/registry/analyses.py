@@ -9,7 +9,8 @@ from firnline.operators import loads, reshape
 from firnline.plans import loads as load_plan
 from firnline.plans import station
 from firnline.registry.base import day, query, rnd
-from firnline.registry.fits import sparse_maxima
+from firnline.operators.fitting import LOAD_COLUMNS
+from firnline.registry.fits import load_summary_views, sparse_maxima
 from firnline.registry.observations import high_max_sql, monthly_sql, yearly_sql
 from firnline.registry.sqltext import IN_RECTANGLE, RECTANGLES, ROW_RULES, qnorm_sql, with_views, wy
 
@@ -132,6 +133,9 @@ def a7(cat):
     return out.select(F.col("cuID").alias("CLUSTER"), rnd("CUTOFF").alias("CUTOFF"))
 
 
+LOAD_VIEWS, _LOAD_TABLE = load_summary_views(12)
+# All load columns of each cluster.
+FULL = {"ym": "SELECT cuID AS ID, maxW AS MAX FROM recs", **LOAD_VIEWS, "loadtab": _LOAD_TABLE.replace("SELECT ID,", "SELECT ID AS cuID,", 1)}
 TABLE = f"""SELECT cuID, count(*) AS numMax, median(maxW) AS medMax, max(maxW) AS mMax,
   CASE WHEN max(maxW) = 0 THEN 0 WHEN count(CASE WHEN maxW > 0 THEN 1 END) < 5 THEN max(maxW)
     ELSE exp(avg(CASE WHEN maxW > 0 THEN ln(maxW) END) + stddev_pop(CASE WHEN maxW > 0 THEN ln(maxW) END) * ({qnorm_sql('CAST(0.98 AS DOUBLE)')})) END AS DLL
@@ -141,12 +145,13 @@ GROUPED = """SELECT cuID, count(*) AS numST, avg(LATITUDE) AS LATITUDE, avg(LONG
 
 
 @query("p3_design_loads", with_views("""
-SELECT cuID AS CLUSTER, numST, numMax, round(medMax, 6) AS medMax, round(mMax, 6) AS mMax, round(DLL, 5) AS DLL, round(LATITUDE, 6) AS LATITUDE,
-  split_part(ECO3, '.', 1) AS REGIONI FROM tab JOIN grp USING (cuID)""", "obs", "stations", **LOADS, **OUTLIERS, **FINAL, tab=TABLE, grp=GROUPED))
+SELECT cuID AS CLUSTER, numST, numMax, round(medMax, 6) AS medMax, round(mMax, 6) AS mMax, """ + ", ".join(f"round({c}, 4) AS {c}" for c in LOAD_COLUMNS) + """,
+  round(LATITUDE, 6) AS LATITUDE, split_part(ECO3, '.', 1) AS REGIONI FROM loadtab JOIN grp USING (cuID)""",
+                                     "obs", "stations", **LOADS, **OUTLIERS, **FINAL, **FULL, grp=GROUPED))
 def p3(cat):
     out, _, _ = load_plan.design_loads(cat.obs, grouped_stations(cat), FIRST, LAST, min_seasons=3)
     return out.select(F.col("cuID").alias("CLUSTER"), "numST", "numMax", rnd("medMax").alias("medMax"), rnd("mMax").alias("mMax"),
-                      rnd("DLL", 5).alias("DLL"), rnd("LATITUDE").alias("LATITUDE"), "REGIONI")
+                      *[rnd(c, 4).alias(c) for c in LOAD_COLUMNS], rnd("LATITUDE").alias("LATITUDE"), "REGIONI")
 
 
 @query("a13_row_median", with_views("""
@@ -162,14 +167,16 @@ def a13(cat):
 @query("p9_final_table", with_views(f"""
 SELECT cuID AS CLUSTER, round_even(LATITUDE, 3) AS LATITUDE, CAST(round_even(ELEVATION, 0) AS INTEGER) AS ELEVATION,
   coalesce(CASE region_id WHEN 'A' THEN 10 WHEN 'B' THEN 20 WHEN 'C' THEN 30 WHEN 'D' THEN 40 END, 99999999) AS HUC, numMax,
-  round_even(medMax, 3) AS medMax FROM tab JOIN grp USING (cuID) LEFT JOIN regions ON {IN_RECTANGLE}""",
-                                    "obs", "stations", "regions", **LOADS, **OUTLIERS, **FINAL, tab=TABLE, grp=GROUPED))
+  round_even(medMax, 3) AS medMax,
+  round_even(list_aggregate(list_filter([DLL, DLG, DLI, DLII, DLIII], lambda v: v IS NOT NULL), 'median'), 3) AS load
+FROM loadtab JOIN grp USING (cuID) LEFT JOIN regions ON {IN_RECTANGLE}""",
+                                    "obs", "stations", "regions", **LOADS, **OUTLIERS, **FINAL, **FULL, grp=GROUPED))
 def p9(cat):
     basins = cat.rectangles([(str(10 * (i + 1)), *r[1:]) for i, r in enumerate(RECTANGLES)])
     stations = grouped_stations(cat)
     table, _, _ = load_plan.design_loads(cat.obs, stations, FIRST, LAST, min_seasons=3)
     out = load_plan.final_table([table], basins)
-    return out.select(F.col("cuID").alias("CLUSTER"), "LATITUDE", "ELEVATION", "HUC", "numMax", "medMax")
+    return out.select(F.col("cuID").alias("CLUSTER"), "LATITUDE", "ELEVATION", "HUC", "numMax", "medMax", "load")
 
 
 @query("p1_clustered_fits")

@@ -169,11 +169,12 @@ L_MOMENTS = {
 
 
 @query("d9_l_moments", with_views("""
-SELECT ID, n AS N, round(l1, 6) AS L1, round(l2, 6) AS L2, round(t3, 8) AS T3 FROM lm WHERE l2 > 0.000001""",
+SELECT ID, n AS N, round(l1, 6) AS L1, round(l2, 6) + 0.0 AS L2, CASE WHEN l2 > 0.000001 THEN round(t3, 8) END AS T3 FROM lm""",
                                   "obs_sparse", clean=CLEAN_SPARSE, ym=YM, **L_MOMENTS))
 def d9_moments(cat):
-    return fitting.l_moments(sparse_maxima(cat), ["ID"], "MAX").where(F.col("l2") > 0.000001).select(
-        "ID", big("n").alias("N"), rnd("l1").alias("L1"), rnd("l2").alias("L2"), rnd("t3", 8).alias("T3"))
+    return fitting.l_moments(sparse_maxima(cat), ["ID"], "MAX").select(
+        "ID", big("n").alias("N"), rnd("l1").alias("L1"), (rnd("l2") + 0.0).alias("L2"),
+        F.when(F.col("l2") > 0.000001, rnd("t3", 8)).alias("T3"))
 
 
 GEV_LEVEL = f"PAR1 + PAR2 * (pow(-ln({P}), -PAR3) - 1) / PAR3"
@@ -303,8 +304,8 @@ def d12_gamma(cat):
         "ID", rnd("L98", 3).alias("L98"))
 
 
-def _load_summary_sql() -> str:
-    """All load columns at once: a chain per Weibull form and a gamma quantile per share."""
+def load_summary_views(digits: int = 4) -> tuple[dict[str, str], str]:
+    """(views, joins and columns over ``ym(ID, MAX)``) of all load columns: a chain per Weibull form, a gamma quantile per share."""
     names = {"DLI": "gumbel", "DLII": "frechet", "DLIII": "revweibull", "DLW": "weibull"}
     views, joins, columns = {}, "", []
     for stem, form in names.items():
@@ -314,7 +315,7 @@ def _load_summary_sql() -> str:
         views[f"{pre}_c"] = f"SELECT G AS ID, k AS {pre}_k, log_scale AS {pre}_s FROM {pre}_fit"
         joins += f" LEFT JOIN {pre}_c USING (ID)"
         fit = re.sub(r"\bk\b", f"{pre}_k", FAMILY_LEVELS[form].replace("log_scale", f"{pre}_s"))
-        columns += [f"{level_sql(fit, 0.98)} AS {stem}", f"{level_sql(fit, 0.99)} AS {stem}2"]
+        columns += [f"{level_sql(fit, 0.98, digits)} AS {stem}", f"{level_sql(fit, 0.99, digits)} AS {stem}2"]
     views["gsrc"] = "SELECT ID AS G, M AS m, ML AS ml FROM stats WHERE POS > 4 AND TOP > LO"
     views.update(gamma_shape_sql("gsrc"))
     for share, pre, stem in ((0.98, "ga", "DLG"), (0.99, "gb", "DLG2")):
@@ -323,15 +324,18 @@ def _load_summary_sql() -> str:
         views.update(gamma_quantile_sql(f"{pre}in", prefix=pre))
         views[f"{pre}_c"] = f"SELECT G AS ID, x / a AS {pre}_x FROM {pre}_fit"
         joins += f" LEFT JOIN {pre}_c USING (ID)"
-        columns.append(f"{level_sql(f'{pre}_x * M', share)} AS {stem}")
+        columns.append(f"{level_sql(f'{pre}_x * M', share, digits)} AS {stem}")
     log = "exp(ML + SL * (" + qnorm_sql("{T}") + "))"
-    columns += [f"{level_sql(log, 0.98)} AS DLL", f"{level_sql(log, 0.99)} AS DLL2"]
-    return with_views(f"SELECT ID, N AS numMax, MED AS medMax, TOP AS mMax, {', '.join(columns)} FROM stats "
-                      f"JOIN (SELECT ID, median(MAX) AS MED FROM ym GROUP BY ID) USING (ID){joins}",
-                      "obs_sparse", clean=CLEAN_SPARSE, ym=YM, stats=LEVEL_STATS, **views)
+    columns += [f"{level_sql(log, 0.98, digits)} AS DLL", f"{level_sql(log, 0.99, digits)} AS DLL2"]
+    return {"stats": LEVEL_STATS, **views}, (
+        f"SELECT ID, N AS numMax, MED AS medMax, TOP AS mMax, {', '.join(columns)} FROM stats "
+        f"JOIN (SELECT ID, median(MAX) AS MED FROM ym GROUP BY ID) USING (ID){joins}")
 
 
-@query("d13_load_summary", _load_summary_sql())
+_VIEWS, _SUMMARY = load_summary_views()
+
+
+@query("d13_load_summary", with_views(_SUMMARY, "obs_sparse", clean=CLEAN_SPARSE, ym=YM, **_VIEWS))
 def d13(cat):
     out = fitting.load_summary(sparse_maxima(cat), "ID", "MAX")
     return out.select("ID", "numMax", rnd("medMax").alias("medMax"), rnd("mMax").alias("mMax"),
