@@ -10,28 +10,27 @@ gives the clusters of the one-merge-at-a-time tree, and each round is a handful
 of aggregates and joins. (The method is that of Sumengen et al. 2021,
 "Scaling Hierarchical Agglomerative Clustering to Billion-sized Datasets".)
 
-Centroid and median linkage are not reducible: a merge can bring two clusters
-closer than either part was. They run from the matrix only, and a group too
-large for it is an error.
+Centroid and median linkage are not reducible (a merge can bring two clusters
+closer than either part was), so they can't be grown this way and are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firnline.functions import geodesy as geo
 from firnline.functions.labels import cluster_label
 from firnline.operators import rules
+from firnline.operators.ranks import with_positions
 from firnline.operators.spatial import dissimilarity_pairs
 from firnline.session import cut_lineage
 
 REDUCIBLE = ("single", "complete", "average", "mcquitty", "ward.D", "ward.D2")
-WHOLE_GROUP = ("median", "centroid")
-WHOLE_GROUP_LIMIT = 5000
+#: Groups up to this size are solved in a task, larger ones by rounds, with the same clusters.
 SMALL_GROUP = 2000
 
 
@@ -182,8 +181,7 @@ def _grow_from_sums(pairs: DataFrame, places: DataFrame, h: float, method: str,
 def dense_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.ndarray:
     """Clusters of a small group from its matrix; the first member's index is the label.
 
-    Reducible linkages merge all mutual nearest neighbours of a round, as the
-    distributed rounds do; the others merge the nearest pair only.
+    All mutual nearest neighbours of a round merge, as in the distributed rounds.
     """
     d, size = d.astype(float).copy(), size.astype(float).copy()
     top = h
@@ -207,10 +205,6 @@ def dense_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.
                 row = (ni * d[i] + nj * d[j]) / (ni + nj)
             elif method == "mcquitty":
                 row = (d[i] + d[j]) / 2
-            elif method == "centroid":
-                row = (ni * d[i] + nj * d[j]) / (ni + nj) - ni * nj * dij / (ni + nj) ** 2
-            elif method == "median":
-                row = (d[i] + d[j]) / 2 - dij / 4
             else:
                 row = ((ni + nk) * d[i] + (nj + nk) * d[j] - nk * dij) / (ni + nj + nk)
         row[~alive] = np.inf
@@ -222,12 +216,6 @@ def dense_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.
         label[label == j] = i
 
     while alive.sum() > 1:
-        if method in WHOLE_GROUP:
-            i, j = divmod(int(np.argmin(d)), n)
-            if not d[i, j] <= top:
-                break
-            merge(min(i, j), max(i, j))
-            continue
         best = np.argmin(d, axis=1)
         rows = np.arange(n)
         pairs = rows[(best[best] == rows) & (rows < best) & (d[rows, best] <= top)]
@@ -238,16 +226,12 @@ def dense_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.
     return label
 
 
-def _cluster_in_tasks(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float,
-                      limit: int) -> DataFrame:
-    """Groups of at most ``limit`` places, one group per task."""
+def _cluster_in_tasks(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float) -> DataFrame:
+    """Small groups, each from its matrix."""
     node = places.schema["node"].dataType
     schema = T.StructType([T.StructField("node", node), T.StructField("cluster", node)])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"{method} linkage needs all distances of a group at once; "
-                             f"{len(pdf)} places are more than {limit}")
         pdf = pdf.sort_values("node", ignore_index=True)
         xyz = pdf[["px", "py", "pz"]].to_numpy()
         e = pdf["pe"].to_numpy()
@@ -282,7 +266,7 @@ def cluster_stations(stations: DataFrame, dist_adj: float, elev_adj: float, h: f
     at ``h`` inclusive. A null coordinate is an error. With ``label`` the result
     is text, "<group>.<number>" with four digits.
     """
-    if method not in REDUCIBLE + WHOLE_GROUP:
+    if method not in REDUCIBLE:
         raise ValueError(f"unknown linkage {method!r}")
     if label and group is None:
         raise ValueError("labels need a group")
@@ -296,21 +280,21 @@ def cluster_stations(stations: DataFrame, dist_adj: float, elev_adj: float, h: f
         keyed.groupBy(*keys).agg(F.min(id).alias("node"), F.count(F.lit(1)).alias("n")), "p", lon, lat)
         .withColumn("pe", F.col(elev)))
 
-    if method in WHOLE_GROUP:
-        found = _cluster_in_tasks(places, h, method, dist_adj, elev_adj, WHOLE_GROUP_LIMIT)
+    large = cut_lineage(places.groupBy("_g").agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") > small_group))
+    if large.take(1):
+        small = rules.anti(places, large, ["_g"])
+        rest = places.join(large.select(F.col("_g").alias("_l")), F.col("_g").eqNullSafe(F.col("_l")), "left_semi")
+        found = _cluster_in_tasks(small, h, method, dist_adj, elev_adj).unionByName(
+            _cluster_by_rounds(rest, h, method, dist_adj, elev_adj, lon, lat, elev))
     else:
-        large = places.groupBy("_g").agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") > small_group)
-        if large.take(1):
-            small = rules.anti(places, large, ["_g"])
-            rest = rules.anti(places, small, ["_g"])
-            found = _cluster_in_tasks(small, h, method, dist_adj, elev_adj, small_group).unionByName(
-                _cluster_by_rounds(rest, h, method, dist_adj, elev_adj, lon, lat, elev))
-        else:
-            found = _cluster_in_tasks(places, h, method, dist_adj, elev_adj, small_group)
+        found = _cluster_in_tasks(places, h, method, dist_adj, elev_adj)
 
     placed = places.select(*keys, "node").join(found, "node")
     first = placed.groupBy("_g", "cluster").agg(F.min("node").alias("_first"))
-    numbers = first.withColumn("_no", F.row_number().over(Window.partitionBy("_g").orderBy("_first")))
+    # Numbers are places in one global order, counted from the first of the group.
+    ranked = with_positions(first, ["_g", "_first"], "_at").drop("n_rows")
+    starts = ranked.groupBy(F.col("_g").alias("_g0")).agg(F.min("_at").alias("_zero"))
+    numbers = ranked.join(starts, F.col("_g").eqNullSafe(F.col("_g0"))).withColumn("_no", F.col("_at") - F.col("_zero") + 1)
     numbered = placed.join(numbers.select("cluster", "_no"), "cluster").select(
         *[F.col(k).alias(f"_{k}_") for k in keys], "_no")
     same = F.lit(True)

@@ -22,7 +22,8 @@ from firnline.functions import extremes, numerics
 from firnline.session import cut_lineage
 
 SMALL_GROUP = 4096
-RANK_BINS = 1024
+#: Pieces of about equally many distinct values that a group is ranked in.
+RANK_BINS = 64
 _DOUBLE = T.DoubleType()
 NEWTON_ROUNDS = 40
 
@@ -47,11 +48,10 @@ def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
 def ranked_counts(counts: DataFrame, keys) -> DataFrame:
     """Add ``below`` (rows of the group with a smaller value) and ``n`` (rows)."""
     keys = list(keys)
-    span = counts.groupBy(*keys).agg(
-        F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("c").alias("n"))
-    place = F.coalesce(F.try_divide((F.col("v") - F.col("_lo")) * (RANK_BINS - 1),
-                                    F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    binned = counts.join(span, keys).withColumn("_bin", F.floor(place))
+    cuts = [i / RANK_BINS for i in range(1, RANK_BINS)]
+    span = counts.groupBy(*keys).agg(F.percentile_approx("v", cuts, 1000).alias("_cuts"), F.sum("c").alias("n"))
+    # Any cuts give the same ranks; quantiles keep one far value from filling a single bin with the rest.
+    binned = counts.join(span, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x < F.col("v")))).drop("_cuts")
     bins = binned.groupBy(*keys, "_bin").agg(F.sum("c").alias("_in"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = bins.select(*keys, "_bin", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"))

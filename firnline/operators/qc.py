@@ -46,12 +46,17 @@ def state_max(obs: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def station_limits(stations: DataFrame, county_maxes: DataFrame) -> DataFrame:
-    """One row per station with its county limits as a map of day gap to limit."""
-    limits = county_maxes.groupBy("STATE", "COUNTY").agg(
-        F.map_from_entries(F.collect_list(
-            F.struct(F.col("DAYS").cast("int"), F.col("COUNTY_MAX")))).alias("_limits"))
-    return stations.select("ID", "STATE", "COUNTY").join(
-        limits, ["STATE", "COUNTY"], "left").select("ID", "_limits")
+    """One row per station with its county limits as a map of day gap to limit.
+
+    Of several limits for a gap the smallest counts. Missing names match missing names.
+    """
+    smallest = county_maxes.where(F.col("DAYS").isNotNull()).groupBy(
+        F.col("STATE").alias("_state"), F.col("COUNTY").alias("_county"), F.col("DAYS").cast("int").alias("days")).agg(
+        F.min("COUNTY_MAX").alias("limit"))
+    limits = smallest.groupBy("_state", "_county").agg(
+        F.map_from_entries(F.collect_list(F.struct("days", "limit"))).alias("_limits"))
+    same = F.col("STATE").eqNullSafe(F.col("_state")) & F.col("COUNTY").eqNullSafe(F.col("_county"))
+    return stations.select("ID", "STATE", "COUNTY").join(limits, same, "left").select("ID", "_limits")
 
 
 def _rise_flag(value: Column, prev_value: Column, days: Column, multiplier: float) -> Column:

@@ -22,6 +22,20 @@ from firnline.operators import spatial
 from firnline.session import cut_lineage
 
 
+def check_names(value, regions: DataFrame, name: str) -> None:
+    """A number per region has to be given for exactly the regions there are."""
+    if not isinstance(value, dict):
+        return
+    known = regions.select(F.col("region_id").cast("string").alias("region_id")).distinct()
+    listed = [str(k) for k in value]
+    missing = known.where(~F.col("region_id").isin(listed)).limit(5).collect()
+    if missing:
+        raise ValueError(f"{name} lacks regions: {[r.region_id for r in missing]}")
+    found = {r.region_id for r in known.where(F.col("region_id").isin(listed)).collect()}
+    if set(listed) - found:
+        raise ValueError(f"{name} has unknown regions: {sorted(set(listed) - found)}")
+
+
 def _per_region(value) -> Column:
     """A number for all regions, or a dict of region to number."""
     if isinstance(value, dict):
@@ -104,17 +118,14 @@ def linear_prediction(x) -> Column:
 
 # --- the user's own model -----------------------------------------------------------------
 
-def function_models(data: DataFrame, members: DataFrame, id: str, fit, max_rows: int = 2_000_000) -> DataFrame:
+def function_models(data: DataFrame, members: DataFrame, id: str, fit) -> DataFrame:
     """``fit(pandas rows) -> model`` per region: (region_id, model, n_train, error).
 
     An exception in ``fit`` becomes that region's error. Such a function needs
-    its rows in one place, so a region with more than ``max_rows`` is not sent
-    to it: it gets an error that says so, and :func:`linear_models`, which has no
-    such limit, is there for it.
+    its region's rows in one place; no region is left out, so the largest has to
+    fit a task. :func:`linear_models` has no such need.
     """
-    sizes = members.groupBy("region_id").agg(F.count(F.lit(1)).alias("n_train"))
-    fits = sizes.where(F.col("n_train") <= max_rows)
-    rows = members.join(fits.select("region_id"), "region_id", "left_semi").join(data, id)
+    rows = members.join(data, id)
     schema = "region_id string, model binary, n_train bigint, error string"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,11 +136,7 @@ def function_models(data: DataFrame, members: DataFrame, id: str, fit, max_rows:
             model, error = None, f"{type(e).__name__}: {e}"
         return pd.DataFrame({"region_id": [region], "model": [model], "n_train": [len(pdf)], "error": [error]})
 
-    trained = rows.groupBy("region_id").applyInPandas(one, schema)
-    too_large = sizes.where(F.col("n_train") > max_rows).select(
-        "region_id", F.lit(None).cast("binary").alias("model"), "n_train",
-        F.lit(f"more than {max_rows} training rows for an in-memory model").alias("error"))
-    return trained.unionByName(too_large)
+    return rows.groupBy("region_id").applyInPandas(one, schema)
 
 
 def function_predictions(scored: DataFrame, models: DataFrame, id: str, predict, salt: int = 32) -> DataFrame:
@@ -209,6 +216,7 @@ class RegionalModel:
 
     def predict(self, data: DataFrame, id: str, smooth, distances: DataFrame | None = None) -> DataFrame:
         """(id, prediction); ``smooth`` is a width in km, or one per region."""
+        check_names(smooth, self.edges, "smooth")
         if distances is None:
             widest = max(smooth.values()) if isinstance(smooth, dict) else smooth
             known = self.models.where(F.col("error").isNull()).select("region_id")
@@ -230,6 +238,7 @@ def regional_model(data: DataFrame, edges: DataFrame, id: str, buffer, min_n: in
     """
     if (fit is None) == (y is None):
         raise ValueError("give either y and x, or fit and predict")
+    check_names(buffer, edges, "buffer")
     if distances is None:
         distances = cut_lineage(spatial.regional_distance(data, edges, id, lon, lat))
     members = cut_lineage(membership(distances, id, buffer, min_n))

