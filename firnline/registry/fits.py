@@ -155,6 +155,49 @@ def d8(cat):
     return fit_rows(fitting.fit_dist(ym, "ID", "MAX", "gev", shape="SHAPE"), par3=True)
 
 
+def _likelihood(ym, fits, free: int = 3):
+    """(ID, flat, cost): whether the likelihood of each fit has no slope in its free parameters, and its negative."""
+    known = fits.where(F.col("PAR1").isNotNull()).select(
+        F.col("ID").alias("_id"), F.col("PAR1").alias("t0"), F.ln("PAR2").alias("t1"), F.col("PAR3").alias("t2"))
+    rows = ym.where(F.col("MAX") != 0).select("ID", F.col("MAX").alias("v"), F.lit(1).alias("c")).join(known, F.col("ID") == F.col("_id"))
+    # Slopes by differences of the cost, not by the derivatives that the fit uses; location in units of the scale.
+    step = 1e-5
+    theta = [F.col("t0"), F.col("t1"), F.col("t2")]
+
+    def moved(i: int, by: float):
+        width = F.exp("t1") if i == 0 else F.lit(1.0)
+        return F.sum(fitting._gev_cost(*[t + by * width if k == i else t for k, t in enumerate(theta)]))
+    slopes = [((moved(i, step) - moved(i, -step)) / (2 * step * F.count(F.lit(1)))).alias(f"s{i}") for i in range(free)]
+    out = rows.groupBy("ID").agg(*slopes, F.sum(fitting._gev_cost(*theta)).alias("cost"))
+    flat = F.lit(True)
+    for i in range(free):
+        flat = flat & (F.abs(F.col(f"s{i}")) < 1e-4)
+    return out.select("ID", flat.alias("FLAT"), "cost")
+
+
+@query("d7_gev_optimum", """
+SELECT o_custkey % 20 AS ID, true AS FLAT, true AS BEST FROM orders GROUP BY 1""")
+def d7_optimum(cat):
+    """Every likelihood fit is at a stationary point and no worse than the L-moment fit.
+
+    Yearly maxima of few years can have no largest likelihood, so the groups here are large.
+    """
+    orders = cat.table("orders").select((F.col("o_custkey") % 20).alias("ID"), "o_custkey", F.year("o_orderdate").alias("YEAR"),
+                                        (F.col("o_totalprice") / 1000).cast("double").alias("VALUE"))
+    ym = orders.groupBy("ID", "o_custkey", "YEAR").agg(F.max("VALUE").alias("MAX")).select("ID", "MAX")
+    best = _likelihood(ym, fitting.fit_dist(ym, "ID", "MAX", "gev", small_group=100))
+    other = _likelihood(ym, fitting.fit_dist(ym, "ID", "MAX", "gev", "lmoments")).select(F.col("ID").alias("_o"), F.col("cost").alias("other"))
+    return best.join(other, F.col("ID") == F.col("_o"), "left").select(
+        "ID", "FLAT", (F.coalesce("other", F.lit(float("inf"))) >= F.col("cost") - 1e-6).alias("BEST"))
+
+
+@query("d8_gev_shape_optimum", with_views("""
+SELECT ID, true AS FLAT FROM ym WHERE MAX <> 0 GROUP BY ID HAVING count(DISTINCT MAX) > 1""", "obs_sparse", clean=CLEAN_SPARSE, ym=YM))
+def d8_optimum(cat):
+    ym = sparse_maxima(cat).withColumn("SHAPE", F.lit(0.1))
+    return _likelihood(ym, fitting.fit_dist(ym, "ID", "MAX", "gev", shape="SHAPE"), 2).select("ID", "FLAT")
+
+
 L_MOMENTS = {
     "pos": """SELECT ID, MAX AS x, row_number() OVER (PARTITION BY ID ORDER BY MAX) AS j,
               count(*) OVER (PARTITION BY ID) AS n FROM ym WHERE MAX <> 0""",
