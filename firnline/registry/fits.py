@@ -185,7 +185,7 @@ def d7_optimum(cat):
     orders = cat.table("orders").select((F.col("o_custkey") % 20).alias("ID"), "o_custkey", F.year("o_orderdate").alias("YEAR"),
                                         (F.col("o_totalprice") / 1000).cast("double").alias("VALUE"))
     ym = orders.groupBy("ID", "o_custkey", "YEAR").agg(F.max("VALUE").alias("MAX")).select("ID", "MAX")
-    best = _likelihood(ym, fitting.fit_dist(ym, "ID", "MAX", "gev", small_group=100))
+    best = _likelihood(ym, fitting.fit_dist(ym, "ID", "MAX", "gev"))
     other = _likelihood(ym, fitting.fit_dist(ym, "ID", "MAX", "gev", "lmoments")).select(F.col("ID").alias("_o"), F.col("cost").alias("other"))
     return best.join(other, F.col("ID") == F.col("_o"), "left").select(
         "ID", "FLAT", (F.coalesce("other", F.lit(float("inf"))) >= F.col("cost") - 1e-6).alias("BEST"))
