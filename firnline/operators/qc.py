@@ -7,10 +7,9 @@ The rules run in a fixed order whatever the order of their names:
 How the plans scale: the first four rules are row filters. ``high_max`` and
 ``corrupt_years`` reduce the rows to one row per group and year before the
 first shuffle and come back as a join with a few bad group-years.
-``county_max`` needs the previous observation; it sorts month by month, so
-that a station with very many rows is spread over its station-months, and
-carries the state from month to month in a table of at most twelve rows per
-station, element and year.
+``county_max`` needs the previous observation of a station, element and water
+year; raw rows are shuffled once by these three and all its windows share that
+partitioning.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from firnline.operators import rules
 RULES = ("mpzero", "qflag", "month", "state_max", "county_max", "corrupt_years", "high_max")
 # Fixed value: limits are snow depths; water equivalents get this many times as much.
 WATER_MULTIPLIER = 5
-# A station, element, water year and month: the piece that is sorted as one.
-CHUNK = ["ID", "ELEMENT", "_wy", "_mo"]
+# What is sorted as one: the rules start afresh with every water year, so a long record is many pieces.
+CHUNK = ["ID", "ELEMENT", "_wy"]
 
 
 def _element_limit(limit: Column) -> Column:
@@ -68,23 +67,13 @@ def _rise_flag(value: Column, prev_value: Column, days: Column, multiplier: floa
             .otherwise(rise > limit * multiplier))
 
 
-def _station_months(df: DataFrame) -> DataFrame:
-    return df.withColumns({"_wy": water_year("DATE"), "_mo": F.month("DATE")})
-
-
 def daily_steps(obs: DataFrame, order=("DATE",)) -> DataFrame:
     """DAYS since and VDIFF from the previous row of a station, element and water year.
 
     The first row of a year has a gap of one day and its whole value as the rise.
     """
-    w = Window.partitionBy(*CHUNK).orderBy(*order)
-    rank = F.struct(*order)
-    stepped = _station_months(obs).withColumn("_prev", F.lag(F.struct("VALUE", "DATE")).over(w))
-    across = Window.partitionBy("ID", "ELEMENT", "_wy").orderBy("_first")
-    tails = (stepped.groupBy(*CHUNK)
-             .agg(F.max_by(F.struct("VALUE", "DATE"), rank).alias("_tail"), F.min("DATE").alias("_first"))
-             .select(*CHUNK, F.lag("_tail").over(across).alias("_before")))
-    both = stepped.join(tails, CHUNK, "left").withColumn("_prev", F.coalesce("_prev", "_before"))
+    before = F.lag(F.struct("VALUE", "DATE")).over(Window.partitionBy(*CHUNK).orderBy(*order))
+    both = obs.withColumn("_wy", water_year("DATE")).withColumn("_prev", before)
     return both.select(
         *obs.columns, F.col("_wy").alias("YEAR"),
         F.coalesce(F.datediff("DATE", F.col("_prev.DATE")), F.lit(1)).alias("DAYS"),
@@ -97,45 +86,17 @@ def above_county_max(obs: DataFrame, stations: DataFrame, county_maxes: DataFram
 
     A value that repeats the one before inherits its mark. Identical rows share
     one fate. ``order`` has to be a total order within a station, element and
-    month, up to identical rows.
+    year, up to identical rows.
     """
-    order = list(order)
     w = Window.partitionBy(*CHUNK).orderBy(*order)
-    rank = F.struct(*order)
-
-    # Spread by station-month even where the join had to bring a station together.
-    rows = _station_months(obs.join(station_limits(stations, county_maxes), "ID", "left")).repartition(*CHUNK)
-    stepped = (rows
-               .withColumn("_prev", F.lag(F.struct("VALUE", "DATE")).over(w))
-               .withColumn("_step", F.when(
-                   F.col("_prev").isNotNull(),
-                   _rise_flag(F.col("VALUE"), F.col("_prev.VALUE"),
-                              F.datediff("DATE", F.col("_prev.DATE")), multiplier)))
-               .withColumn("_filled", F.last("_step", ignorenulls=True).over(
-                   w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-
-    # One row per station-month: how it begins, how it ends, and the mark its
-    # last run carries (null while the whole month repeats one value).
-    months = stepped.groupBy(*CHUNK).agg(
-        F.min_by(F.struct("VALUE", "DATE", "_limits"), rank).alias("_head"),
-        F.max_by(F.struct("VALUE", "DATE", "_filled"), rank).alias("_tail"))
-    across = Window.partitionBy("ID", "ELEMENT", "_wy").orderBy("_head.DATE")
-    carried = (months
-               .withColumn("_limits", F.col("_head._limits"))
-               .withColumn("_before", F.lag("_tail").over(across))
-               .withColumn("_own", _rise_flag(
-                   F.col("_head.VALUE"), F.col("_before.VALUE"),
-                   F.datediff(F.col("_head.DATE"), F.col("_before.DATE")), multiplier))
-               .withColumn("_end", F.coalesce(F.col("_tail._filled"), F.col("_own")))
-               .withColumn("_carry", F.last("_end", ignorenulls=True).over(
-                   across.rowsBetween(Window.unboundedPreceding, -1)))
-               .select(*CHUNK, F.coalesce("_own", "_carry", F.lit(False)).alias("_start")))
-
-    flagged = stepped.join(carried, CHUNK, "left").withColumn(
-        "_one", F.coalesce("_filled", "_start", F.lit(False)))
+    rows = obs.join(station_limits(stations, county_maxes), "ID", "left").withColumn("_wy", water_year("DATE"))
+    stepped = rows.withColumn("_prev", F.lag(F.struct("VALUE", "DATE")).over(w)).withColumn(
+        "_step", _rise_flag(F.col("VALUE"), F.col("_prev.VALUE"), F.datediff("DATE", F.col("_prev.DATE")), multiplier))
+    carried = F.last("_step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    flagged = stepped.drop("_limits", "_prev").withColumn("_one", F.coalesce(carried, F.lit(False)))
+    # The same partitioning again, so this window costs a sort and no shuffle.
     twins = Window.partitionBy(*CHUNK, *[c for c in obs.columns if c not in CHUNK])
-    return (flagged.withColumn(out, F.max("_one").over(twins))
-            .select(*obs.columns, out))
+    return flagged.withColumn(out, F.max("_one").over(twins)).select(*obs.columns, out)
 
 
 def county_max(obs: DataFrame, stations: DataFrame, county_maxes: DataFrame,

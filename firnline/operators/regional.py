@@ -22,13 +22,14 @@ from firnline.operators import spatial
 from firnline.session import cut_lineage
 
 
-def check_names(value, regions: DataFrame, name: str) -> None:
-    """A number per region has to be given for exactly the regions there are."""
+def check_names(value, regions: DataFrame, name: str, needed: DataFrame | None = None) -> None:
+    """Numbers per region have to name known regions, and all those that are needed (by default all)."""
     if not isinstance(value, dict):
         return
     known = regions.select(F.col("region_id").cast("string").alias("region_id")).distinct()
     listed = [str(k) for k in value]
-    missing = known.where(~F.col("region_id").isin(listed)).limit(5).collect()
+    every = known if needed is None else needed.select("region_id").distinct()
+    missing = every.where(~F.col("region_id").isin(listed)).limit(5).collect()
     if missing:
         raise ValueError(f"{name} lacks regions: {[r.region_id for r in missing]}")
     found = {r.region_id for r in known.where(F.col("region_id").isin(listed)).collect()}
@@ -216,7 +217,7 @@ class RegionalModel:
 
     def predict(self, data: DataFrame, id: str, smooth, distances: DataFrame | None = None) -> DataFrame:
         """(id, prediction); ``smooth`` is a width in km, or one per region."""
-        check_names(smooth, self.edges, "smooth")
+        check_names(smooth, self.edges, "smooth", self.models.where(F.col("error").isNull()))
         if distances is None:
             widest = max(smooth.values()) if isinstance(smooth, dict) else smooth
             known = self.models.where(F.col("error").isNull()).select("region_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.functions.labels import region_match
 from firnline.schema import MISSING_VALUE, OBSERVATIONS
 from firnline.sources.scans import ELEMENTS
 
@@ -17,6 +18,9 @@ SLOT_WIDTH = 8
 VALUE_WIDTH = 5
 DAYS = 31
 
+#: Station files named to a scan at most.
+MAX_LISTED = 10_000
+
 
 def _slot(line: Column, day: Column) -> Column:
     """Day, value and the three one-letter flags of one slot."""
@@ -84,16 +88,30 @@ def get_station_data(spark: SparkSession, source: str, stations=None, elements=E
     return parse_daily_lines(_read_lines(spark, source, stations), elements)
 
 
+def _data_of(spark: SparkSession, source: str, chosen: DataFrame, elements) -> DataFrame:
+    """Observations of the stations in ``chosen``.
+
+    Up to MAX_LISTED stations are named to the scan, which then opens their
+    files only. For more, the lines of other stations go before the day slots
+    are parsed.
+    """
+    chosen = chosen.select("ID").distinct()
+    listed = [r.ID for r in chosen.limit(MAX_LISTED + 1).collect()]
+    if len(listed) <= MAX_LISTED:
+        return get_station_data(spark, source, listed, elements)
+    lines = _read_lines(spark, source, None).withColumn("_id", F.rtrim(F.col("value").substr(*ID_AT)))
+    wanted = lines.join(chosen, F.col("_id") == F.rtrim(chosen["ID"].cast("string")), "left_semi").select("value")
+    return parse_daily_lines(wanted, elements)
+
+
 def get_state_data(spark: SparkSession, source: str, station_table: DataFrame, states,
                    elements=ELEMENTS) -> DataFrame:
-    from firnline.sources.scans import state_scan
-    return state_scan(get_station_data(spark, source, None, elements), station_table, states, elements)
+    return _data_of(spark, source, station_table.where(F.col("STATE").isin(*states)), elements)
 
 
 def get_region_data(spark: SparkSession, source: str, station_table: DataFrame, codes,
                     elements=ELEMENTS, exact: bool = False) -> DataFrame:
-    from firnline.sources.scans import region_scan
-    return region_scan(get_station_data(spark, source, None, elements), station_table, codes, elements, exact)
+    return _data_of(spark, source, station_table.where(region_match("ECO3", codes, exact)), elements)
 
 
 def missing_files(spark: SparkSession, source: str, requested: DataFrame) -> DataFrame:

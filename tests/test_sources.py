@@ -42,6 +42,19 @@ def test_daily_files(spark, folder):
     assert scans.missing_stations(asked, daily.get_station_data(spark, str(folder))).count() == 1
 
 
+def test_state_files_alone_are_opened(spark, folder, monkeypatch):
+    st = spark.createDataFrame([("US000000001", "UT", "1.1.1"), ("US000000002", "ID", "6.2.13")], "ID string, STATE string, ECO3 string")
+    named = daily.get_state_data(spark, str(folder), st, ["ID"])
+    assert [r.ID for r in named.collect()] == ["US000000002"]
+    scan = [x for x in named._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert "PartitionFilters" in scan[0] and "US000000002.dly" in scan[0] and "US000000001" not in scan[0]
+    # More stations than are named: the same rows.
+    monkeypatch.setattr(daily, "MAX_LISTED", 0)
+    many = daily.get_state_data(spark, str(folder), st, ["ID"])
+    assert "US000000002.dly" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, named.collect()))
+
+
 def test_daily_round_trip(spark, folder):
     first = daily.get_station_data(spark, str(folder), elements=("SNWD", "WESD", "TMAX"))
     again = daily.parse_daily_lines(daily.format_daily_lines(first), ("SNWD", "WESD", "TMAX"))

@@ -168,5 +168,10 @@ def test_regional_model_roundtrip(spark):
     assert bad["a"] is None and "RuntimeError" in bad["b"]
     # A row far from all usable regions takes the nearest one.
     assert f.predict(data, "ID", {"a": 5.0}).count() == 80
+    for smooth in ({"b": 5.0}, {"a": 5.0, "nowhere": 1.0}):
+        with pytest.raises(ValueError, match="smooth"):
+            f.predict(data, "ID", smooth)
+    with pytest.raises(ValueError, match="buffer lacks"):
+        regional.regional_model(data, e, "ID", buffer={"a": 1.0, "b": 1.0}, y="y", x=["ELEVATION"])
     few = regional.membership(spatial.regional_distance(data, e, "ID"), "ID", 1e-6, min_n=70)
     assert {r.region_id: r["count"] for r in few.groupBy("region_id").count().collect()} == {"a": 70, "b": 70}
