@@ -22,13 +22,16 @@ DEPTH, CELLS_EACH = 2, 3
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
 #: Cells of the sketch that travel and are merged together.
 BLOCK = 1 << 20
-#: Windows that a task gathers before it sends their sketch.
-GATHER = 4_000_000
+#: Windows that a task gathers before it looks for equal ones, and cells before it sends their sketch.
+GATHER, SEND = 1_000_000, 5_000_000
+#: Windows estimated repeated travel in arrays, one for each bucket of hashes. A bucket stands for this many bytes
+#: of text, within bounds.
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 1 << 21, 64, 1 << 16
 #: Ways that windows known to be repeated are spread over.
 SPREAD = 64
 
 _SKETCH = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary())])
-_FOUND = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("salt", pa.int32()), ("doc", pa.int64())])
+_FOUND = pa.schema([("bucket", pa.int32()), ("h", pa.list_(pa.int64())), ("g", pa.list_(pa.int16())), ("salt", pa.list_(pa.int8())), ("doc", pa.list_(pa.int64()))])
 
 
 def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,17 +79,25 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _sketches(width: int):
     """Per task and batch: for each block of cells those hit, doubled, plus 1 if hit more than once."""
+    def pack(row: int, held: list[np.ndarray]) -> dict:
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.flatnonzero(np.diff(cells // BLOCK)) + 1
+        blocks = (cells[np.concatenate([np.zeros(1, np.int64), cuts])] // BLOCK).astype(np.int32)
+        marked = cells % np.uint32(BLOCK) << np.uint32(1) | (counts > 1).astype(np.uint32)
+        return {"row": np.full(len(blocks), row, np.int32), "block": blocks, "cells": [_pack(x) for x in np.split(marked, cuts)]}
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
             for h, _, _ in _windows(parts):
                 for row in range(DEPTH):
-                    cells, counts = np.unique(_cells(h, row, width), return_counts=True)
-                    cuts = np.flatnonzero(np.diff(cells // np.uint64(BLOCK))) + 1
-                    starts = np.concatenate([np.zeros(1, np.int64), cuts])
-                    blocks = (cells[starts] // np.uint64(BLOCK)).astype(np.int32)
-                    marked = ((cells % np.uint64(BLOCK)) << np.uint64(1) | (counts > 1).astype(np.uint64)).astype(np.uint32)
-                    packed = [_pack(x) for x in np.split(marked, cuts)]
-                    yield {"row": np.full(len(blocks), row, np.int32), "block": blocks, "cells": packed}
+                    held[row].append(_cells(h, row, width).astype(np.uint32))
+                if sum(map(len, held[0])) >= SEND:
+                    for row in range(DEPTH):
+                        yield pack(row, held[row])
+                        held[row] = []
+            if held[0]:
+                yield from (pack(row, x) for row, x in enumerate(held))
         yield from batches(rows(), _SKETCH)
     return run
 
@@ -110,14 +121,12 @@ def _merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for (r, b), hits in rows()), _SKETCH)
 
 
-def count_min(texts: DataFrame) -> tuple[int, list[np.ndarray]]:
-    """(cells in a row, for each row a bit per cell that two or more windows hit), over all of ``texts``.
+def count_min(texts: DataFrame, size: int) -> tuple[int, list[np.ndarray]]:
+    """(cells in a row, for each row a bit per cell that two or more windows hit), over all ``size`` bytes of ``texts``.
 
     The number of cells follows the bytes of text. Tasks send sketches of what
     they read, which are merged block by block.
     """
-    spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = int(min(max(MIN_CELLS, CELLS_EACH * size // 6), MAX_CELLS))
     merged = (texts.mapInArrow(_sketches(width), "row int, block int, cells binary")
               .repartition("row", "block").sortWithinPartitions("row", "block")
@@ -128,12 +137,17 @@ def count_min(texts: DataFrame) -> tuple[int, list[np.ndarray]]:
     return width, bits
 
 
-def _estimated_repeated(width: int, shared):
-    """Windows that the sketch takes for repeated: of those met together the one of the smallest document unsalted.
+def _estimated_repeated(width: int, buckets: int, shared):
+    """Windows that the sketch takes for repeated, as arrays by bucket of the hash.
 
-    The others of the same window are in a larger document than that one, so
-    they are repeated for certain and are salted to be spread out.
+    Each has its hash, 16 further bits of it, a salt and the document. Of equal
+    windows met together the one of the smallest document has salt 0. The
+    others are in a larger document than that one, so they are repeated for
+    certain, and are salted to be told apart.
     """
+    def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
 
@@ -144,21 +158,35 @@ def _estimated_repeated(width: int, shared):
                     cell = _cells(h, row, width)
                     twice &= (bits[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 h, g, doc = h[twice], g[twice], doc[twice]
+                if not len(h):
+                    continue
                 again = np.zeros(len(h), bool)
                 again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-                salt = np.where(again, 1 + mix(doc.view(np.uint64)) % np.uint64(SPREAD), 0).astype(np.int32)
-                yield {"h": h.view(np.int64), "g": g.view(np.int32), "salt": salt, "doc": doc}
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                # What is repeated for certain is not looked up again, so it may go to any bucket.
+                salt = np.where(again, 1 + mix(doc.view(np.uint64)) % np.uint64(SPREAD), 0).astype(np.int8)
+                bucket = np.where(again, (bucket + salt.astype(np.int32) * 7919) % buckets, bucket).astype(np.int32)
+                order = np.lexsort((doc, bucket))
+                h, g, salt, doc, bucket = h[order], g[order], salt[order], doc[order], bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                cuts = np.append(starts, len(h))
+                yield {"bucket": bucket[starts], "h": lists(h.view(np.int64), cuts, pa.int64()), "g": lists(g.view(np.int16), cuts, pa.int16()),
+                       "salt": lists(salt, cuts, pa.int8()), "doc": lists(doc, cuts, pa.int64())}
         yield from batches(rows(), _FOUND)
     return run
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(doc, h): every window of a document ``doc`` that also starts in a document with a smaller id."""
-    width, bits = count_min(texts)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width, bits = count_min(texts, size)
+    buckets = int(min(max(MIN_BUCKETS, size // BUCKET_BYTES), MAX_BUCKETS))
     shared = texts.sparkSession.sparkContext.broadcast(bits)
-    found = texts.mapInArrow(_estimated_repeated(width, shared), "h long, g int, salt int, doc long")
-    least = F.min("doc").over(Window.partitionBy("h", "g", "salt"))
-    return found.withColumn("least", least).where("salt > 0 or doc > least").select("doc", "h")
+    found = texts.mapInArrow(_estimated_repeated(width, buckets, shared),
+                             "bucket int, h array<long>, g array<short>, salt array<byte>, doc array<long>")
+    each = found.repartition("bucket").select("bucket", F.inline(F.arrays_zip("h", "g", "salt", "doc")))
+    least = F.min("doc").over(Window.partitionBy("bucket", "h", "g", "salt"))
+    return each.withColumn("least", least).where("salt > 0 or doc > least").select("doc", "h")
 
 
 def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +223,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with one id are one document for this. A null id is neither smaller nor
     larger than another, so such rows neither remove nor lose words. Null and
     short texts have no windows. Other columns are ignored. Windows are equal
-    if 96 bits of hash are.
+    if 80 bits of hash are.
     """
     texts = docs.select(col(docs, id_col).cast("long").alias("doc"), col(docs, text_col).alias("text"))
     known = texts.where("doc is not null and text is not null")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Texts are handled in pieces of about this many bytes (whole texts, so one longer text is a piece of its own).
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 # Odd multiplier of the rolling hash, and the constants of the splitmix64 finaliser.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -73,8 +73,8 @@ class Words:
         return self._hashes(k, _BASES[0])
 
     def second(self, k: int) -> np.ndarray:
-        """Another 32 bits of hash of the same words."""
-        return (self._hashes(k, _BASES[1]) >> np.uint64(32)).astype(np.uint32)
+        """Another 16 bits of hash of the same words."""
+        return (self._hashes(k, _BASES[1]) >> np.uint64(48)).astype(np.uint16)
 
     def exact(self, at: np.ndarray, k: int) -> np.ndarray:
         """128-bit hashes, as two columns, of the k words from each word in ``at`` on."""
@@ -114,4 +114,5 @@ def letter_words(text: bytes) -> bytes:
 
 def batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for r in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(r[f.name], f.type) for f in schema], schema=schema)
+        columns = [x if isinstance(x := r[f.name], pa.Array) else pa.array(x, f.type) for f in schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
