@@ -239,3 +239,21 @@ def removal_report(obs: DataFrame, months=(7, 8, 9), stations: DataFrame | None
              .when(F.col("_above"), "state_max")
              .otherwise("kept"))
     return obs.groupBy(first.alias("RULE")).agg(F.count(F.lit(1)).alias("N"))
+
+
+def rule_losses(obs: DataFrame, clean="all", **options) -> DataFrame:
+    """(RULE, N): rows that each of the named rules takes after the ones before it, and those kept.
+
+    ``options`` are those of :func:`clean_station_data`. One count for each rule.
+    """
+    names = _check(clean, options.get("yearly_threshold"))
+    chain = [r for r in RULES if r in names or ("all" in names and r in RULES[:3])]
+    left = [obs] + [clean_station_data(obs, chain[:k + 1], **options) for k in range(len(chain))]
+    counts = [df.agg(F.lit(k).alias("_k"), F.count(F.lit(1)).alias("_n")) for k, df in enumerate(left)]
+    every = counts[0]
+    for one in counts[1:]:
+        every = every.union(one)
+    # A row for each rule and one for the rest: the window sees eight rows at most.
+    after = every.withColumn("_next", F.lead("_n").over(Window.orderBy("_k")))
+    labels = F.array(*[F.lit(r) for r in [*chain, "kept"]])
+    return after.select(F.element_at(labels, F.col("_k") + 1).alias("RULE"), F.coalesce(F.col("_n") - F.col("_next"), F.col("_n")).alias("N"))

@@ -264,6 +264,31 @@ def q8(cat):
     return qc.removal_report(cat.obs, stations=cat.stations)
 
 
+LOSS = {"c0": CLEAN, "c1": f"SELECT c0.* FROM c0 LEFT JOIN stations USING (ID) WHERE NOT coalesce({OVER_STATE}, false)",
+        **county_flags_sql("c1"), "c2": "SELECT * FROM filled WHERE NOT IS_OUT",
+        "bad": f"""SELECT a.ID, a.Y FROM (SELECT ID, {wy()} AS Y, count(*) AS n FROM c0 GROUP BY ALL) a
+          LEFT JOIN (SELECT ID, YEAR AS Y, count(*) AS k FROM c2 GROUP BY ALL) b ON a.ID = b.ID AND a.Y = b.Y
+          WHERE coalesce(k, 0) / n <= 1 - 0.1""",
+        "c3": "SELECT c2.* FROM c2 ANTI JOIN bad ON c2.ID = bad.ID AND c2.YEAR = bad.Y"}
+
+
+@query("q8_rule_losses", with_views("""
+SELECT 'mpzero' AS RULE, (SELECT count(*) FROM obs WHERE MFLAG = 'P') AS N
+UNION ALL SELECT 'qflag', (SELECT count(*) FROM obs WHERE MFLAG IS DISTINCT FROM 'P' AND trim(coalesce(QFLAG, '')) <> '')
+UNION ALL SELECT 'month', (SELECT count(*) FROM obs WHERE MFLAG IS DISTINCT FROM 'P' AND trim(coalesce(QFLAG, '')) = '') - (SELECT count(*) FROM c0)
+UNION ALL SELECT 'state_max', (SELECT count(*) FROM c0) - (SELECT count(*) FROM c1)
+UNION ALL SELECT 'county_max', (SELECT count(*) FROM c1) - (SELECT count(*) FROM c2)
+UNION ALL SELECT 'corrupt_years', (SELECT count(*) FROM c2) - (SELECT count(*) FROM c3)
+UNION ALL SELECT 'kept', (SELECT count(*) FROM c3)
+UNION ALL SELECT 'high_max', (SELECT count(*) FROM obs_sparse) - (SELECT count(*) FROM survivors)""",
+                                    "obs", "obs_sparse", "stations", "county_maxes", **LOSS, **high_max_sql("obs_sparse", "ID")))
+def q8_all(cat):
+    limits = {"stations": cat.stations, "county_maxes": cat.county_maxes, "order": OBS_ORDER}
+    one = qc.rule_losses(cat.obs, ["all", "state_max", "county_max", "corrupt_years"], yearly_threshold=0.1, **limits)
+    other = qc.rule_losses(cat.obs_sparse, ["high_max"]).where(F.col("RULE") == "high_max")
+    return one.union(other)
+
+
 @query("w1_daily_steps", with_views(f"SELECT {K}, YEAR, DAYS, VDIFF FROM steps", "obs",
                                     **{k: v for k, v in county_flags_sql("obs").items() if k in ("dated", "steps")}))
 def w1(cat):

@@ -64,6 +64,49 @@ def s6(cat):
     return back.select("ID", day().alias("DAY"), "ELEMENT", "VALUE", *_flags(back))
 
 
+@query("s7_no_match", with_views("SELECT count(*) AS N FROM obs WHERE ID IN (SELECT ID FROM stations WHERE STATE = 'NOWHERE')", "obs", "stations"))
+def s7(cat):
+    return scans.state_scan(cat.obs, cat.stations, ["NOWHERE"]).agg(big(F.count(F.lit(1))).alias("N"))
+
+
+@query("s9_review_lists", with_views("""
+SELECT ID::VARCHAR AS ID, strftime(DATE, '%Y-%m-%d') AS DATE, round(VALUE, 2)::VARCHAR AS VALUE, CASE WHEN l = 'a' THEN 'x' END AS FLAGGED,
+  CASE WHEN l = 'b' THEN ELEMENT END AS REMARK, l AS LIST FROM (SELECT *, 'a' AS l FROM obs WHERE VALUE > 45 UNION ALL SELECT *, 'b' FROM obs WHERE VALUE < 2)""", "obs"))
+def s9(cat):
+    """Hand-made lists with differing columns, written as CSV and read as one."""
+    root = scratch_path(cat.spark, "lists")
+    value = F.round("VALUE", 2).cast("string").alias("VALUE")
+    tables.write_csv(cat.obs.where("VALUE > 45").select("ID", day().alias("DATE"), value, F.lit("x").alias("FLAGGED")), f"{root}/a")
+    tables.write_csv(cat.obs.where("VALUE < 2").select("ID", day().alias("DATE"), value, F.col("ELEMENT").alias("REMARK")), f"{root}/b")
+    both = tables.read_review_lists(cat.spark, [f"{root}/a", f"{root}/b"])
+    return both.select("ID", "DATE", "VALUE", "FLAGGED", "REMARK", F.regexp_extract("_path", "([ab])$", 1).alias("LIST"))
+
+
+@query("s11_auxiliary_csv", """
+SELECT n_name AS STATE, (n_nationkey % 7 + 1)::DOUBLE AS RECORD FROM nation""")
+def s11(cat):
+    path = scratch_path(cat.spark, "records")
+    tables.write_csv(cat.table("nation").select(F.col("n_name").alias("STATE"), (F.col("n_nationkey") % 7 + 1).alias("RECORD")), path)
+    return tables.read_csv(cat.spark, path, "STATE string, RECORD double")
+
+
+@query("s14_polygon_layer", with_views("""
+SELECT region_id, count(*) AS N, round(sum(x1 + 2 * y1 + 3 * x2 + 4 * y2), 6) AS TOTAL FROM edges GROUP BY region_id""", "regions", "edges"))
+def s14(cat):
+    from firnline.registry.spatial import regions
+    path = scratch_path(cat.spark, "edges")
+    tables.save_table(regions(cat), path)
+    back = tables.read_polygon_edges(cat.spark, path)
+    return back.groupBy("region_id").agg(F.count(F.lit(1)).alias("N"), rnd(F.sum(F.expr("x1 + 2 * y1 + 3 * x2 + 4 * y2"))).alias("TOTAL"))
+
+
+@query("s15_grid_layer", with_views("SELECT row::BIGINT AS ROW, col::BIGINT AS COL, round(x, 6) AS X, round(y, 6) AS Y, PPTWT, TD, MAT FROM grid", "grid"))
+def s15(cat):
+    path = scratch_path(cat.spark, "grid")
+    tables.save_table(cat.grid, path)
+    return tables.read_grid(cat.spark, path).select(big("row").alias("ROW"), big("col").alias("COL"), rnd("x").alias("X"), rnd("y").alias("Y"), "PPTWT", "TD", "MAT")
+
+
 @query("s8_station_inventory", with_views("""
 SELECT printf('ST%09d', ID) AS ID, LATITUDE, LONGITUDE, ELEVATION, left(STATE, 2) AS STATE, NAME FROM stations""", "stations"))
 def s8(cat):

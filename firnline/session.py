@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,3 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors of a cluster this package, once in a session; their Python may not have it installed."""
+    sc = spark.sparkContext
+    if (sc.master.startswith("local") and not sc.master.startswith("local-cluster")) or getattr(sc, "_firnline_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="firnline-"), "firnline"), "zip", os.path.dirname(home),
+                                  os.path.basename(home))
+    sc.addPyFile(archive)
+    sc._firnline_shipped = True
