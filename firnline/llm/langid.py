@@ -156,8 +156,12 @@ def is_held_out(doc_id) -> F.Column:
 def training_words(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(lang, word, n) of a bounded number of labelled documents of each language that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("_n", first).where(F.col("_n") <= max_docs).select("doc_id").distinct()
+    # By the share of each language some four times the bound pass, so that no task has to rank a whole language.
+    counts = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("_all")))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = known.select("doc_id", "lang").join(counts, "lang").where(place * F.col("_all") < 4 * max_docs * (1 << 30))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = few.withColumn("_n", first).where(F.col("_n") <= max_docs).select("doc_id").distinct()
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
