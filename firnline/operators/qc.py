@@ -124,32 +124,38 @@ def corrupt_years(marked: DataFrame, threshold: float, out: str = "_above") -> D
     return rest.join(bad, ["ID", "_wy"], "left_anti").drop("_wy", out)
 
 
+def _yearly_maxima(obs: DataFrame, group: str) -> DataFrame:
+    return obs.groupBy(F.col(group).alias("_g"), water_year("DATE").alias("_wy")).agg(F.max("VALUE").alias("_max"))
+
+
+def _cutoffs(yearly: DataFrame, iqr_cutoff: float) -> DataFrame:
+    log = F.ln(F.col("_max") + 1)
+    spread = yearly.groupBy(F.col("_g").alias("_group")).agg(
+        F.percentile(log, F.lit(0.75)).alias("Q75"), F.percentile(log, F.lit(0.25)).alias("Q25"), F.max(log).alias("_top"))
+    iqr = F.col("Q75") - F.col("Q25")
+    cutoff = (F.when(F.exp("Q75") - F.exp("Q25") < 1, F.col("_top"))
+              .otherwise(F.col("Q75") + F.lit(float(iqr_cutoff)) * iqr))
+    return spread.select("_group", "Q75", "Q25", iqr.alias("IQR"), cutoff.alias("CUTOFF"))
+
+
 def high_max_cutoffs(obs: DataFrame, group: str = "ID", iqr_cutoff: float = 3) -> DataFrame:
     """Per group: quartiles of the log yearly maxima and the cutoff above them.
 
     Where the quartiles are less than one unit apart the cutoff is the largest
     maximum, which nothing can exceed.
     """
-    yearly = (obs.groupBy(group, water_year("DATE").alias("YEAR"))
-              .agg(F.ln(F.max("VALUE") + 1).alias("MAX")))
-    q75, q25 = F.percentile("MAX", F.lit(0.75)), F.percentile("MAX", F.lit(0.25))
-    spread = yearly.groupBy(group).agg(q75.alias("Q75"), q25.alias("Q25"), F.max("MAX").alias("_top"))
-    iqr = F.col("Q75") - F.col("Q25")
-    cutoff = (F.when(F.exp("Q75") - F.exp("Q25") < 1, F.col("_top"))
-              .otherwise(F.col("Q75") + F.lit(float(iqr_cutoff)) * iqr))
-    return spread.select(group, "Q75", "Q25", iqr.alias("IQR"), cutoff.alias("CUTOFF"))
+    return _cutoffs(_yearly_maxima(obs, group), iqr_cutoff).withColumnRenamed("_group", group)
 
 
 def high_max_group_years(obs: DataFrame, group: str = "ID", iqr_cutoff: float = 3,
                          max_yearly_outliers: int = 5) -> DataFrame:
     """(group, water year, CUTOFF) where a few values lie above the cutoff.
 
-    A year with ``max_yearly_outliers`` or more such values is believed.
+    A year with ``max_yearly_outliers`` or more such values is believed. The
+    yearly maxima are reduced once, for the cutoffs and for the suspects.
     """
-    cut = high_max_cutoffs(obs, group, iqr_cutoff).select(
-        F.col(group).alias("_group"), "CUTOFF")
-    yearly = obs.groupBy(F.col(group).alias("_g"), water_year("DATE").alias("_wy")).agg(
-        F.max("VALUE").alias("_max"))
+    yearly = _yearly_maxima(obs, group)
+    cut = _cutoffs(yearly, iqr_cutoff).select("_group", "CUTOFF")
     suspects = (yearly.join(cut, F.col("_g").eqNullSafe(F.col("_group")))
                 .where(F.ln(F.col("_max") + 1) > F.col("CUTOFF"))
                 .select("_group", "_wy", "CUTOFF"))
