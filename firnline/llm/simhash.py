@@ -8,10 +8,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.llm.graph import components
+from firnline.llm.rows import with_row_key, without_keys
+from firnline.llm.shingles import near_copies
 from firnline.llm.text import col
 from firnline.session import cut_lineage
 
@@ -179,12 +181,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with its smallest doc_id.
+    """``docs`` without near copies: of each group of rows that links of 5-word Jaccard similarity 0.8 connect, one.
 
-    Of rows with one id a single one stays, by the hash of its text.
+    That with the smallest doc_id stays, nulls last; of several with it the first
+    by file and place. Rows are told apart by a key of their own: different texts with the same id or none stay.
     """
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(cut_lineage(keep), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_row", one).where(F.col("_row") == 1).drop("_row")
+    keyed = with_row_key(docs, "_row")
+    plain = keyed.select(F.col("_row").alias("row"), col(keyed, "doc_id").cast("long").alias("doc_id"), col(keyed, "text").alias("text"))
+    found = near_copies(plain)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    found = cut_lineage(found)
+    keep = found.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
+    gone = cut_lineage(found.join(keep, "row", "left_anti").select(F.col("row").alias("_row")))
+    return without_keys(keyed, "_row", gone).drop("_row")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from firnline.llm import decontam, quality, simhash, substrings
+from firnline.llm import decontam, quality, shingles, simhash, substrings
 from firnline.llm.windows import Words, letter_words, plain_words
 from tests.llm.conftest import make_docs, prose
 
@@ -214,3 +214,65 @@ def test_null_text_is_clean(spark):
     got = decontam.contamination(one, spark.createDataFrame([(1, "a b")], "item_id long, text string")).first()
     assert (got.n_words, got.contaminated) == (0, False) and got.items_sha256 == hashlib.sha256(b"").hexdigest()
     assert one.select(F.col("text")).first()[0] is None
+
+
+def plain_shingles(text):
+    w = words((text or "").translate(LOWER))
+    return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def similar(a, b):
+    x, y = plain_shingles(a), plain_shingles(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def edited(text, places):
+    w = text.split()
+    for p in places:
+        w[p] = f"edit{p}"
+    return " ".join(w)
+
+
+def test_keep_first_finds_edited_copies(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 120)) for _ in range(40)]
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, t + " " + line * (i % 3 == 0)) for i, t in enumerate(texts)]
+    # One edit leaves some 0.92 of the shingles, two some 0.84, three under 0.8; chains of edits connect by their links.
+    for i in range(40):
+        rows += [(100 + i, edited(rows[i][1], [50])), (200 + i, edited(rows[i][1], [20, 80])), (300 + i, edited(rows[i][1], [5, 30, 60, 90]))]
+    chain = texts[0]
+    for k in range(6):
+        chain = edited(chain, [15 * k + 8])
+        rows.append((400 + k, chain))
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(rows[i][1], rows[j][1]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    assert 40 <= len(least) < 90
+    got = simhash.keep_first(make_docs(spark, [(i, t, "en", "s") for i, t in rows]).repartition(4))
+    assert sorted(x.doc_id for x in got.collect()) == sorted(least.values())
+
+
+def test_the_filters_before_the_comparison_lose_no_similar_pair():
+    r = np.random.default_rng(4)
+    none = np.zeros(0, np.uint64)
+    for n in (1, 4, 5, 9, 50, 400, 3000):
+        both = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+        for _ in range(20):
+            own = r.integers(1 << 63, (1 << 64) - 1, int(n / 4) + 1, np.uint64)
+            k = int(r.integers(0, len(own) + 1))
+            x, y = np.unique(np.concatenate([both, own[:k]])), np.unique(np.concatenate([both, own[k:]]))
+            if 5 * n >= 4 * (n + len(own)):
+                assert len(np.intersect1d(shingles.prefix(x, none, none), shingles.prefix(y, none, none)))
+                hit = [set((s % np.uint64(shingles.CELLS)).tolist()) for s in (x, y)]
+                assert len(hit[0] ^ hit[1]) * 9 <= len(x) + len(y)
