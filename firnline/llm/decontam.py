@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firnline.llm.rows import with_row_key, without_keys
 from firnline.llm.text import col
 from firnline.llm.windows import batches, letter_words, mix, pieces
 from firnline.session import cut_lineage
@@ -166,6 +167,13 @@ def _result(found: DataFrame) -> DataFrame:
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document shares a window with the benchmark."""
+    """``docs`` without the rows whose document shares a window with the benchmark; rows with one id, or none, are one document."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
+def uncontaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose own text shares a window with the benchmark, whatever their ids."""
+    keyed = with_row_key(docs, "_row")
+    bad = contamination(keyed, benchmark, id_col="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
+    return without_keys(keyed, "_row", cut_lineage(bad)).drop("_row")

@@ -263,6 +263,19 @@ def test_keep_first_finds_edited_copies(spark):
     assert sorted(x.doc_id for x in got.collect()) == sorted(least.values())
 
 
+def test_rows_without_or_with_one_id_are_rows_of_their_own(spark):
+    texts = [prose("en", 60, 40 + i) for i in range(6)]
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:]] + [(None, texts[0]), (9, texts[1]), (None, texts[5])]
+    docs = make_docs(spark, [(i, t, "en", "s") for i, t in rows]).repartition(3)
+    kept = simhash.keep_first(docs).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter(
+        [(None, texts[0]), (9, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5])])
+    benchmark = spark.createDataFrame([(1, " ".join(texts[2].split()[5:25])), (2, " ".join(texts[4].split()[5:25]))], "item_id long, text string")
+    clean = decontam.uncontaminated_rows(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(x for x in rows if x[1] not in (texts[2], texts[4]))
+
+
 def test_the_filters_before_the_comparison_lose_no_similar_pair():
     r = np.random.default_rng(4)
     none = np.zeros(0, np.uint64)
