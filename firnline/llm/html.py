@@ -17,6 +17,8 @@ from firnline.llm.text import col
 # Elements whose content is no text; elements that do not end a block; elements without content.
 HIDDEN = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map select datalist head title textarea button".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+#: Of these, elements whose content is no markup: it goes to their end tag, whatever stands in it.
+PLAIN = RAW - frozenset("template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +33,7 @@ SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adse
 MAIN_NAMES = frozenset("article content main post entry story body text maintext articlebody".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in PLAIN}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -87,16 +90,21 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
             pieces, linked = [], []
     at = 0
     raw = ""
-    for m in _TOKEN.finditer(html, 0, html.rfind(">") + 1):  # behind the last > is only text
+    limit = html.rfind(">") + 1  # behind the last > is only text
+    tokens = _TOKEN.finditer(html, 0, limit)
+    while m := next(tokens, None):
         if m.start() > at and not (stack and stack[-1][2]):
             pieces.append(html[at:m.start()])
             if stack and stack[-1][3]:
                 linked.append(pieces[-1])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
+        closing = bool(m[1] or m[4])
+        if tag in PLAIN and raw not in ("svg", "math") and not closing and not (m[3] or m[6] or "").rstrip().endswith("/"):
+            end_tag = _END[tag].search(html, at, limit)
+            tokens = _TOKEN.finditer(html, end_tag.start() if end_tag else limit, limit)
         if not tag or (raw and tag != raw):
             continue
-        closing = bool(m[1] or m[4])
         if tag not in INLINE and tag not in RAW:
             end()
         elif tag in ("br", "wbr", "img"):

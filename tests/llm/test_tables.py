@@ -178,6 +178,17 @@ def test_main_text():
     assert html.main_text('<article><p title="a > b">x</p><p unclosed="y>z</p>').startswith("x")
 
 
+def test_content_that_is_no_markup():
+    def around(inside):
+        return html.main_text(f"<article><p>Before</p>{inside}<p>Article</p></article><script>last()</script>")
+    for inside in ("<script>for(i=0;i<n;i++){}</script>", "<script>var s = '<!--';</script>", "<style>a:after{content:'<!--'}</STYLE >",
+                   "<SCRIPT>if(a<b){x='<script>'}</SCRIPT>", "<script>a<b</script><script>c<d</script>", "<template><script>i<n;</script></template>",
+                   "<textarea>1 <b 2</textarea>", "<noscript><img src='a></noscript>", "<svg><svg><path d='a'/></svg><title>t</title></svg>",
+                   "<script>x='</scripts>'</script>"):
+        assert around(inside) == "Before\nArticle", inside
+    assert around("<script>never ends") == "Before\nArticle" or around("<script>never ends") == "Before"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é 🙂</p></article>"), (1, "u", None), (None, None, "<article>" + "<p>word</p>" * 20_000)],
                                   "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
