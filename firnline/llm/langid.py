@@ -16,8 +16,6 @@ from firnline.llm.text import col, crc32
 from firnline.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longest piece used, in characters, the mark of a word's start included.
-LONGEST = 5
 #: Training documents of a language at most: those with the smallest hashes. This bounds what the model is fitted on.
 MAX_DOCS = 400
 #: Rounds of expectation maximisation, and pseudo-count of each piece.
@@ -35,12 +33,12 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _SCALE = 30.0
 
 
-def load_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[str]:
-    """The lower-case pieces of letters of the public vocabulary up to a length, read where this is called (the driver)."""
+def load_pieces(path: str = VOCABULARY) -> list[str]:
+    """The lower-case pieces of letters of the public vocabulary, read where this is called (the driver)."""
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    fit = {p for p in found if len(p) <= longest and p == p.lower() and (p.replace(MARK, "", 1).isalpha() and MARK not in p[1:])}
+    fit = {p for p in found if p == p.lower() and (p.replace(MARK, "", 1).isalpha() and MARK not in p[1:])}
     return sorted(fit | {p for w in fit for p in w})
 
 
@@ -112,7 +110,7 @@ def _scaled(model: np.ndarray, pieces: list[str]) -> np.ndarray:
     return np.vstack([model * (_SCALE ** sizes)[:, None], np.zeros((1, model.shape[1]))])
 
 
-def _groups(words: list[str], most: int = 20_000) -> Iterator[np.ndarray]:
+def _groups(words: list[str], most: int = 5_000) -> Iterator[np.ndarray]:
     """Indices of words of similar lengths, a bounded number at a time."""
     order = np.argsort([len(w) for w in words], kind="stable")
     for i in range(0, len(order), most):

@@ -111,6 +111,16 @@ def test_forward_sums_all_segmentations():
     assert float(uses @ sizes) == pytest.approx(2 * 3)
 
 
+def test_all_letter_pieces_are_used():
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    every = {model.id_to_piece(i) for i in range(model.get_piece_size())}
+    every = {p for p in every if p == p.lower() and p.removeprefix(langid.MARK).isalpha()}
+    pieces = langid.load_pieces()
+    assert every <= set(pieces) and max(map(len, every)) > 5
+    assert langid.Lattice(pieces).longest == max(map(len, every))
+
+
 def test_identify(docs, rows, no_docs, spark):
     got = langid.identify(docs).collect()
     assert len(got) == len(rows)
