@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from firnline.llm.graph import components
 from firnline.llm.rows import with_row_key, without_keys
-from firnline.llm.shingles import near_copies
 from firnline.llm.text import col
 from firnline.session import cut_lineage
 
-#: Fingerprints link at this many differing bits or fewer. The keys below are complete for 2.
-MAX_BITS = 2
+#: Words of a shingle, and differing bits at which fingerprints still link. The keys below are complete for 2.
+SHINGLE, MAX_BITS = 3, 2
 #: Fingerprints that share a key are compared pairwise up to this many. In larger groups each would meet more
 #: others than it has neighbouring points (65), so there links are found through those points. Both ways are exact.
 PAIRWISE = 64
@@ -31,10 +30,10 @@ _BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], np.float6
 _LANES = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: bytes | None) -> int:
-    """64-bit SimHash of the three-word shingles of a text, repeats included; 0 without words.
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """64-bit SimHash of the shingles of ``size`` words of a text, repeats included; 0 without words.
 
-    A to Z are lowered; fewer than three words are one shingle.
+    A to Z are lowered; fewer words are one shingle.
     """
     found = text.lower().split() if text else []
     if not found:
@@ -43,22 +42,25 @@ def fingerprint(text: bytes | None) -> int:
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(data[a:b], 42) for a, b in zip(starts, ends[2:].tolist())] if len(found) >= 3 else [digest(data, 42)]
+    hashes = [digest(data[a:b], 42) for a, b in zip(starts, ends[size - 1:].tolist())] if len(found) >= size else [digest(data, 42)]
     lanes = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
     seen = np.bincount((lanes + _LANES).ravel(), minlength=2048).reshape(8, 256)
     bits = (seen @ _BITS).ravel() * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        found = np.array([fingerprint(t.as_py()) for t in part.column("text").cast(pa.binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+def _fingerprints(size: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = np.array([fingerprint(t.as_py(), size) for t in part.column("text").cast(pa.binary())], np.uint64)
+            rest = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(found.view(np.int64))], [*rest, "fp"])
+    return run
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     return docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long")
+        _fingerprints(size), "doc_id long, fp long")
 
 
 def _remainder(word: int) -> int:
@@ -139,29 +141,42 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` at MAX_BITS differing bits or fewer.
+def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` at ``max_bits`` differing bits or fewer, 2 at most.
 
     Small groups with a common key give their close pairs; in larger ones each
     fingerprint is linked to the smallest that shares a point one bit away,
     which is 65 rows for each however large the group is.
     """
+    if not 1 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys find links of 1 to {MAX_BITS} bits")
     keyed = cut_lineage(fps.mapInArrow(_keys, "key long, fp long"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, "key")
     few = met.where(F.col("n") <= PAIRWISE)
     pairs = (few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
-             .where((F.col("a") < F.col("b")) & (_apart(F.col("a"), F.col("b")) <= MAX_BITS)).select("a", "b"))
+             .where((F.col("a") < F.col("b")) & (_apart(F.col("a"), F.col("b")) <= max_bits)).select("a", "b"))
     one = F.expr("shiftleft(1L, cast(i as int))")
     flips = F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i")
     points = (met.where(F.col("n") > PAIRWISE).select("fp").distinct().select("fp", flips)
               .select("fp", F.when(F.col("i") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(one)).alias("point")))
+    if max_bits == 1:  # a common neighbour is two bits wide: only the point itself counts for one of the two
+        around = (points.alias("x").join(points.where("fp = point").alias("y"), "point").where("x.fp > y.fp")
+                  .select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")))
+        return pairs.union(around).distinct()
     least = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
     around = points.join(least, "point").where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     return pairs.union(around).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``distinct`` (one row for each ``fp``) with the component ``root`` of each fingerprint."""
+    roots = cut_lineage(components(links(distinct.select("fp"), max_bits)))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links between
@@ -170,27 +185,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows give repeated results; other columns are ignored; an empty
     table gives an empty result.
     """
-    marked = cut_lineage(with_fingerprints(docs, id_col, text_col))
+    marked = cut_lineage(with_fingerprints(docs, id_col, text_col, size))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut_lineage(components(links(distinct.select("fp"))))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(distinct, max_bits)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each group of rows that links of 5-word Jaccard similarity 0.8 connect, one.
+def keep_first(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without near copies: of each component of linked fingerprints one row, with all columns.
 
     That with the smallest doc_id stays, nulls last; of several with it the first
-    by file and place. Rows are told apart by a key of their own: different texts with the same id or none stay.
+    by file and place. Rows are told apart by a key of their own, so different
+    texts with the same id or none stay. Texts without words are copies of each
+    other. An empty table stays empty.
     """
     keyed = with_row_key(docs, "_row")
     plain = keyed.select(F.col("_row").alias("row"), col(keyed, "doc_id").cast("long").alias("doc_id"), col(keyed, "text").alias("text"))
-    found = near_copies(plain)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    found = cut_lineage(found)
-    keep = found.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
-    gone = cut_lineage(found.join(keep, "row", "left_anti").select(F.col("row").alias("_row")))
+    marked = cut_lineage(plain.mapInArrow(_fingerprints(size), "row long, doc_id long, fp long"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    distinct = cut_lineage(marked.groupBy("fp").agg(least.alias("first")))
+    keep = _rooted(distinct, max_bits).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    gone = cut_lineage(marked.join(cut_lineage(keep), "row", "left_anti").select(F.col("row").alias("_row")))
     return without_keys(keyed, "_row", gone).drop("_row")

@@ -3,10 +3,11 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from firnline.llm import decontam, quality, shingles, simhash, substrings
+from firnline.llm import decontam, quality, simhash, substrings
 from firnline.llm.windows import Words, letter_words, plain_words
 from tests.llm.conftest import make_docs, prose
 
@@ -216,16 +217,6 @@ def test_null_text_is_clean(spark):
     assert one.select(F.col("text")).first()[0] is None
 
 
-def plain_shingles(text):
-    w = words((text or "").translate(LOWER))
-    return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
-
-
-def similar(a, b):
-    x, y = plain_shingles(a), plain_shingles(b)
-    return 5 * len(x & y) >= 4 * len(x | y)
-
-
 def edited(text, places):
     w = text.split()
     for p in places:
@@ -233,34 +224,49 @@ def edited(text, places):
     return " ".join(w)
 
 
-def test_keep_first_finds_edited_copies(spark):
+def test_keep_first_keeps_one_row_of_each_component(spark):
     r = np.random.default_rng(8)
-    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 120)) for _ in range(40)]
-    line = " ".join(f"common{i}" for i in range(30))
-    rows = [(i, t + " " + line * (i % 3 == 0)) for i, t in enumerate(texts)]
-    # One edit leaves some 0.92 of the shingles, two some 0.84, three under 0.8; chains of edits connect by their links.
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 600)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    # Edits of few words flip few bits; chains of edits connect by their links.
     for i in range(40):
-        rows += [(100 + i, edited(rows[i][1], [50])), (200 + i, edited(rows[i][1], [20, 80])), (300 + i, edited(rows[i][1], [5, 30, 60, 90]))]
+        rows += [(100 + i, edited(texts[i], [50])), (200 + i, edited(texts[i], [20, 580])), (300 + i, edited(texts[i], range(0, 600, 20)))]
     chain = texts[0]
     for k in range(6):
-        chain = edited(chain, [15 * k + 8])
+        chain = edited(chain, [90 * k + 8])
         rows.append((400 + k, chain))
-    up = list(range(len(rows)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-    for i in range(len(rows)):
-        for j in range(i):
-            if similar(rows[i][1], rows[j][1]):
-                up[max(root(i), root(j))] = min(root(i), root(j))
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        least[root(k)] = min(i, least.get(root(k), i))
-    assert 40 <= len(least) < 90
+    found = plain_components([(i, plain_fingerprint(t)) for i, t in rows])
+    least = {c for _, _, c in found}
+    assert 60 <= len(least) < 160
     got = simhash.keep_first(make_docs(spark, [(i, t, "en", "s") for i, t in rows]).repartition(4))
-    assert sorted(x.doc_id for x in got.collect()) == sorted(least.values())
+    assert sorted(x.doc_id for x in got.collect()) == sorted(least)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_links_at_fewer_bits(spark, bits):
+    r = np.random.default_rng(bits)
+    centres = r.integers(-(1 << 62), 1 << 62, 30)
+    near = {int(c) ^ (1 << int(i)) ^ (1 << int(j)) for c in centres for i, j in r.integers(0, 62, (6, 2))} | {int(c) for c in centres}
+    fps = spark.createDataFrame([(f,) for f in sorted(near)], "fp long")
+    close = {(a, b) for a in near for b in near if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+    for pairwise in (64, 1):
+        old, simhash.PAIRWISE = simhash.PAIRWISE, pairwise
+        try:
+            edges = {(x.a, x.b) for x in simhash.links(fps, bits).collect()}
+        finally:
+            simhash.PAIRWISE = old
+        assert edges <= close and (pairwise == 1 or edges == close)
+        whole = None
+        for links in (close, edges):
+            parts = {f: {f} for f in near}
+            for a, b in links:
+                if parts[a] is not parts[b]:
+                    parts[a] |= parts[b]
+                    for x in parts[b]:
+                        parts[x] = parts[a]
+            groups = {frozenset(x) for x in parts.values()}
+            assert whole is None or groups == whole
+            whole = groups
 
 
 def test_rows_without_or_with_one_id_are_rows_of_their_own(spark):
@@ -274,18 +280,3 @@ def test_rows_without_or_with_one_id_are_rows_of_their_own(spark):
     clean = decontam.uncontaminated_rows(docs, benchmark)
     assert clean.columns == docs.columns
     assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter(x for x in rows if x[1] not in (texts[2], texts[4]))
-
-
-def test_the_filters_before_the_comparison_lose_no_similar_pair():
-    r = np.random.default_rng(4)
-    none = np.zeros(0, np.uint64)
-    for n in (1, 4, 5, 9, 50, 400, 3000):
-        both = np.unique(r.integers(0, 1 << 63, n, np.uint64))
-        for _ in range(20):
-            own = r.integers(1 << 63, (1 << 64) - 1, int(n / 4) + 1, np.uint64)
-            k = int(r.integers(0, len(own) + 1))
-            x, y = np.unique(np.concatenate([both, own[:k]])), np.unique(np.concatenate([both, own[k:]]))
-            if 5 * n >= 4 * (n + len(own)):
-                assert len(np.intersect1d(shingles.prefix(x, none, none), shingles.prefix(y, none, none)))
-                hit = [set((s % np.uint64(shingles.CELLS)).tolist()) for s in (x, y)]
-                assert len(hit[0] ^ hit[1]) * 9 <= len(x) + len(y)
