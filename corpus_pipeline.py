@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more), that with the smallest id."""
+    """One row of each group of near copies (SimHash of 3-word shingles, 2 bits), that with the smallest id."""
     return keep_first(docs)
 
 
