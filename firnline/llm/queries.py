@@ -18,6 +18,7 @@ from firnline.llm.substrings import digest, without_repeats
 from firnline.llm.text import table
 from firnline.llm.urls import judged
 from firnline.llm.warc import round_trip
+from firnline.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -80,3 +81,8 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_url_ratio", checks.URLS)
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return judged(table(spark, root, "pages"))
+
+
+@query("op11_refined_whitening")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return whitened(table(spark, root, "embeddings"))
