@@ -11,6 +11,7 @@ from firnline.llm.decontam import contamination
 from firnline.llm.html import extract
 from firnline.llm.langid import identify
 from firnline.llm.mixing import mixed_ids
+from firnline.llm.piecewise import edited_likeness
 from firnline.llm.quality import quality
 from firnline.llm.sharding import placement
 from firnline.llm.simhash import near_duplicates
@@ -86,3 +87,8 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
 @query("op11_refined_whitening")
 def op11(spark: SparkSession, root: str) -> DataFrame:
     return whitened(table(spark, root, "embeddings"))
+
+
+@query("op12_piecewise_hash")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return edited_likeness(table(spark, root, "documents"))
