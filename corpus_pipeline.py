@@ -10,21 +10,24 @@ from firnline.llm.mixing import mixed
 from firnline.llm.sharding import shards
 from firnline.llm.simhash import keep_first
 from firnline.llm.text import table
-from firnline.session import cut_lineage
+from firnline.session import bound_batches, cut_lineage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be identified."""
+    bound_batches(spark)
     return identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (SimHash of 3-word shingles, 2 bits), that with the smallest id."""
+    bound_batches(spark)
     return keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text shares no window with the benchmark."""
+    bound_batches(spark)
     return uncontaminated_rows(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -43,6 +43,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let batches that go to Python hold this many bytes and a row at most, from now on in this session.
+
+    By themselves they hold 10,000 rows, which is 30 MB of usual documents and
+    many times that of long ones, in the JVM and in Python, for each task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors of a cluster this package, once in a session; their Python may not have it installed."""
     sc = spark.sparkContext
