@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import checks
+from firnline.llm.crosstoken import alignment
 from firnline.llm.decontam import contamination
 from firnline.llm.html import extract
 from firnline.llm.langid import identify
@@ -92,3 +93,8 @@ def op11(spark: SparkSession, root: str) -> DataFrame:
 @query("op12_piecewise_hash")
 def op12(spark: SparkSession, root: str) -> DataFrame:
     return edited_likeness(table(spark, root, "documents"))
+
+
+@query("op13_pair_bitmaps")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return alignment(table(spark, root, "documents"))
