@@ -1,13 +1,16 @@
 """Agglomerative clustering of stations, cut at a height.
 
 Stations at one place are merged first (their dissimilarity is zero) and count
-with their number. Groups of at most ``SMALL_GROUP`` places (an ecoregion has a
-few hundred) are solved from their matrix, many groups side by side. Beyond
-that the tree of a reducible linkage is grown in rounds on the cluster: every
-cluster finds its nearest neighbour among the pairs not above the cut, all
-mutual nearest neighbours merge at once, and the pairs are regrouped. This
-gives the clusters of the one-merge-at-a-time tree, and each round is a handful
-of aggregates and joins. (The method is that of Sumengen et al. 2021,
+with their number. Only pairs of places not above the cut are ever joined, and
+their connected components hold the clusters: with a reducible linkage no merge
+below the cut crosses from one component to another. A component all of whose
+pairs are within the cut is one cluster of the linkages that are means or
+maxima of dissimilarities. In the others the tree is grown in rounds, all
+components of all groups at once: every cluster finds its nearest neighbour
+among the pairs not above the cut, all mutual nearest neighbours merge, and the
+pairs are regrouped. This gives the clusters of the one-merge-at-a-time tree,
+each round is a handful of aggregates and joins, and neither a group nor a
+component is ever in one task. (The method is that of Sumengen et al. 2021,
 "Scaling Hierarchical Agglomerative Clustering to Billion-sized Datasets".)
 
 Centroid and median linkage are not reducible (a merge can bring two clusters
@@ -16,22 +19,21 @@ closer than either part was), so they can't be grown this way and are left out.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from firnline.functions import geodesy as geo
 from firnline.functions.labels import cluster_label
-from firnline.operators import rules
+from firnline.operators.components import components
 from firnline.operators.ranks import with_positions
 from firnline.operators.spatial import dissimilarity_pairs
-from firnline.session import cut_lineage
+from firnline.session import Scratch, cut_lineage
 
 REDUCIBLE = ("single", "complete", "average", "mcquitty", "ward.D", "ward.D2")
-#: Groups up to this size are solved in a task, larger ones by rounds, with the same clusters.
-SMALL_GROUP = 2000
+#: Linkages that are never above the largest dissimilarity of their members.
+BOUNDED = ("complete", "average", "mcquitty")
 
 
 def _mutual_nearest(pairs: DataFrame) -> DataFrame:
@@ -63,27 +65,18 @@ def _expected() -> Column:
     return (F.when(F.col("_a2").isNull(), 1).otherwise(2) * F.when(F.col("_b2").isNull(), 1).otherwise(2))
 
 
-def _follow(assigned: DataFrame, merges: DataFrame) -> DataFrame:
-    m = merges.select(F.col("hi").alias("cluster"), F.col("lo").alias("_new"))
-    return assigned.join(m, "cluster", "left").withColumn(
-        "cluster", F.coalesce("_new", "cluster")).drop("_new")
-
-
-def _grow_from_pairs(pairs: DataFrame, assigned: DataFrame, method: str) -> DataFrame:
-    """Single and complete linkage need nothing but the pairs up to the cut."""
-    pairs, assigned = cut_lineage(pairs), cut_lineage(assigned)
-    while pairs.take(1):
-        merges = cut_lineage(_mutual_nearest(pairs))
-        assigned = cut_lineage(_follow(assigned, merges))
-        moved = _renamed(pairs, merges)
-        if method == "single":
-            pairs = moved.groupBy("a", "b").agg(F.min("d").alias("d"))
-        else:
-            # A missing pair of parts lies above the cut, so the whole does too.
-            grouped = moved.groupBy("a", "b").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("_n"))
-            pairs = _with_parts(grouped, merges).where(F.col("_n") == _expected())
-        pairs = cut_lineage(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "d"))
-    return assigned
+def _complete_merges(pairs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Merges (lo, hi) of each round. Complete linkage needs nothing but the pairs up to the cut."""
+    rounds = []
+    while not (merges := scratch.cut(_mutual_nearest(pairs))).isEmpty():
+        rounds.append(merges)
+        # A missing pair of parts lies above the cut, so the whole does too.
+        grouped = _renamed(pairs, merges).groupBy("a", "b").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("_n"))
+        whole = _with_parts(grouped, merges).where(F.col("_n") == _expected())
+        after = scratch.cut(whole.select(F.col("a").alias("u"), F.col("b").alias("v"), "d"))
+        scratch.free(pairs)
+        pairs = after
+    return rounds
 
 
 def _score(dist_adj: float, elev_adj: float, a: str, b: str) -> Column:
@@ -103,9 +96,9 @@ def _linkage_distance(method: str) -> Column:
     return 2 * nu * nv / (nu + nv) * (mean - inner)
 
 
-def _grow_from_sums(pairs: DataFrame, places: DataFrame, h: float, method: str,
-                    dist_adj: float, elev_adj: float) -> DataFrame:
-    """Average, mcquitty and ward linkage from weighted sums of dissimilarities.
+def _summed_merges(pairs: DataFrame, places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float,
+                   scratch: Scratch) -> list[DataFrame]:
+    """Merges (lo, hi) of each round of average, mcquitty and ward linkage, from weighted sums of dissimilarities.
 
     A pair of clusters is stored only while its linkage is not above the cut.
     When parts merge, the sums of stored pairs add up; the sum of a pair that
@@ -116,17 +109,17 @@ def _grow_from_sums(pairs: DataFrame, places: DataFrame, h: float, method: str,
     squared = method == "ward.D2"
     top = h * h if squared else h
     half = 0.5 if method == "mcquitty" else 1.0
-    members = cut_lineage(places.select(
+    members = scratch.cut(places.select(
         F.col("node").alias("cluster"), "node", "px", "py", "pz", "pe",
         (F.lit(1.0) if method == "mcquitty" else F.col("n").cast("double")).alias("w")))
-    clusters = cut_lineage(places.select(F.col("node").alias("cluster"), F.col("n").cast("double").alias("n"),
+    clusters = scratch.cut(places.select(F.col("node").alias("cluster"), F.col("n").cast("double").alias("n"),
                                          F.lit(0.0).alias("t")))
 
     def with_linkage(sums: DataFrame) -> DataFrame:
         for end in ("u", "v"):
             sums = sums.join(clusters.select(F.col("cluster").alias(end), F.col("n").alias(f"n{end}"),
                                              F.col("t").alias(f"t{end}")), end)
-        return cut_lineage(sums.withColumn("d", _linkage_distance(method)).where(F.col("d") <= top)
+        return scratch.cut(sums.withColumn("d", _linkage_distance(method)).where(F.col("d") <= top)
                            .select("u", "v", "s", "d"))
 
     first = pairs.withColumn("_delta", F.col("d") * F.col("d") if squared else F.col("d"))
@@ -135,15 +128,16 @@ def _grow_from_sums(pairs: DataFrame, places: DataFrame, h: float, method: str,
         first = first.join(weight.select(F.col("node").alias(end), F.col("w").alias(f"w{end}")), end)
     pairs = with_linkage(first.select("u", "v", (F.col("wu") * F.col("wv") * F.col("_delta")).alias("s")))
 
-    while pairs.take(1):
-        merges = cut_lineage(_mutual_nearest(pairs))
+    rounds = []
+    while not (merges := scratch.cut(_mutual_nearest(pairs))).isEmpty():
+        rounds.append(merges)
         inner = merges.join(pairs.select(F.col("u").alias("lo"), F.col("v").alias("hi"), "s"), ["lo", "hi"])
         share = F.when(F.col("_a2").isNull(), 1.0).otherwise(half) * F.when(
             F.col("_b2").isNull(), 1.0).otherwise(half)
 
         grouped = _renamed(pairs, merges).groupBy("a", "b").agg(
             F.sum("s").alias("s"), F.count(F.lit(1)).alias("_n"))
-        parts = cut_lineage(_with_parts(grouped, merges).withColumn("_whole", F.col("_n") == _expected()))
+        parts = scratch.cut(_with_parts(grouped, merges).withColumn("_whole", F.col("_n") == _expected()))
 
         # Members of the pairs of parts that were not stored.
         gaps = parts.where(~F.col("_whole")).select(
@@ -157,109 +151,60 @@ def _grow_from_sums(pairs: DataFrame, places: DataFrame, h: float, method: str,
         delta = _score(dist_adj, elev_adj, "u", "v")
         delta = delta * delta if squared else delta
         extra = met.groupBy("a", "b").agg(F.sum(F.col("wu") * F.col("wv") * delta).alias("_more"))
-        merged = parts.join(extra, ["a", "b"], "left").select(
+        merged = scratch.cut(parts.join(extra, ["a", "b"], "left").select(
             F.col("a").alias("u"), F.col("b").alias("v"),
-            ((F.col("s") + F.coalesce("_more", F.lit(0.0))) * share).alias("s"))
-        merged = cut_lineage(merged)
+            ((F.col("s") + F.coalesce("_more", F.lit(0.0))) * share).alias("s")))
 
         mine = inner.select(F.col("lo").alias("cluster"), F.col("s").alias("_cross"))
         gone = merges.select(F.col("hi").alias("cluster"), F.col("lo").alias("_new"))
         halved = merges.select(F.explode(F.array("lo", "hi")).alias("cluster"), F.lit(half).alias("_f"))
-        members = cut_lineage(
+        old = members, clusters, parts, merged, pairs
+        members = scratch.cut(
             members.join(halved, "cluster", "left").join(gone, "cluster", "left")
             .withColumn("w", F.col("w") * F.coalesce("_f", F.lit(1.0)))
             .withColumn("cluster", F.coalesce("_new", "cluster")).drop("_f", "_new"))
-        clusters = cut_lineage(
+        clusters = scratch.cut(
             clusters.join(gone, "cluster", "left").withColumn("cluster", F.coalesce("_new", "cluster"))
             .groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
             .join(mine, "cluster", "left")
             .select("cluster", "n", (F.col("t") + 2 * F.coalesce("_cross", F.lit(0.0))).alias("t")))
         pairs = with_linkage(merged)
-    return members.select("node", "cluster")
-
-
-def dense_linkage(d: np.ndarray, size: np.ndarray, h: float, method: str) -> np.ndarray:
-    """Clusters of a small group from its matrix; the first member's index is the label.
-
-    All mutual nearest neighbours of a round merge, as in the distributed rounds.
-    """
-    d, size = d.astype(float).copy(), size.astype(float).copy()
-    top = h
-    if method == "ward.D2":
-        d, top = d * d, h * h
-    if method.startswith("ward"):
-        d *= 2 * np.outer(size, size) / np.add.outer(size, size)
-    n = len(size)
-    label = np.arange(n)
-    np.fill_diagonal(d, np.inf)
-    alive = np.ones(n, bool)
-
-    def merge(i, j):
-        ni, nj, nk, dij = size[i], size[j], size, d[i, j]
-        with np.errstate(invalid="ignore"):
-            if method == "single":
-                row = np.minimum(d[i], d[j])
-            elif method == "complete":
-                row = np.maximum(d[i], d[j])
-            elif method == "average":
-                row = (ni * d[i] + nj * d[j]) / (ni + nj)
-            elif method == "mcquitty":
-                row = (d[i] + d[j]) / 2
-            else:
-                row = ((ni + nk) * d[i] + (nj + nk) * d[j] - nk * dij) / (ni + nj + nk)
-        row[~alive] = np.inf
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-
-    while alive.sum() > 1:
-        best = np.argmin(d, axis=1)
-        rows = np.arange(n)
-        pairs = rows[(best[best] == rows) & (rows < best) & (d[rows, best] <= top)]
-        if len(pairs) == 0:
-            break
-        for i in pairs:
-            merge(int(i), int(best[i]))
-    return label
-
-
-def _cluster_in_tasks(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float) -> DataFrame:
-    """Small groups, each from its matrix."""
-    node = places.schema["node"].dataType
-    schema = T.StructType([T.StructField("node", node), T.StructField("cluster", node)])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        xyz = pdf[["px", "py", "pz"]].to_numpy()
-        e = pdf["pe"].to_numpy()
-        score = np.empty((len(pdf), len(pdf)))
-        for i in range(len(pdf)):
-            chord = np.sqrt(((xyz - xyz[i]) ** 2).sum(axis=1))
-            km = 2 * geo.PAIR_RADIUS_KM * np.arcsin(np.minimum(chord / 2, 1))
-            score[i] = km / dist_adj + np.abs(e - e[i]) / elev_adj
-        label = dense_linkage(score, pdf["n"].to_numpy(), h, method)
-        return pd.DataFrame({"node": pdf["node"], "cluster": pdf["node"].to_numpy()[label]})
-
-    return places.groupBy("_g").applyInPandas(one, schema)
-
-
-def _cluster_by_rounds(places: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float,
-                       lon: str, lat: str, elev: str) -> DataFrame:
-    pairs = dissimilarity_pairs(places, dist_adj, elev_adj, h, "node", lon, lat, elev, ["_g"]).select(
-        F.col("ID1").alias("u"), F.col("ID2").alias("v"), F.col("SCORE").alias("d"))
-    if method in ("single", "complete"):
-        return _grow_from_pairs(pairs, places.select("node", F.col("node").alias("cluster")), method).select(
-            "node", "cluster")
-    return _grow_from_sums(pairs, places, h, method, dist_adj, elev_adj)
+        scratch.free(*old)
+    return rounds
+
+
+def _linked(places: DataFrame, pairs: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float) -> DataFrame:
+    """(node, cluster) of the places that are in a cluster with others; ``pairs(u, v, d)`` are those up to the cut."""
+    roots = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    if method == "single":
+        return roots.withColumnRenamed("root", "cluster")
+    with Scratch(places.sparkSession) as scratch:
+        rooted = scratch.cut(pairs.join(roots.withColumnRenamed("node", "u"), "u"))
+        known = roots.select("node", "root")
+        if method in BOUNDED:
+            full = (rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_m"))
+                    .join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("_k")), "root")
+                    .where(F.col("_m") * 2 == F.col("_k") * (F.col("_k") - 1)).select("root"))
+            full = scratch.cut(full)
+            done = [roots.join(full, "root", "left_semi").select(F.col("root").alias("a"), F.col("node").alias("b"))]
+            rooted, known = rooted.join(full, "root", "left_anti"), roots.join(full, "root", "left_anti")
+        else:
+            done = []
+        open_pairs = scratch.cut(rooted.select("u", "v", "d"))
+        if method == "complete":
+            rounds = _complete_merges(open_pairs, scratch)
+        else:
+            rounds = _summed_merges(open_pairs, places.join(known.select("node"), "node", "left_semi"), h, method, dist_adj, elev_adj, scratch)
+        links = done + [r.select(F.col("lo").alias("a"), F.col("hi").alias("b")) for r in rounds]
+        if not links:
+            return roots.where("false").withColumnRenamed("root", "cluster")
+        return components(reduce(DataFrame.union, links)).withColumnRenamed("root", "cluster")
 
 
 def cluster_stations(stations: DataFrame, dist_adj: float, elev_adj: float, h: float,
                      method: str = "complete", group: str | None = None, id: str = "ID",
                      lon: str = "LONGITUDE", lat: str = "LATITUDE", elev: str = "ELEVATION",
-                     out: str = "CLUST", label: bool = False, small_group: int = SMALL_GROUP) -> DataFrame:
+                     out: str = "CLUST", label: bool = False) -> DataFrame:
     """Add the cluster of each station, numbered from 1 within its group by smallest id.
 
     Dissimilarity is km / dist_adj + |elevation gap| / elev_adj, the tree is cut
@@ -280,16 +225,10 @@ def cluster_stations(stations: DataFrame, dist_adj: float, elev_adj: float, h: f
         keyed.groupBy(*keys).agg(F.min(id).alias("node"), F.count(F.lit(1)).alias("n")), "p", lon, lat)
         .withColumn("pe", F.col(elev)))
 
-    large = cut_lineage(places.groupBy("_g").agg(F.count(F.lit(1)).alias("_p")).where(F.col("_p") > small_group))
-    if large.take(1):
-        small = rules.anti(places, large, ["_g"])
-        rest = places.join(large.select(F.col("_g").alias("_l")), F.col("_g").eqNullSafe(F.col("_l")), "left_semi")
-        found = _cluster_in_tasks(small, h, method, dist_adj, elev_adj).unionByName(
-            _cluster_by_rounds(rest, h, method, dist_adj, elev_adj, lon, lat, elev))
-    else:
-        found = _cluster_in_tasks(places, h, method, dist_adj, elev_adj)
-
-    placed = places.select(*keys, "node").join(found, "node")
+    pairs = dissimilarity_pairs(places, dist_adj, elev_adj, h, "node", lon, lat, elev, ["_g"]).select(
+        F.col("ID1").alias("u"), F.col("ID2").alias("v"), F.col("SCORE").alias("d"))
+    found = _linked(places, cut_lineage(pairs), h, method, dist_adj, elev_adj)
+    placed = places.select(*keys, "node").join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     first = placed.groupBy("_g", "cluster").agg(F.min("node").alias("_first"))
     # Numbers are places in one global order, counted from the first of the group.
     ranked = with_positions(first, ["_g", "_first"], "_at").drop("n_rows")

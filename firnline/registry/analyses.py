@@ -10,9 +10,9 @@ from firnline.plans import loads as load_plan
 from firnline.plans import station
 from firnline.registry.base import day, query, rnd
 from firnline.operators.fitting import LOAD_COLUMNS
-from firnline.registry.fits import load_summary_views, sparse_maxima
+from firnline.registry.fits import LNORM_LEVEL, SUMMARY, YM, load_summary_views, sparse_maxima
 from firnline.registry.observations import high_max_sql, monthly_sql, yearly_sql
-from firnline.registry.sqltext import IN_RECTANGLE, RECTANGLES, ROW_RULES, qnorm_sql, with_views, wy
+from firnline.registry.sqltext import IN_RECTANGLE, RECTANGLES, ROW_RULES, linkage_ctes, qnorm_sql, recursive, with_views, wy
 
 FIRST, LAST = 1996, 2000
 CLASSES = [row[0] for row in conv.snow_class_rows()]
@@ -179,27 +179,44 @@ def p9(cat):
     return out.select(F.col("cuID").alias("CLUSTER"), "LATITUDE", "ELEVATION", "HUC", "numMax", "medMax", "load")
 
 
-@query("p1_clustered_fits")
+LABELLED = "SELECT ID, G || '.' || lpad(CAST(CLUST AS VARCHAR), 4, '0') AS CLUST FROM clustered"
+
+
+@query("p1_clustered_fits", recursive(with_views(f"""
+SELECT ID AS CLUST, NFIT, round(PAR1, 6) AS PAR1, round(PAR2, 6) AS PAR2,
+  round(CASE WHEN Z >= 0.98 THEN 0 WHEN PAR1 IS NULL THEN NULL ELSE {LNORM_LEVEL} END, 4) AS EVENT50
+FROM (SELECT *, CASE WHEN N > 1 AND LO > 0 AND HI > LO THEN ML END AS PAR1, CASE WHEN N > 1 AND LO > 0 AND HI > LO THEN SL END AS PAR2 FROM summ)""",
+    "obs", "stations", **linkage_ctes("complete", 40, 400, 4, "stations", "ECO3"), lab=LABELLED,
+    clean=f"SELECT obs.* REPLACE (lab.CLUST AS ID) FROM obs JOIN lab USING (ID) JOIN stations USING (ID) WHERE left(ECO3, 1) IN ('1', '2', '5') AND {ROW_RULES}",
+    ym=YM, summ=SUMMARY)))
 def p1(cat):
     out = station.clustered_fits(cat.obs, cat.stations, ["1", "2", "5"], 40, 400, 4)
     return out.select("CLUST", "NFIT", rnd("PAR1").alias("PAR1"), rnd("PAR2").alias("PAR2"), rnd("EVENT50", 4).alias("EVENT50"))
 
 
-# Clusters at a cut of zero height are the stations, which SQL can follow to the end.
+def depth_views(n: int, months: int) -> dict[str, str]:
+    """CTE ``covered``: covered yearly maxima of the clusters of ``lab``."""
+    return {
+        "clean": f"SELECT obs.*, CLUST FROM obs JOIN lab USING (ID) WHERE {ROW_RULES}",
+        **high_max_sql("clean", "CLUST"),
+        "hm": "SELECT * EXCLUDE (YEAR, HIGH, N_HIGH) FROM survivors",
+        "monthly": monthly_sql("hm").replace("ID, ELEMENT", "CLUST, ELEMENT"),
+        "tested": f"""SELECT *, sum(CASE WHEN ELEMENT = 'WESD' THEN MAX_N ELSE 0 END) OVER (PARTITION BY CLUST, YEAR) >= {n}
+          AND (SELECT count(DISTINCT MONTH) FROM monthly i WHERE i.CLUST = o.CLUST AND i.YEAR = o.YEAR AND i.ELEMENT = 'WESD') >= {months}
+          AND max(CASE WHEN ELEMENT = 'WESD' THEN VALUE END) OVER (PARTITION BY CLUST, YEAR) > 0 AS ENOUGH FROM monthly o""",
+        "chosen": "SELECT * FROM tested WHERE ELEMENT = 'WESD' OR ENOUGH IS NOT TRUE",
+        "yearly": yearly_sql("CLUST, YEAR", "chosen", extra=""", max(CASE WHEN ELEMENT = 'WESD' THEN 1 ELSE 0 END) = 1 AS ANY_WESD,
+          first(ELEMENT ORDER BY VALUE DESC, ELEMENT, MONTH) = 'WESD' AS PRIORITIZED"""),
+        "covered": f"""SELECT y.*, MEDIAN FROM yearly y JOIN (SELECT CLUST, median(MAX) AS MEDIAN FROM yearly GROUP BY CLUST
+          HAVING sum(CASE WHEN MAX <> 0 THEN 1 ELSE 0 END) >= 5) m USING (CLUST) WHERE (MAX_N >= {n} AND MAX_MONTHS >= {months}) OR MAX >= MEDIAN""",
+    }
+
+
+# Clusters at a cut of zero height are the stations.
 P2 = {
     "kept0": "SELECT * FROM stations WHERE LATITUDE <= 45 AND STATE <> 'NATION_9'",
     "lab": "SELECT *, ECO3 || '.' || lpad(CAST(row_number() OVER (PARTITION BY ECO3 ORDER BY ID) AS VARCHAR), 4, '0') AS CLUST FROM kept0",
-    "clean": f"SELECT obs.*, CLUST FROM obs JOIN lab USING (ID) WHERE {ROW_RULES}",
-    **high_max_sql("clean", "CLUST"),
-    "hm": "SELECT * EXCLUDE (YEAR, HIGH, N_HIGH) FROM survivors",
-    "monthly": monthly_sql("hm").replace("ID, ELEMENT", "CLUST, ELEMENT"),
-    "tested": """SELECT *, sum(CASE WHEN ELEMENT = 'WESD' THEN MAX_N ELSE 0 END) OVER (PARTITION BY CLUST, YEAR) >= 4
-      AND (SELECT count(DISTINCT MONTH) FROM monthly i WHERE i.CLUST = o.CLUST AND i.YEAR = o.YEAR AND i.ELEMENT = 'WESD') >= 3
-      AND max(CASE WHEN ELEMENT = 'WESD' THEN VALUE END) OVER (PARTITION BY CLUST, YEAR) > 0 AS ENOUGH FROM monthly o""",
-    "chosen": "SELECT * FROM tested WHERE ELEMENT = 'WESD' OR ENOUGH IS NOT TRUE",
-    "yearly": yearly_sql("CLUST, YEAR", "chosen"),
-    "covered": """SELECT y.* FROM yearly y JOIN (SELECT CLUST, median(MAX) AS MEDIAN FROM yearly GROUP BY CLUST
-      HAVING sum(CASE WHEN MAX <> 0 THEN 1 ELSE 0 END) >= 5) m USING (CLUST) WHERE (MAX_N >= 4 AND MAX_MONTHS >= 3) OR MAX >= MEDIAN""",
+    **depth_views(4, 3),
 }
 
 
@@ -213,7 +230,9 @@ def p2(cat):
     return out.select("CLUST", rnd("max").alias("MAX"), F.col("month").alias("MONTH"), "LATITUDE", "ELEVATION")
 
 
-@query("p2_depth_maxima_clustered")
+@query("p2_depth_maxima_clustered", recursive(with_views("""
+SELECT CLUST, YEAR, MAX, MAX_N, MAX_MONTH, MAX_MONTHS, PRIORITIZED, MONTH_NAMES, MEDIAN FROM covered""", "obs", "stations",
+    kept0="SELECT * FROM stations WHERE LATITUDE <= 51", **linkage_ctes("complete", 40, 400, 4, "kept0", "ECO3"), lab=LABELLED, **depth_views(10, 3))))
 def p2_clustered(cat):
     states = [f"NATION_{i}" for i in range(25)]
     ym, _ = station.depth_maxima(cat.obs, cat.stations, states, 51, 40, 400, 4, "WESD", 10, 3)

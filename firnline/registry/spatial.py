@@ -10,8 +10,8 @@ from firnline.operators import cluster, correlation, grid, regional, rules, spat
 from firnline.operators.reshape import distance_class
 from firnline.plans import climate, enrichment, pairs as pair_plan
 from firnline.registry.base import big, query, rnd
-from firnline.registry.sqltext import (IN_RECTANGLE, RECTANGLES, haversine_sql, sphere_distance_ctes,
-                                       with_views)
+from firnline.registry.sqltext import (IN_RECTANGLE, RECTANGLES, haversine_sql, linkage_ctes, recursive,
+                                       sphere_distance_ctes, with_views)
 from firnline.session import cut_lineage
 
 
@@ -361,19 +361,24 @@ SELECT ID, CAST(dense_rank() OVER (ORDER BY low) AS INTEGER) AS CLUST FROM (SELE
 @query("k1_cluster_single", "WITH " + SINGLE.format(
     places=__import__("firnline.registry.sqltext", fromlist=["PLACES"]).PLACES))
 def k1_single(cat):
-    return cluster.cluster_stations(cat.places, 30, 300, 2, "single", small_group=0).select("ID", "CLUST")
+    return cluster.cluster_stations(cat.places, 30, 300, 2, "single").select("ID", "CLUST")
 
 
-@query("k1_cluster_complete")
+def linkage_check(method: str) -> str:
+    return recursive(with_views("SELECT ID, CAST(CLUST AS INTEGER) AS CLUST FROM clustered", "places",
+                                **linkage_ctes(method, 40, 400, 2, "places")))
+
+
+@query("k1_cluster_complete", linkage_check("complete"))
 def k1_complete(cat):
-    return cluster.cluster_stations(cat.places, 40, 400, 2, "complete", small_group=0).select("ID", "CLUST")
+    return cluster.cluster_stations(cat.places, 40, 400, 2, "complete").select("ID", "CLUST")
 
 
 @query("k1_complete_properties", with_views("""
 SELECT 'stations' AS PROPERTY, count(*) AS N FROM places UNION ALL SELECT 'wide clusters', 0 UNION ALL SELECT 'mergeable clusters', 0""", "places"))
 def k1_properties(cat):
     """Complete linkage by its properties: no pair of a cluster beyond the cut, no two clusters within it."""
-    found = cluster.cluster_stations(cat.places, 40, 400, 2, "complete", small_group=0)
+    found = cluster.cluster_stations(cat.places, 40, 400, 2, "complete")
     sizes = found.groupBy("CLUST").agg(F.count(F.lit(1)).alias("n"))
     close = spatial.dissimilarity_pairs(cat.places, 40, 400, 2)
     of = found.select("ID", "CLUST")
@@ -389,16 +394,20 @@ def k1_properties(cat):
 
 
 def _linkage(name, method):
-    @query(name)
+    @query(name, linkage_check(method))
     def run(cat):
-        return cluster.cluster_stations(cat.places, 40, 400, 2, method, small_group=0).select("ID", "CLUST")
+        return cluster.cluster_stations(cat.places, 40, 400, 2, method).select("ID", "CLUST")
 
 
 for _m in ("average", "mcquitty", "ward.D", "ward.D2"):
     _linkage("k2_cluster_" + _m.lower().replace(".", "_"), _m)
 
 
-@query("k3_cluster_in_regions")
+LABEL = "G || '.' || lpad(CAST(CLUST AS VARCHAR), 4, '0')"
+
+
+@query("k3_cluster_in_regions", recursive(with_views(f"SELECT ID, G AS ECO3, {LABEL} AS CLUST FROM clustered", "stations",
+                                                     **linkage_ctes("complete", 40, 400, 4, "stations", "ECO3"))))
 def k3(cat):
     return cluster.cluster_stations(cat.stations, 40, 400, 4, group="ECO3", label=True).select("ID", "ECO3", "CLUST")
 

@@ -191,3 +191,51 @@ GRID = """SELECT CAST(floor(p_partkey / n) AS BIGINT) AS row, CAST(p_partkey % n
 GRID_SPEC = """SELECT -125.0 AS gx, 30.0 AS gy, CAST(60 AS DOUBLE) / (n - 1) AS dx, CAST(20 AS DOUBLE) / (n - 1) AS dy
   FROM (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS n FROM part)"""
 BASE.update({"places": PLACES, "grid": GRID, "spec": GRID_SPEC, "edges": RECTANGLE_EDGES})
+
+
+# --- linkage as SQL text -----------------------------------------------------------------
+
+def linkage_ctes(method: str, dist_adj: float, elev_adj: float, h: float, source: str, group: str = "''") -> dict[str, str]:
+    """CTE ``clustered`` (G, ID, CLUST): one merge after the other in every component of the pairs up to ``h``.
+
+    The linkage of two clusters is taken from all pairs of their members anew in each step, the nearest pair merges,
+    ties by name. For WITH RECURSIVE; ``source`` has ID, LONGITUDE, LATITUDE and ELEVATION.
+    """
+    gap = (f"{haversine_sql('a.LONGITUDE', 'a.LATITUDE', 'b.LONGITUDE', 'b.LATITUDE')} / {dist_adj}"
+           f" + abs(a.ELEVATION - b.ELEVATION) / {elev_adj}")
+    squared = method == "ward.D2"
+    top = h * h if squared else h
+    delta = "d * d" if squared else "d"
+    linkage = {"complete": "max(d)", "average": "sum(x.n * y.n * d) / sum(x.n * y.n)", "mcquitty": "sum(x.w * y.w * d)"}.get(method)
+    cur = "SELECT x.root, x.cluster AS u, y.cluster AS v, {} AS l FROM agg x JOIN agg y ON x.root = y.root JOIN apart ON apart.u = x.node AND apart.v = y.node"
+    if linkage:
+        found = cur.format(linkage) + " WHERE x.cluster < y.cluster GROUP BY ALL"
+    else:
+        cross = cur.format(f"sum(x.n * y.n * {delta})") + " GROUP BY ALL"
+        found = f"""SELECT c.root, c.u, c.v, 2 * a.k * b.k / (a.k + b.k) * (c.l / (a.k * b.k) - coalesce(s.l, 0) / (2 * a.k * a.k) - coalesce(t.l, 0) / (2 * b.k * b.k)) AS l
+          FROM ({cross}) c JOIN (SELECT cluster, sum(n) AS k FROM agg GROUP BY cluster) a ON a.cluster = c.u
+          JOIN (SELECT cluster, sum(n) AS k FROM agg GROUP BY cluster) b ON b.cluster = c.v
+          LEFT JOIN ({cross}) s ON s.u = c.u AND s.v = c.u LEFT JOIN ({cross}) t ON t.u = c.v AND t.v = c.v WHERE c.u < c.v"""
+    return {
+        "nodes": f"""SELECT {group} AS G, LONGITUDE, LATITUDE, ELEVATION, min(ID) AS node, CAST(count(*) AS DOUBLE) AS n
+          FROM {source} GROUP BY ALL""",
+        "link": f"SELECT a.node AS u, b.node AS v FROM nodes a JOIN nodes b ON a.G IS NOT DISTINCT FROM b.G AND a.node <> b.node AND {gap} <= {h}",
+        "reach(node, low)": """SELECT node, node FROM nodes UNION SELECT link.v, reach.low FROM reach JOIN link ON link.u = reach.node
+          WHERE reach.low < link.v""",
+        "part": "SELECT node, min(low) AS root FROM reach GROUP BY node",
+        "apart": f"""SELECT a.node AS u, b.node AS v, {gap} AS d FROM nodes a JOIN part p ON p.node = a.node JOIN part q ON q.root = p.root
+          JOIN nodes b ON b.node = q.node AND b.node <> a.node""",
+        "agg(step, root, cluster, node, n, w)": f"""SELECT 0, root, node, node, n, CAST(1 AS DOUBLE) FROM nodes JOIN part USING (node) UNION ALL
+          SELECT step + 1, agg.root, CASE WHEN cluster = best.m.v THEN best.m.u ELSE cluster END, node, n,
+            CASE WHEN cluster IN (best.m.u, best.m.v) THEN w / 2 ELSE w END
+          FROM agg JOIN (SELECT root, min(struct_pack(l := l, u := u, v := v)) AS m FROM ({found}) WHERE l <= {top} GROUP BY root) best
+          ON best.root = agg.root""",
+        "last": "SELECT node, first(cluster ORDER BY step DESC) AS cluster FROM agg GROUP BY node",
+        "clustered": f"""SELECT s.G, s.ID, dense_rank() OVER (PARTITION BY s.G ORDER BY low) AS CLUST FROM (SELECT {group} AS G, * FROM {source}) s
+          JOIN nodes k ON k.G IS NOT DISTINCT FROM s.G AND k.LONGITUDE = s.LONGITUDE AND k.LATITUDE = s.LATITUDE AND k.ELEVATION = s.ELEVATION
+          JOIN last USING (node) JOIN (SELECT cluster, min(node) AS low FROM last GROUP BY cluster) USING (cluster)""",
+    }
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)

@@ -43,6 +43,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, each deleted when it is given up, all of them at the end of the block.
+
+    What is to outlive the block has to be written by ``cut_lineage``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._held: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """As ``cut_lineage``."""
+        path = scratch_path(self._spark, "cut")
+        df.write.parquet(path)
+        back = self._spark.read.schema(df.schema).parquet(path)
+        self._held[id(back)] = back, path
+        return back
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete tables that everything built on them has been written of; others than those of ``cut`` are left."""
+        for table in tables:
+            if id(table) in self._held:
+                path = self._spark._jvm.org.apache.hadoop.fs.Path(self._held.pop(id(table))[1])
+                path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.free(*[table for table, _ in self._held.values()])
+
+
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Let batches that go to Python hold this many bytes and a row at most, from now on in this session.
 

@@ -70,11 +70,10 @@ def test_clusters_against_definition(spark, method):
         np.array([1.0 + (i < 4) + (i < 2) for i in range(14)]), 1.6, method)
     want = sorted(sorted(g + [14 + i for i in g if i < 4] + [18 + i for i in g if i < 2]) for g in want_places)
     assert 1 < len(want) < 14
-    for small in (2000, 0):
-        got = cluster.cluster_stations(df, 40, 300, 1.6, method, small_group=small).toPandas()
-        assert sorted(sorted(g.ID.tolist()) for _, g in got.groupby("CLUST")) == want
-        first = got.groupby("CLUST").ID.min().sort_index()
-        assert list(first.index) == list(range(1, len(first) + 1)) and first.is_monotonic_increasing
+    got = cluster.cluster_stations(df, 40, 300, 1.6, method).toPandas()
+    assert sorted(sorted(g.ID.tolist()) for _, g in got.groupby("CLUST")) == want
+    first = got.groupby("CLUST").ID.min().sort_index()
+    assert list(first.index) == list(range(1, len(first) + 1)) and first.is_monotonic_increasing
 
 
 def test_cluster_groups_and_errors(spark):
