@@ -26,6 +26,7 @@ CHUNK = 1 << 20
 # The start of a gzip member that is deflated, and what a record starts with.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+ANY_VERSION = b"WARC/1."
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A field of our own, as the format allows: the length of the payload that a revisit stands for.
@@ -64,21 +65,42 @@ def record(page_id: int | None, url: str | None, kind: str, payload: bytes | Non
     return press.compress(VERSION + "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + press.flush()
 
 
+#: Tasks that read ranges at most.
+READERS = 1 << 15
+#: Records whose block is an HTTP response, and those whose block is the payload itself.
+HTTP, PLAIN = ("response",), ("resource", "conversion")
+_PAGE = "<urn:page:"
+
+
+def _page(name: str | None) -> int | None:
+    """The number in an identifier of ours; None for others."""
+    number = name[len(_PAGE):-1] if name and name.startswith(_PAGE) else ""
+    return int(number) if number.removeprefix("-").isdigit() else None
+
+
 def parse(data: bytes) -> dict | None:
-    """The fields of an unpacked record, or None if it isn't one."""
+    """The fields of an unpacked record, or None if it isn't one.
+
+    Field names may have any case. Records of other types than responses,
+    resources, conversions and revisits have no payload; what a record does
+    not say is None.
+    """
     head, gap, block = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(VERSION):
+    if not gap or not head.startswith(ANY_VERSION):
+        return None
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+    kind, size = fields.get("warc-type"), fields.get("content-length", "")
+    if kind is None or not size.isdecimal() or len(block) < int(size):
         return None
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = block[:int(fields["Content-Length"])]
-    kind = fields["WARC-Type"]
-    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-    number = lambda s: int(s) if (s := s.removeprefix("<urn:page:").removesuffix(">")) else None
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": number(fields["WARC-Record-ID"]), "record_type": kind, "url": None if url is None else unquote(url),
-            "payload_bytes": len(payload) if kind == "response" else int(fields[LENGTH_FIELD]),
-            "payload_digest": digest(payload) if kind == "response" else fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-            "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload": payload}
+    block = block[:int(size)]
+    payload = block.partition(b"\r\n\r\n")[2] if kind in HTTP else block if kind in PLAIN else None
+    url, length = fields.get("warc-target-uri"), fields.get(LENGTH_FIELD.lower(), "")
+    said = fields.get("warc-payload-digest")
+    return {"page_id": _page(fields.get("warc-record-id")), "record_type": kind, "url": None if url is None else unquote(url),
+            "payload_bytes": len(payload) if payload is not None else int(length) if length.isdecimal() else None,
+            "payload_digest": digest(payload) if payload is not None else None if said is None else said.removeprefix("sha1:"),
+            "refers_to": _page(fields.get("warc-refers-to")) if kind == "revisit" else None, "payload": payload}
 
 
 def _write(folder: str, archive_bytes: int):
@@ -164,8 +186,8 @@ class Scan:
                     return None
                 out.append(press.decompress(self.data[used:used + CHUNK]))
                 used = min(used + CHUNK, len(self.data))
-                if not known and sum(map(len, out)) >= len(VERSION):
-                    if not b"".join(out).startswith(VERSION):
+                if not known and sum(map(len, out)) >= len(ANY_VERSION):
+                    if not b"".join(out).startswith(ANY_VERSION):
                         return None
                     known = True
         except zlib.error:
@@ -227,11 +249,14 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
     Every file is cut into ranges of ``split_bytes``, each a row of a task. A
     range yields the records that start in it, wherever they end. Digests of
     responses are computed from what was read. The payload of a revisit is null.
+    Any WARC/1 version and record type is read; ids that are not ours are null.
     """
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     ranges = archives.where("size > 0").select("path", "size", cuts)
     ranges = ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
-    spread = ranges.repartition("path", "start")
+    # A number of tasks is asked for, since the rows of the ranges are too small for Spark to keep them apart by itself.
+    n = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    spread = ranges.repartition(int(min(n, READERS)), "path", "start")
     schema = "page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long"
     return spread.mapInArrow(_read(with_payload), schema + ", payload binary" * with_payload)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +12,10 @@ import xxhash
 #: Texts are handled in pieces of about this many bytes (whole texts, so one longer text is a piece of its own).
 PIECE_BYTES = 1_000_000
 
-# Odd multiplier of the rolling hash, and the constants of the splitmix64 finaliser.
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+# The constants of the splitmix64 finaliser.
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_to(n: int, base: int) -> np.ndarray:
-    """The powers 0 to n - 1 of ``base`` modulo 2^64."""
-    if len(_powers.get(base, ())) < n:
-        step = np.full(n, base, np.uint64)
-        step[0] = 1
-        _powers[base] = np.cumprod(step)
-    return _powers[base][:n]
+#: Words of up to this many bytes are numbers themselves; longer ones are hashed to 128 bits.
+_SHORT = 7
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -57,24 +48,38 @@ class Words:
         self.place = np.arange(n) - np.repeat(self.first, self.counts)
         self._raw = raw
 
-    def _hashes(self, k: int, base: int) -> np.ndarray:
-        n, size = len(self.start), len(self.data)
+    @cached_property
+    def _numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit numbers for each word; the first differs for any two words of up to _SHORT bytes, both are hashes of longer ones."""
+        size = self.end - self.start
+        padded = np.concatenate([self._raw, np.zeros(_SHORT, np.uint8)])
+        one = size.astype(np.uint64)
+        for k in range(_SHORT):
+            one |= np.where(size > k, padded[self.start + k], 0).astype(np.uint64) << np.uint64(8 * k + 8)
+        one, two = mix(one, 1), mix(one, 2)
+        long = np.flatnonzero(size > _SHORT)
+        data, digest = self.data, xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(self.start[long].tolist(), self.end[long].tolist())]), "<u8").reshape(-1, 2)
+        one[long], two[long] = both[:, 0], both[:, 1]
+        return one, two
+
+    def _hashes(self, k: int, which: int) -> np.ndarray:
+        """Numbers of k words, each times an odd number of its place, added up and mixed."""
+        n, number = len(self.start), self._numbers[which]
         out = np.zeros(n, np.uint64)
         if n >= k:
-            sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((self._raw.astype(np.uint64) + np.uint64(1)) * _powers_to(size, base), out=sums[1:])
-            s = self.start[:n - k + 1]
-            # Differences of prefix sums, brought to a common power.
-            out[:n - k + 1] = mix((sums[self.end[k - 1:]] - sums[s]) * _powers_to(size + 1, pow(base, -1, 1 << 64))[s])
+            for i, factor in enumerate((mix(np.arange(k, dtype=np.uint64), 3 + which) | np.uint64(1)).tolist()):
+                out[:n - k + 1] += number[i:n - k + 1 + i] * np.uint64(factor)
+            out[:n - k + 1] = mix(out[:n - k + 1])
         return out
 
     def hashes(self, k: int) -> np.ndarray:
         """A hash of the k words from each word on; only valid where ``left`` is k or more."""
-        return self._hashes(k, _BASES[0])
+        return self._hashes(k, 0)
 
     def second(self, k: int) -> np.ndarray:
         """Another 16 bits of hash of the same words."""
-        return (self._hashes(k, _BASES[1]) >> np.uint64(48)).astype(np.uint16)
+        return (self._hashes(k, 1) >> np.uint64(48)).astype(np.uint16)
 
     def exact(self, at: np.ndarray, k: int) -> np.ndarray:
         """128-bit hashes, as two columns, of the k words from each word in ``at`` on."""

@@ -207,6 +207,34 @@ def test_extract(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_foreign_records(tmp_path):
+    def member(head, block=b""):
+        press = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return press.compress(head.replace("\n", "\r\n").encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + press.flush()
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x</p>"
+    data = b"".join([
+        member("WARC/1.0\nWARC-Type: warcinfo\nWARC-Record-ID: <urn:uuid:a>\nContent-Length: 3", b"a:b"),
+        member("WARC/1.0\nwarc-type:response\nWARC-TARGET-URI: http://a/\nwarc-record-id: <urn:uuid:b>\ncontent-length: %d" % len(http), http),
+        member("WARC/1.1\nWARC-Type: request\nContent-Length: 0"), member("WARC/1.1\nContent-Length: 0"), member("WARC/1.1\nWARC-Type: metadata"),
+        member("WARC/1.1\nWARC-Type: revisit\nWARC-Payload-Digest: sha1:ABC\nWARC-Refers-To: <urn:uuid:b>\nContent-Length: 0"),
+        member("WARC/1.1\nWARC-Type: resource\nContent-Length: 2", b"hi")])
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(data)
+    with open(path, "rb") as f:
+        got = list(warc.records_in(f, len(data), 0, len(data)))
+    assert [(r["record_type"], r["page_id"], r["url"], r["payload_bytes"], r["payload"]) for r in got] == [
+        ("warcinfo", None, None, None, None), ("response", None, "http://a/", 8, b"<p>x</p>"), ("request", None, None, None, None),
+        ("revisit", None, None, None, None), ("resource", None, None, 2, b"hi")]
+    assert got[3]["payload_digest"] == "ABC" and got[1]["payload_digest"] == warc.digest(b"<p>x</p>")
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", prose("en", 300, i)) for i in range(60)], "page_id long, url string, html string")
+    archives = warc.write_warc(pages, archive_bytes=20_000)
+    n = sum(-(-r.size // 2000) for r in archives.collect())
+    assert n > 15 and warc.read_warc(archives, 2000).rdd.getNumPartitions() == n
+
+
 def plain_rule(url):
     m = re.search(r"://([^/?#]*)([^?#]*)", url or "", re.S)
     host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")

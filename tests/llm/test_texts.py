@@ -198,6 +198,32 @@ def test_words_of_a_batch():
     assert letter_words("A1-é,B".encode()) == "a1 é b".encode()
 
 
+def test_hashes_of_structured_words():
+    # A Thue-Morse word and its complement have equal polynomial hashes modulo a power of two, whatever the base is.
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = morse.translate({97: 98, 98: 97})
+    tail = [f"t{i}" for i in range(12)]
+    a, b = (Words([" ".join([w, *tail]).encode()]) for w in (morse, other))
+    assert a.hashes(13)[0] != b.hashes(13)[0] and a.second(13)[0] != b.second(13)[0]
+    # The same in words.
+    x, y = (Words([" ".join(w[:13]).encode()]) for w in (morse, other))
+    assert x.hashes(13)[0] != y.hashes(13)[0]
+    r = np.random.default_rng(1)
+    texts = {" ".join(r.choice(["a", "b", "aa", "ab", "", "\x01"], 3)) for _ in range(4000)}
+    words_ = [" ".join(t.split()) for t in texts]
+    distinct = {t for t in words_ if t.count(" ") == 2}
+    found = {int(Words([t.encode()]).hashes(3)[0]) for t in distinct}
+    assert len(found) == len(distinct)
+
+
+def test_windows_that_only_differ_in_a_structured_word_stay(spark):
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other, tail = morse.translate({97: 98, 98: 97}), " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{morse} {tail}", "en", "s"), (2, f"{other} {tail}", "en", "s"), (3, f"{other} {tail}", "en", "s")]
+    got = substrings.digest(substrings.without_repeats(make_docs(spark, rows)))
+    assert collections.Counter(tuple(r) for r in got.collect()) == plain_repeats(rows)
+
+
 def test_winnowing_finds_every_long_span():
     rng = np.random.default_rng(3)
     for t in range(1, 11):
