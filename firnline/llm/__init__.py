@@ -1 +1,6 @@
-"""Operators for preparing large training corpora. Nothing else in the library imports this package."""
+"""Operators for training corpora."""
+
+import pyarrow as pa
+
+# Python workers outlive their tasks. What their batches took goes back to the system, not to a pool that keeps it.
+pa.set_memory_pool(pa.system_memory_pool())
