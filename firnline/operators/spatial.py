@@ -1,26 +1,29 @@
 """Spatial joins: close pairs, containment, nearest edges, region distances.
 
-No join compares every row with every row. Pairs within a radius meet through
-grid cells of that radius. Containment meets through latitude bands. Nearest
-neighbours meet through tiles: bounds between tiles (a table whose size the
-Earth limits, not the data) decide which tiles can hold the nearest edge, and
-only their edges are compared. Places are reduced to distinct coordinates
-first, so many copies of one place cost one place.
+No join compares every row with every row. Pairs within a radius meet in grid
+cells of that radius, each pair from one side. Containment has a cover of cells
+for each polygon: inner cells are the answer, and in cells on its border the
+edges of that cell decide. Nearest neighbours descend through tiles: from one
+tile for the globe down, bounds between tiles decide which can hold the nearest
+edge, and only those are split further. Places are reduced to distinct
+coordinates first, so many copies of one place cost one place.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.functions import geodesy as geo
-from firnline.session import cut_lineage
+from firnline.session import Scratch, cut_lineage
 
-BAND_DEG = 1.0
-TILES_DEG = (4.0, 0.5)
-SALT = 16
+#: Cells of a polygon's cover along its longer side: this many to twice as many.
+COVER = 16
+#: Sides of the tiles below the one tile that is the globe.
+TILES_DEG = (30.0, 4.0, 0.5)
 
 
 # --- pairs within a radius --------------------------------------------------------
@@ -60,16 +63,46 @@ def _cells(df: DataFrame, km: float, metres: float | None, elev: str,
     return df.withColumns(out), list(out)
 
 
+def _reached(cells: list[Column], size: float) -> Column:
+    """Whether a cell of the unit vectors' space has a part of the sphere in it."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c in cells:
+        low, high = c * size, (c + 1) * size
+        near += F.when((c >= 0), low * low).when(c < -1, high * high).otherwise(0.0)
+        far += F.greatest(low * low, high * high)
+    return (near <= 1 + 1e-9) & (far >= 1 - 1e-9)
+
+
+def half_pairs(rows: DataFrame, cells: list[str], id: str, size: float, match=()) -> DataFrame:
+    """Each pair of ``rows`` in the same or adjoining ``cells`` once, the columns of one as ``r_<name>``.
+
+    A row looks for partners in its own cell, of larger ids only, and in those
+    adjoining cells that come after its own in lexicographic order: half of
+    all. The first three cells are those of unit vectors; adjoining ones that
+    the sphere does not reach are left out.
+    """
+    ahead = [d for d in product((-1, 0, 1), repeat=len(cells)) if d >= (0,) * len(cells)]
+    shifts = F.array(*[F.struct(*[F.lit(d).cast("long").alias(c) for c, d in zip(cells, ds)]) for ds in ahead])
+    wide = rows.withColumn("_shift", F.explode(shifts))
+    wide = wide.withColumns({f"_k{c}": F.col(c) + F.col(f"_shift.{c}") for c in cells}).withColumn(
+        "_own", F.expr(" and ".join(f"_shift.{c} = 0" for c in cells))).drop("_shift")
+    wide = wide.where(F.col("_own") | _reached([F.col(f"_k{c}") for c in cells[:3]], size))
+    other = rows.select([F.col(c).alias(f"r_{c}") for c in rows.columns])
+    cond = [F.col(f"_k{c}") == F.col(f"r_{c}") for c in cells] + [F.col(m).eqNullSafe(F.col(f"r_{m}")) for m in match]
+    met = wide.join(other, cond).where((F.col(id) != F.col(f"r_{id}")) & (~F.col("_own") | (F.col(id) < F.col(f"r_{id}"))))
+    return met.drop("_own", *[f"_k{c}" for c in cells])
+
+
 def close_pairs(stations: DataFrame, max_km: float, max_delev: float, id: str = "ID",
                 lon: str = "LONGITUDE", lat: str = "LATITUDE", elev: str = "ELEVATION",
                 match=(), radius: float = geo.PAIR_RADIUS_KM) -> DataFrame:
     """Unordered pairs within ``max_km`` and ``max_delev``: ID1 < ID2, middle place, DIST, DELEV."""
     base, cells = _cells(stations.select(id, lon, lat, elev, *match), max_km, max_delev, elev, lon, lat, radius)
-    both = pairs_within(base, base, cells, match)
+    both = half_pairs(base, cells, id, max(max_km / radius, 1e-6), match)
     dist = geo.chord_to_km(geo.chord(geo.cols("p"), geo.cols("r_p")), radius)
     delev = F.abs(F.col(elev) - F.col(f"r_{elev}"))
-    return (both.where((F.col(id) < F.col(f"r_{id}")) & (delev <= max_delev))
-            .select(*match, F.col(id).alias("ID1"), F.col(f"r_{id}").alias("ID2"),
+    return (both.where(delev <= max_delev)
+            .select(*match, F.least(id, f"r_{id}").alias("ID1"), F.greatest(id, f"r_{id}").alias("ID2"),
                     ((F.col(lon) + F.col(f"r_{lon}")) / 2).alias("AVE_LON"),
                     ((F.col(lat) + F.col(f"r_{lat}")) / 2).alias("AVE_LAT"),
                     ((F.col(elev) + F.col(f"r_{elev}")) / 2).alias("AVE_ELEV"),
@@ -89,31 +122,101 @@ def dissimilarity_pairs(stations: DataFrame, dist_adj: float, elev_adj: float, h
 
 # --- containment --------------------------------------------------------------------
 
-def point_in_polygon(points: DataFrame, edges: DataFrame, lon: str = "LONGITUDE",
-                     lat: str = "LATITUDE", match=(), band: float = BAND_DEG) -> DataFrame:
+def _met_at(y: Column) -> Column:
+    """Where the edge is met at height ``y``; null for level edges."""
+    return F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+
+
+def _left(x: Column, y: Column) -> Column:
+    """Whether the edge is met to the right of (x, y), on its height."""
+    return x < _met_at(y)
+
+
+def _under(x: Column, y: Column) -> Column:
+    """Whether the edge is met above (x, y); by the side that ``_left`` tells, so that both agree where rounding decides."""
+    rising = (F.col("x2") > F.col("x1")) == (F.col("y2") > F.col("y1"))
+    return F.when(F.col("y1") == F.col("y2"), y < F.col("y1")).otherwise(_left(x, y) != rising)
+
+
+def _passed(y: Column) -> Column:
+    return (F.col("y1") > y) != (F.col("y2") > y)
+
+
+def polygon_cover(edges: DataFrame, match=()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inner cells, edges by border cell, border cells) of each polygon, for ``point_in_polygon``.
+
+    Cells are squares of side 2^level degrees, the level by the polygon's
+    extent, so a cover has some hundred cells whatever the polygon's size is. A
+    border cell has the parity of crossings to the right of its upper right
+    corner. A run of cells between two border cells of a row has no edge, so it
+    is inside as a whole or outside.
+    """
+    poly = ["region_id", "poly_id", *match]
+    low_x, high_x, low_y, high_y = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
+    extent = F.greatest(F.max(high_x) - F.min(low_x), F.max(high_y) - F.min(low_y))
+    level = F.greatest(F.ceil(F.log2(extent / (2 * COVER))), F.lit(-40)).cast("int").alias("level")
+    boxes = edges.groupBy(*poly).agg(level).where("level is not null")
+    sized = edges.join(boxes, poly).withColumn("_size", F.pow(F.lit(2.0), F.col("level")))
+    # The rows that an edge passes, and in each the cells between its ends there. Neighbours within rounding count too.
+    slack, size = F.lit(1e-9), F.col("_size")
+    rows = sized.withColumn("j", F.explode(F.sequence(F.floor(low_y / size - slack), F.floor(high_y / size + slack))))
+    bottom, top = F.greatest(F.col("j") * size, low_y), F.least((F.col("j") + 1) * size, high_y)
+
+    def at(y):
+        return F.least(F.greatest(_met_at(y), low_x), high_x)
+    level_edge = F.col("y1") == F.col("y2")
+    start = F.when(level_edge, low_x).otherwise(F.least(at(bottom), at(top)))
+    stop = F.when(level_edge, high_x).otherwise(F.greatest(at(bottom), at(top)))
+    local = rows.withColumn("i", F.explode(F.sequence(F.floor(start / size - slack), F.floor(stop / size + slack))))
+    cells = local.select(*poly, "level", "_size", "i", "j").distinct()
+    # Corners and crossings of each line of cells from the right: the crossings before a corner are those to its right.
+    # (An edge that starts on a line passes it, as the line counts as a little above itself.)
+    lines = sized.withColumn("j", F.explode(F.sequence(F.floor(low_y / size) - 1, F.floor(high_y / size)))).where(
+        ~level_edge & _passed((F.col("j") + 1) * size))
+    y_top = (F.col("j") + 1) * size
+    crossings = lines.select(*poly, "level", "j", F.lit(None).cast("long").alias("i"),
+                             _met_at(y_top).alias("_x"), F.lit(1).alias("_c"))
+    corners = cells.select(*poly, "level", "j", "i", ((F.col("i") + 1) * size).alias("_x"), F.lit(0).alias("_c"))
+    order = Window.partitionBy(*poly, "level", "j").orderBy(F.desc("_x"), "_c").rowsBetween(Window.unboundedPreceding, 0)
+    border = (corners.union(crossings).withColumn("_odd", F.sum("_c").over(order) % 2).where("_c = 0")
+              .select(*poly, "level", "i", "j", "_odd"))
+    next_i = F.lead("i").over(Window.partitionBy(*poly, "level", "j").orderBy("i"))
+    inner = (border.withColumn("_next", next_i).where("_odd = 1 and _next > i + 1")
+             .withColumn("i", F.explode(F.sequence(F.col("i") + 1, F.col("_next") - 1))).select(*poly, "level", "i", "j"))
+    return inner, local.select(*poly, "level", "_size", "i", "j", "x1", "y1", "x2", "y2"), border
+
+
+def point_in_polygon(points: DataFrame, edges: DataFrame, lon: str = "LONGITUDE", lat: str = "LATITUDE", match=()) -> DataFrame:
     """Every (place, polygon) with the place inside: distinct lon, lat, [match], region_id, poly_id.
 
     Crossing parity over all rings of a polygon, so holes count as outside. Left
     and bottom borders belong to a polygon, right and top ones do not. ``match``
     columns exist on both sides and have to agree.
+
+    A place meets the polygons that have its cell in their cover. In a border
+    cell the way from the place to the right side of the cell and up to its
+    corner is followed, which only edges of that cell can cross.
     """
     match = list(match)
-    boxes = edges.groupBy("region_id", "poly_id", *match).agg(
-        F.least(F.min("x1"), F.min("x2")).alias("_w"), F.greatest(F.max("x1"), F.max("x2")).alias("_e"))
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = (edges.where(F.col("y1") != F.col("y2"))
-              .join(boxes, ["region_id", "poly_id", *match])
-              .withColumn("_band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band)))))
-    places = points.select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), *match).where(
-        F.col(lon).isNotNull() & F.col(lat).isNotNull()).distinct().withColumn(
-        "_band", F.floor(F.col("_lat") / band))
-    x, y = F.col("_lon"), F.col("_lat")
-    hit = (((F.col("y1") > y) != (F.col("y2") > y)) & (x >= F.col("_w")) & (x <= F.col("_e"))
-           & (x < F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
-    return (places.join(banded, ["_band", *match]).where(hit)
-            .groupBy("_lon", "_lat", *match, "region_id", "poly_id").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") % 2 == 1)
-            .select(F.col("_lon").alias(lon), F.col("_lat").alias(lat), *match, "region_id", "poly_id"))
+    with Scratch(points.sparkSession) as scratch:
+        inner, local, border = (scratch.cut(t) for t in polygon_cover(edges, match))
+        levels = sorted(r.level for r in border.select("level").distinct().collect())  # a few dozen numbers at most
+        places = points.select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), *match).where(
+            F.col(lon).isNotNull() & F.col(lat).isNotNull()).distinct()
+        x, y = F.col("_lon"), F.col("_lat")
+        side = F.pow(F.lit(2.0), F.col("level"))
+        placed = places.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))).withColumns(
+            {"i": F.floor(x / side), "j": F.floor(y / side)})
+        cell, keep = ["level", "i", "j", *match], ["_lon", "_lat", *match, "region_id", "poly_id"]
+        whole = placed.join(inner, cell).select(*keep)
+        right, top = (F.col("i") + 1) * F.col("_size"), (F.col("j") + 1) * F.col("_size")
+        across = (F.col("y1") != F.col("y2")) & _passed(y) & _left(x, y) & ~_left(right, y)
+        up = ((F.col("x1") > right) != (F.col("x2") > right)) & (_under(right, y) != _under(right, top))
+        crossed = F.sum(F.coalesce(across, F.lit(False)).cast("int") + F.coalesce(up, F.lit(False)).cast("int"))
+        met = placed.join(local, cell).groupBy(*keep, "level", "i", "j").agg(crossed.alias("_n"))
+        partly = met.join(border, [*cell, "region_id", "poly_id"]).where((F.col("_n") + F.col("_odd")) % 2 == 1).select(*keep)
+        found = whole.union(partly).select(x.alias(lon), y.alias(lat), *match, "region_id", "poly_id")
+        return cut_lineage(found)
 
 
 def assign_region(points: DataFrame, edges: DataFrame, out: str = "region_id",
@@ -152,7 +255,12 @@ def nearest(points: DataFrame, edges: DataFrame, by=(), carry=(), match=(), metr
     segs = geo.prepare_segments(edges, metric)
     mid_x, mid_y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
 
-    candidates, keys = None, []
+    # One tile for the globe, then smaller ones: each level splits the pairs of tiles that the bounds of the last one left.
+    # (A number of the row, not a literal: as a constant the key would drop out of the joins.)
+    places = places.withColumn("P", F.floor(F.col("_lon") * 0))
+    segs = segs.withColumn("E", F.floor(mid_x * 0))
+    candidates = segs.select(*match, *by, F.col("E").alias("P"), "E").distinct()
+    keys = ["P", "E"]
     for level, size in enumerate(tiles):
         pk, ek = [f"P{level}i", f"P{level}j"], [f"E{level}i", f"E{level}j"]
         places = _tile(places, F.col("_lon"), F.col("_lat"), size, f"P{level}")
@@ -166,13 +274,7 @@ def nearest(points: DataFrame, edges: DataFrame, by=(), carry=(), match=(), metr
         reach_e = F.max(F.greatest(geo.chord(geo.cols("a"), ce), geo.chord(geo.cols("b"), ce)))
         tp = places.groupBy(*match, *older_p, *pk).agg(reach_p.alias("_rp")).select("*", *centre_p)
         te = segs.groupBy(*match, *by, *older_e, *ek).agg(reach_e.alias("_re")).select("*", *centre_e)
-        if candidates is None:
-            # Tile tables are bounded by the globe; the salt only spreads the work.
-            tp = tp.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            te = te.withColumn("_s", F.pmod(F.hash(*by, *ek), F.lit(SALT)))
-            pairs = tp.join(te, ["_s", *match]).drop("_s")
-        else:
-            pairs = candidates.join(tp, [*match, *older_p]).join(te, [*match, *by, *older_e])
+        pairs = candidates.join(tp, [*match, *older_p]).join(te, [*match, *by, *older_e])
         apart = geo.chord(geo.cols("m"), geo.cols("q"))
         slack = F.col("_rp") + F.col("_re")
         pairs = pairs.select(*match, *by, *older_p, *pk, *older_e, *ek,

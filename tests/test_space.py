@@ -174,3 +174,68 @@ def test_regional_model_roundtrip(spark):
         regional.regional_model(data, e, "ID", buffer={"a": 1.0, "b": 1.0}, y="y", x=["ELEVATION"])
     few = regional.membership(spatial.regional_distance(data, e, "ID"), "ID", 1e-6, min_n=70)
     assert {r.region_id: r["count"] for r in few.groupBy("region_id").count().collect()} == {"a": 70, "b": 70}
+
+
+def ray_parity(places, edge_rows):
+    """Crossings to the right of each place, by the plain rule."""
+    out = set()
+    for x, y in places:
+        odd = {}
+        for r, p, x1, y1, x2, y2 in edge_rows:
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                odd[r, p] = odd.get((r, p), 0) ^ 1
+        out |= {(x, y, *k) for k, v in odd.items() if v}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cover_of_cells_gives_the_plain_parity(spark, seed):
+    r = np.random.default_rng(seed)
+    rings, n = [], 0
+    for name, (cx, cy, radius) in {"a": (10, 20, 30), "b": (-3.3, 2.7, 0.4), "c": (50, -10, 7), "d": (10.5, 20.25, 3)}.items():
+        for part in (1, 2):
+            for ring, share in ((1, 1.0), (2, 0.4)):
+                angle = np.sort(r.uniform(0, 2 * np.pi, 5 if part == 1 else 40))
+                far = radius * share * r.uniform(0.5, 1, len(angle))
+                step = 0.25 if seed == 2 else 1e-9  # many coordinates on lines of cells
+                xy = [(round((cx + 2 * radius * (part - 1) + f * np.cos(a)) / step) * step, round((cy + f * np.sin(a)) / step) * step) for a, f in zip(angle, far)]
+                rings.append((name, part, ring, xy))
+                n += len(xy)
+    edge_table = edges(spark, rings)
+    rows = [(e.region_id, e.poly_id, e.x1, e.y1, e.x2, e.y2) for e in edge_table.collect()]
+    places = {(float(x), float(y)) for _, _, x, y, _, _ in rows} | {((a + c) / 2, (b + d) / 2) for _, _, a, b, c, d in rows}
+    places |= {(float(x), float(y)) for x, y in zip(r.uniform(-30, 90, 300), r.uniform(-25, 55, 300))}
+    places |= {(float(x), float(y)) for x, y in zip(r.integers(-30, 90, 200) / 2, r.integers(-25, 55, 200) / 2)}
+    places |= {(x, float(y)) for x, _ in list(places)[:40] for y in (1.0, 20.0, 20.25)}
+    df = points(spark, [(x, y, 0.0) for x, y in places])
+    got = {(p.LONGITUDE, p.LATITUDE, p.region_id, p.poly_id) for p in spatial.point_in_polygon(df, edge_table).collect()}
+    assert got == ray_parity(places, rows) and len({g[2:] for g in got}) == 8
+
+
+def test_far_polygons_of_one_band_do_not_meet(spark):
+    angle = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    rings = [(name, 1, 1, [(float(x + 5 * np.cos(a)), float(40 + 5 * np.sin(a))) for a in angle]) for name, x in (("west", -110.0), ("east", 100.0))]
+    r = np.random.default_rng(1)
+    df = points(spark, np.column_stack([r.uniform(-116, -104, 2000), r.uniform(34, 46, 2000), np.zeros(2000)]))
+    inner, local, border = spatial.polygon_cover(edges(spark, rings))
+    assert inner.count() + border.count() < 2 * 40 ** 2
+    size = local.first()["_size"]
+    cells = df.select(F.floor(F.col("LONGITUDE") / size).alias("i"), F.floor(F.col("LATITUDE") / size).alias("j"))
+    met = cells.join(local, ["i", "j"])
+    assert met.where("region_id = 'east'").count() == 0 and met.count() < 2000 * 800 / 50
+    inside = spatial.point_in_polygon(df, edges(spark, rings))
+    assert {p.region_id for p in inside.collect()} == {"west"}
+
+
+def test_pairs_are_met_once(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, float(x), float(y), float(e), "g" if i % 5 else None) for i, (x, y, e) in enumerate(zip(r.uniform(-180, 180, 400), r.uniform(-90, 90, 400), r.uniform(0, 900, 400)))]
+    rows += [(1000 + i, *q[1:]) for i, q in enumerate(rows[:20])] + [(2000, 179.99, 10.0, 5.0, "g"), (2001, -179.99, 10.0, 5.0, "g")]
+    df = spark.createDataFrame(rows, "ID long, LONGITUDE double, LATITUDE double, ELEVATION double, G string")
+    got = [(p.ID1, p.ID2) for p in spatial.close_pairs(df, 900, 300, match=["G"]).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[4] == b[4] and abs(a[3] - b[3]) <= 300 and km(a[1:3], b[1:3]) <= 900}
+    assert len(got) == len(set(got)) and set(got) == want
+    base, cells = spatial._cells(df, 900, 300, "ELEVATION", "LONGITUDE", "LATITUDE", geo.PAIR_RADIUS_KM)
+    met = spatial.half_pairs(base.withColumn("_r", F.lit(1)), cells, "ID", 900 / geo.PAIR_RADIUS_KM, ["G"])
+    plain = spatial.pairs_within(base, base, cells, ["G"]).where("ID != r_ID")
+    assert 2 * met.count() <= plain.count()
