@@ -67,7 +67,7 @@ def _prints(lengths: list[int]):
 def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         n = [x.count(b" ") + 1 if (x := letter_words(t.as_py() or b"")) else 0 for t in part.column("text").cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int64())], ["doc", "n_words"])
+        yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("id"), pa.array(n, pa.int64())], ["doc", "id", "n_words"])
 
 
 def _item_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,18 +114,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     places, and only windows around those are compared, by 128-bit hashes.
     Null, empty and wordless texts have no words and are clean; so is every
     document if there are no items. Items with equal windows all count. Rows
-    with the same doc_id get a common result over all their texts' hits, each
-    with its own n_words; null doc_ids are one such id. Null item_ids are left
-    out of the item list.
+    are told apart by a key of their own, so each is judged by its own text,
+    whether its id is null or another's too. Null item_ids are left out of the
+    item list.
     """
-    texts = docs.select(col(docs, id_col).cast("long").alias("doc"), col(docs, text_col).alias("text"))
+    keyed = with_row_key(docs, "_row")
+    rows = keyed.select(F.col("_row").alias("doc"), col(keyed, id_col).cast("long").alias("id"), col(keyed, text_col).alias("text"))
+    return _judged(rows, benchmark, item_col, item_text_col).select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``contamination`` of ``rows(doc, id, text)`` with both doc, a key, and id."""
+    texts = rows.select("doc", "text")
     items = benchmark.select(col(benchmark, item_col).alias("item"), col(benchmark, item_text_col).alias("text"))
     items = cut_lineage(items.select(F.monotonically_increasing_id().alias("doc"), "item", "text"))
     windows = cut_lineage(items.select("doc", "text").mapInArrow(_item_windows, "doc long, t int, h1 long, h2 long, place int")
                           .select("doc", "t", "h1", "h2").distinct())
     lengths = sorted(r.t for r in windows.select("t").distinct().collect())  # at most WINDOW numbers
     if not lengths:
-        found = texts.mapInArrow(_counts, "doc long, n_words long")
+        found = rows.mapInArrow(_counts, "doc long, id long, n_words long")
         return _result(found.withColumn("n_hit", F.lit(None).cast("long")).withColumn("n_items", F.lit(None).cast("long"))
                        .withColumn("items_sha256", F.lit(None).cast("string")))
     schema = "doc long, t int, hash long, place int"
@@ -135,8 +142,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         .join(counted.select("doc", "own"), "doc").where("t = own").select("t", "hash").distinct())
     hits = (texts.mapInArrow(_prints(lengths), schema).join(known, ["t", "hash"], "left_semi")
             .groupBy("doc").agg(F.collect_set(F.struct("t", "place")).alias("hits")))
-    hits = cut_lineage(hits).withColumnRenamed("doc", "_doc")
-    around = (texts.join(hits, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "text", "hits")
+    hits = cut_lineage(hits)
+    around = (texts.join(hits, "doc").select("doc", "text", "hits")
               .mapInArrow(_spans_around, "doc long, t int, h1 long, h2 long, place int"))
     # Windows are grouped by the items they belong to, so that a passage of many items is one row and not one for each.
     sets = (windows.join(items.select("doc", "item"), "doc").groupBy("t", "h1", "h2")
@@ -153,27 +160,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .join(sets.select("set", "of").distinct(), "set").select("sets", F.explode("of").alias("item")).distinct()
              .groupBy("sets").agg(F.count("*").alias("n_items"),
                                   F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256")))
-    judged = per_doc.join(lists, "sets").drop("sets").withColumnRenamed("doc", "_doc")
-    counted = texts.mapInArrow(_counts, "doc long, n_words long")
-    return _result(counted.join(judged, F.col("doc").eqNullSafe(F.col("_doc")), "left"))
+    judged = per_doc.join(lists, "sets").drop("sets")
+    counted = rows.mapInArrow(_counts, "doc long, id long, n_words long")
+    return _result(counted.join(judged, "doc", "left"))
 
 
 def _result(found: DataFrame) -> DataFrame:
     none = F.sha2(F.lit("").cast("binary"), 256)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return found.select(F.col("doc").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
-                        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+    return found.select("doc", "id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                         F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document shares a window with the benchmark; rows with one id, or none, are one document."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
-
-
 def uncontaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose own text shares a window with the benchmark, whatever their ids."""
+    """``docs`` without the rows whose own text shares a window with the benchmark, whatever their ids. An empty table stays empty."""
     keyed = with_row_key(docs, "_row")
-    bad = contamination(keyed, benchmark, id_col="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
+    rows = keyed.select(F.col("_row").alias("doc"), F.lit(None).cast("long").alias("id"), col(keyed, "text").alias("text"))
+    bad = _judged(rows, benchmark).where("contaminated").select(F.col("doc").alias("_row"))
     return without_keys(keyed, "_row", cut_lineage(bad)).drop("_row")

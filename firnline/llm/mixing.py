@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.llm.ranks import without
+from firnline.llm.rows import with_row_key
 from firnline.llm.text import unit
 from firnline.operators.ranks import with_positions
 from firnline.session import cut_lineage
@@ -46,28 +47,32 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0
 
     Adds n_copies, copy (from 1) and position (from 0). The count inverts the
     distribution at a number in [0, 1) that is a hash of seed and doc_id; the
-    order is by a hash of seed, doc_id and copy. So equal ids get equal counts,
-    null ids like one more id. A null source is a source. Columns of ``docs``
+    order is by a hash of seed, doc_id and copy, then by file and place. So
+    equal ids get equal counts. Rows without an id are drawn and placed by file
+    and place instead, each by itself. A null source is a source. Columns of ``docs``
     with the names of new ones are replaced; an empty table stays empty.
     """
-    return replicate(docs, rates(docs, weights, epochs, power), seed)
+    return replicate(with_row_key(docs, "_row"), rates(docs, weights, epochs, power), seed)
 
 
 def mixed_ids(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, power: float = POWER, seed: int = SEED) -> DataFrame:
     """doc_id, source, n_copies, copy and position of ``mixed``, without shuffling texts."""
-    return replicate(docs.select("doc_id", "source"), rates(docs, weights, epochs, power), seed)
+    return replicate(with_row_key(docs, "_row").select("doc_id", "source", "_row"), rates(docs, weights, epochs, power), seed)
 
 
 def replicate(docs: DataFrame, rate: DataFrame, seed: int) -> DataFrame:
+    """``mixed`` for rows with a key ``_row`` of their own, which is dropped."""
     found = cut_lineage(rate).withColumnRenamed("source", "_source")
     kept = without(docs, "n_copies", "copy", "position", "_source", "rate", "parts", "cdf", "_key", "_part", "_seq", "_offset", "n_rows")
     drawn = kept.join(found, kept["source"].eqNullSafe(found["_source"]))
-    place = unit(seed, F.col("doc_id"), "count")
+    # A row without an id goes by its own key, or they would all be drawn alike and stand together.
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("_row").cast("string")))
+    place = unit(seed, own, "count")
     if_one = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
     many = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, j: a + F.size(
-        F.filter("cdf", lambda c: c <= unit(seed, F.col("doc_id"), "count", j))))
+        F.filter("cdf", lambda c: c <= unit(seed, own, "count", j))))
     counted = drawn.withColumn("_u", place).withColumn("n_copies", F.when(F.col("parts") == 1, if_one).otherwise(many))
     copies = (counted.where("n_copies > 0").drop("_source", "rate", "parts", "cdf", "_u")
               .withColumn("copy", F.explode(F.expr("sequence(1, n_copies)")))
-              .withColumn("_key", unit(seed, F.col("doc_id"), "order", F.col("copy"))))
-    return with_positions(copies, ["_key", "doc_id", "copy"]).drop("_key", "n_rows")
+              .withColumn("_key", unit(seed, own, "order", F.col("copy"))))
+    return with_positions(copies, ["_key", "doc_id", "copy", "_row"]).drop("_key", "_row", "n_rows")

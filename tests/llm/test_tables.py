@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from firnline.llm import html, langid, mixing, sharding, urls, warc
-from firnline.llm.decontam import uncontaminated
+from firnline.llm.decontam import uncontaminated_rows
 from firnline.operators.ranks import with_positions
 from tests.llm.conftest import make_docs, prose
 
@@ -31,7 +31,7 @@ def test_mixing(spark, docs, rows, no_docs, epochs):
     given = {"s0": 1.0, "s1": 3.0, "hot": 0.5, None: 0.25}
     want = collections.Counter()
     for i, _, _, s in rows:
-        if s not in given:
+        if s not in given or i is None:
             continue
         rate = given[s] / sum(given.values()) * sum(n for k, n in size.items() if k in given) * epochs / size[s]
         parts = math.ceil(rate / 16)
@@ -44,14 +44,27 @@ def test_mixing(spark, docs, rows, no_docs, epochs):
                 total += p
             want[i, s] += k
     found = got.collect()
-    assert collections.Counter((r.doc_id, r.source) for r in found) == +want
+    assert collections.Counter((r.doc_id, r.source) for r in found if r.doc_id is not None) == +want
+    assert all(1 <= r.copy <= r.n_copies for r in found) and len(found) == sum(r.n_copies for r in found if r.copy == 1)
     order = sorted(found, key=lambda r: r.position)
     assert [r.position for r in order] == list(range(len(found)))
-    keys = [unit(42, r.doc_id, "order", r.copy) for r in order]
+    keys = [unit(42, r.doc_id, "order", r.copy) for r in order if r.doc_id is not None]
     assert keys == sorted(keys)
     assert mixing.mixed(no_docs).count() == 0
 
 
+def test_rows_without_id_are_mixed_one_by_one(spark):
+    docs = make_docs(spark, [(None, f"t{i}", "en", "s") for i in range(3000)] + [(i, "x", "en", "s") for i in range(3000)])
+    found = sorted(mixing.mixed(docs, epochs=2.0).collect(), key=lambda r: r.position)
+    drawn = collections.Counter(r.text for r in found if r.doc_id is None)
+    counts = collections.Counter(drawn.values())
+    # A Poisson variable of mean 2 (all sizes are nearly equal): nobody is left out or drawn alike with all others.
+    assert 5000 < sum(drawn.values()) < 7500 and len(counts) > 4 and 0.2 < counts[1] / 3000 < 0.35
+    # And they are spread over the whole order.
+    half = sum(r.doc_id is None for r in found[:len(found) // 2])
+    assert 0.4 < half / (len(found) // 2) < 0.6
+
+
 def test_positions_with_one_hot_value(spark):
     df = spark.range(5000).select((F.col("id") % 7 == 0).cast("int").alias("k"), F.xxhash64("id").alias("tie"))
     got = with_positions(df, ["k", "tie"]).orderBy("position").collect()
@@ -301,7 +314,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
         if name == "near_duplicates":
             assert max(ids.values()) == 1 and 5 in ids and not any(200 <= (i or 0) < 240 for i in ids)
         if name == "decontamination":
-            assert 7 not in ids and ids == collections.Counter(r.doc_id for r in uncontaminated(before, benchmark).select("doc_id").collect())
+            assert 7 not in ids and ids == collections.Counter(r.doc_id for r in uncontaminated_rows(before, benchmark).select("doc_id").collect())
         if name == "mixing":
             assert set(ids) <= {r.doc_id for r in before.select("doc_id").collect()}
         if name == "sharding":

@@ -159,20 +159,17 @@ def plain_contamination(rows, items):
         for i in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[i:i + n])].add(item)
     sizes = {len(w) for w in windows}
-    hits, counts = collections.defaultdict(lambda: (set(), set())), []
+    out = []
     for i, t, _, _ in rows:
         w = LETTER.findall((t or "").translate(LOWER))
-        counts.append((i, len(w)))
+        hit, of = set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
                 if found := windows.get(tuple(w[k:k + n])):
-                    hits[i][0].update(range(k, k + n))
-                    hits[i][1].update(found)
-    out = []
-    for i, n in counts:
-        hit, of = hits[i] if i in hits else (set(), set())
+                    hit.update(range(k, k + n))
+                    of.update(found)
         names = ",".join(sorted(str(x) for x in of if x is not None))
-        out.append((i, n, len(hit), len([x for x in of if x is not None]), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+        out.append((i, len(w), len(hit), len([x for x in of if x is not None]), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
     return collections.Counter(out)
 
 
@@ -182,12 +179,22 @@ def test_contamination(spark, docs, rows, no_docs):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = collections.Counter(tuple(r) for r in decontam.contamination(docs, benchmark).collect())
     assert got == plain_contamination(rows, items)
-    clean = decontam.uncontaminated(docs, benchmark)
+    clean = decontam.uncontaminated_rows(docs, benchmark)
     assert clean.columns == docs.columns and clean.count() == sum(n for r, n in plain_contamination(rows, items).items() if not r[-1])
     assert decontam.contamination(no_docs, benchmark).count() == 0
     assert decontam.contamination(docs, benchmark.where("false")).where("contaminated or n_items > 0").count() == 0
 
 
+def test_a_third_without_id_is_judged_row_by_row(spark):
+    texts = [prose("en", 60, 900 + i) for i in range(30)]
+    rows = [(None if i % 3 == 0 else i % 5, t, "en", "s") for i, t in enumerate(texts)]
+    items = [(i, " ".join(texts[i].split()[5:25])) for i in (3, 4, 9, 10)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(make_docs(spark, rows).repartition(3), benchmark).collect()
+    assert collections.Counter(tuple(r) for r in got) == plain_contamination(rows, items)
+    assert sum(r.contaminated for r in got) == 4 and all(r.n_hit <= r.n_words for r in got)
+
+
 def test_words_of_a_batch():
     texts = ["a bb  ccc\n", "", "Ä-b c", " x " * 5]
     clean = [plain_words(t.encode()) for t in texts]
