@@ -31,6 +31,8 @@ SIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adse
                        "reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription "
                        "signup login breadcrumb breadcrumbs pagination pager toolbar search skip legal copyright disclaimer form".split())
 MAIN_NAMES = frozenset("article content main post entry story body text maintext articlebody".split())
+#: Names by which even an element of main text holds other text, wherever it stands.
+NEVER_MAIN = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments reply replies cookie cookies".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in PLAIN}
@@ -38,13 +40,14 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^'
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: What the tree sees of a block: words and share of linked words of the block before, its own and the one after;
-#: whether it stands in an element of main text, in one of other text, and whether it is a heading.
+#: whether it stands in an element of main text, in one of other text, and whether it is a heading. Where there is no
+#: block before or after, the block itself stands for it, so that the first and the last are not judged by an absence.
 FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "main", "side", "heading")
-DEPTH, LEAST_LEAF = 5, 2
+DEPTH, LEAST_LEAF = 8, 2
 
 
-def zone(tag: str, attributes: str) -> tuple[int, bool]:
-    """(1 for an element of main text, -1 of other text, 0 neither; whether it is hidden)."""
+def zone(tag: str, attributes: str, around: int = 0) -> tuple[int, bool]:
+    """(1 for an element of main text, -1 of other text, 0 neither; whether it is hidden). ``around`` is the zone it stands in."""
     hidden, names, role = False, set(), ""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -57,7 +60,8 @@ def zone(tag: str, attributes: str) -> tuple[int, bool]:
     if tag in SIDE_TAGS or role in SIDE_ROLES:
         return -1, hidden
     if tag in MAIN_TAGS or role in MAIN_ROLES:
-        return (-1 if names & SIDE_NAMES - MAIN_NAMES else 1), hidden
+        # An article that is called featured or related is one of the page's own, unless it stands in another.
+        return (-1 if names & (SIDE_NAMES - MAIN_NAMES if around else NEVER_MAIN) else 1), hidden
     if tag in ("html", "body"):
         return 0, hidden
     if names & SIDE_NAMES:
@@ -124,7 +128,7 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
             if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and not attributes.endswith("/"):
                 _close(stack, tag)
             around, hidden, link = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (0, False, False)
-            own, unseen = zone(tag, attributes)
+            own, unseen = zone(tag, attributes, around)
             if tag == "header" and own == 0:
                 own = -1 if around <= 0 else 0
             # What is other text stays so until an element of main text starts that is not inside it by name alone.
@@ -138,8 +142,8 @@ def blocks(html: str) -> list[tuple[str, list[float]]]:
     end()
     out = []
     for i, (text, words, links, main, side, head) in enumerate(found):
-        before = found[i - 1] if i else ("", 0, 0.0)
-        after = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
+        before = found[max(i - 1, 0)]
+        after = found[min(i + 1, len(found) - 1)]
         out.append((text, [before[1], words, after[1], before[2], links, after[2], float(main), float(side), float(head)]))
     return out
 
@@ -186,13 +190,31 @@ def verdict(tree, features: list[float]) -> bool:
     return tree > 0.5
 
 
+_NAMED = re.compile(r"""\s(?:class|id|role)="[^"]*\"""")
+_ZONED = re.compile(r"(</?)(?:article|main|nav|aside|footer|header|section|form|menu)\b")
+
+
+def unnamed(page: str) -> str:
+    """A page without the names, roles and tags that tell where its main text is."""
+    return _ZONED.sub(r"\1div", _NAMED.sub("", page))
+
+
 def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of the labelled pages; main text is marked there with «»."""
+    """Features and labels of the blocks of the labelled pages; main text is marked there with «».
+
+    Each page counts twice, the second time without what tells its zones, so
+    that words and links have to decide. Other text that only a name tells
+    from main text (an advert of a few sentences) is left out there.
+    """
     x, y = [], []
     for page in LABELLED:
         for text, features in blocks(page):
             x.append(features)
             y.append("«" in text)
+        for text, features in blocks(unnamed(page)):
+            if "«" in text or features[1] < 9 or features[4] > 0.5:
+                x.append(features)
+                y.append("«" in text)
     return np.array(x, float), np.array(y, float)
 
 

@@ -1,4 +1,7 @@
-"""The small labelled table that the block classifier is trained on: hand-written pages, main text marked with «»."""
+"""The small labelled table that the block classifier is trained on: hand-written pages, main text marked with «».
+
+Some have neither names nor tags that tell where the main text is.
+"""
 
 LABELLED = (
     """<html><head><title>River floods town</title><style>p{margin:0}</style></head><body>
@@ -48,4 +51,44 @@ LABELLED = (
 <div class="legal">No part of this paper may be copied without leave of the publisher, whose address is given on the last page.</div></div>""",
     """<div><p>«When the mill closed the village lost its school, its shop and, within a generation, most of its people, and what is left today are nine houses and a chapel.»</p></div><div><p>«A few of the families come back in summer to mend the roofs.»</p></div>
 <div><p>«They hope that the new road will change things, though nobody seems to know when it will be built or who is going to pay for the tunnel.»</p></div><div>Tags: <a href="v">village</a> <a href="m">mill</a></div><div>Print</div>""",
+    """<p><a href="/">Start</a> <a href="/all">All letters</a></p>
+<p>«The harbour froze in the second week of January, and for a month the mail came over the ice on a sledge drawn by two small horses.»</p>
+<p>«Nobody had seen that before.»</p>
+<p>«The postmaster kept a stove in the boat house for the drivers, who told him every evening which places were safe and which were not any longer.»</p>
+<p>«He wrote it all down.»</p><p>«So we know today where the ice was thick, how long the crossing took and what the drivers were paid for it in that winter.»</p>
+<p>Printed by the harbour museum</p>""",
+    """<div><a href="/a">Maps of the region</a></div><div><a href="/b">Timetables and fares for all lines</a></div><div><a href="/c">Lost property office</a></div>
+<div><a href="/d">Rules for the carriage of bicycles, dogs and large luggage on all our buses and trams during the week and on Sundays</a></div><div>Contact</div>
+<div><a href="/e">Complaints and suggestions can be sent to this office on working days between nine and four, by letter or in person</a></div>""",
+    """<article><h1>«<a href="/p/1">How we moved the clock</a>»</h1><p>«The clock of the old station weighs as much as a small car.»</p><p>«It took six of us.»</p>
+<p>«We lifted it with the crane of the boat yard, which came at night because the road had to be closed for it.»</p>
+<ul><li><a href="/p/2">The clock that stood still for twenty years</a></li><li><a href="/p/3">Who owns the old station today, and why</a></li></ul></article>""",
+    """<main><h1>«Opening hours»</h1><p>«The pool is open daily from seven.»</p><p>«Closed on holidays.»</p><p><a href="/prices">Prices</a> <a href="/courses">Courses</a> <a href="/way">How to get here</a></p>
+<p>«Children under six swim free of charge, if an adult who can swim is in the water with them at all times.»</p><p><a href="/more">Read the complete rules of the house</a></p></main>""",
+    """<article class="featured related"><h2>«A second life for sails»</h2><p>«Old sails make good bags.»</p><p>«The loft by the canal cuts and sews them, and sells what it makes on the market every second Saturday of the month.»</p></article>
+<div class="related"><p>You may also like what our readers bought along with this bag in the last weeks, ask for it in the shop.</p></div>""",
+    """<article><h1>«Slow trains»</h1><p>«There is a line in the hills that nobody takes to arrive.»</p><p>«It climbs for two hours, stops at places that have lost their names and turns where the rails end at a wall of rock and fern.»</p>
+<section class="comments"><article class="comment"><p>I took it with my father when I was nine, and we had to push the carriage for the last part of the way.</p></article></section></article>""",
+    """<table><tr><td><a href="/1">One</a></td><td><a href="/2">Two</a></td><td><a href="/3">Three</a></td></tr></table>
+<h1>«On keeping bees in towns»</h1><p>«Bees find more to eat in a town than most people think, since something is in flower on some balcony or railway bank from March to October.»</p>
+<h2>«Water»</h2><p>«Put out a dish.»</p><p>«Stones in it keep the bees from drowning, and the water has to be changed before it turns green, which takes about a week in summer.»</p>
+<p><a href="/4">Next: hives</a></p><p>Imprint</p><p>Write to us</p>""",
+    """<div>Welcome</div><div><a href="/x1">News</a> <a href="/x2">Jobs</a> <a href="/x3">Press</a></div>
+<div>«The new hall has room for six hundred people and was paid for by the town, the county and a great number of small gifts.»</div>
+<div>«It opens in May.»</div><div>«Choirs can rent it at half the price on weekdays, and schools need to pay for heating and light only, as the mayor pointed out.»</div>
+<div><a href="/x4">Plan of seats</a></div><div><a href="/x5">Tickets</a></div><div>Top</div>""",
+    """<nav><a href="/">Plays</a><a href="/b">Books</a></nav><article><h1>«The ferry»</h1>
+<p>«The ferryman sat on the step of his hut and watched the two of them come down the path, slowly, with the box between them, as if it were made of glass.»</p>
+<p>«Good evening.»</p><p>«He nodded and looked at the box for some time, then at the river, which had come up since noon and carried branches and foam.»</p>
+<p>«Heavy?»</p><p>«Very.»</p><p>«They set it down on the planks, and the younger one wiped his hands on his coat and asked what it would cost to cross before dark.»</p>
+<p>«Nothing.»</p><p>«Nothing?»</p><p>«The ferryman laughed, got up and loosened the rope, and said that on the day of the flood he never took money from anybody with a box.»</p>
+<p>«Why?»</p><p>«Nobody answered.»</p><p>«Half way over the current took hold of them, and for a moment the hut, the willow and the light in the window slid away sideways.»</p><p>«Hold on!»</p></article>
+<footer>Printed in the old town, all rights with the author</footer>""",
+    """<main><h1>«Notes»</h1><p>«Monday»</p><p>«Rain all day, the cellar is dry so far, but the gutter over the door has to be cleaned before the next storm comes in from the west.»</p>
+<p>«Tuesday»</p><p>«Cleaned it.»</p><p>«Two nests.»</p><p>«The stairs are finished, forty one steps with the one at the top that nobody counts, and the rail will be fixed as soon as the oak is here.»</p>
+<p>«Wednesday»</p><p>«No oak.»</p></main><div class="footer"><p>Written by hand</p><p>Top</p></div>""",
+    """<nav><a href="/">Home</a></nav><article><p>«Dear all,»</p><p>«The meeting on Friday is put off by a week, since the hall is needed for the blood donors and the school has no room for us.»</p>
+<p>«Yours, Ada»</p></article><nav><a href="/1">Older</a></nav><article><p>«Thanks!»</p><p>«See you there.»</p></article><nav><a href="/2">Newer letters</a></nav>""",
+    """<div role="navigation"><a href="/">Menu</a> <a href="/s">Search</a></div><main><p>«Sold out.»</p></main><footer><a href="/i">Imprint</a></footer>""",
+    """<header><a href="/">Start</a></header><div class="content"><p>«No change.»</p><p>«All trains run to time.»</p></div><div class="sidebar"><a href="/t">Tickets</a></div><footer><a href="/i">Imprint</a></footer>""",
 )
