@@ -51,6 +51,62 @@ def s3(cat):
     return scans.missing_stations(cat.places, cat.obs)
 
 
+def station_folder(cat):
+    """A folder with a file for each station."""
+    folder = scratch_path(cat.spark, "stations")
+    daily.write_station_files(daily_values(cat), folder)
+    return folder
+
+
+def written_files(cat):
+    return daily.station_files(cat.spark, station_folder(cat), daily.WRITTEN_GLOB, daily.WRITTEN_NAME)
+
+
+def named_stations(cat):
+    return cat.stations.withColumn("ID", F.format_string("ST%09d", "ID"))
+
+
+def _by_station(rows):
+    """Rows and total of each station, and how many files the whole scan opened."""
+    found = rows.groupBy("ID").agg(big(F.count(F.lit(1))).alias("N"), rnd(F.sum("VALUE")).alias("TOTAL"), F.min("path").alias("_path"))
+    opened = found.agg(big(F.countDistinct("_path")).alias("FILES"))
+    return found.drop("_path").join(opened)
+
+
+PICKED = """SELECT ID, CAST(count(*) AS BIGINT) AS N, round(sum(VALUE), 6) AS TOTAL, CAST((SELECT count(DISTINCT ID) FROM picked) AS BIGINT) AS FILES
+FROM picked GROUP BY ID"""
+
+
+@query("s4_state_files", with_views(PICKED, "obs", "stations", daily=DAILY, picked="""SELECT daily.* FROM daily
+  JOIN stations s ON daily.ID = printf('ST%09d', s.ID) WHERE s.STATE IN ('NATION_3', 'NATION_17')"""))
+def s4_files(cat):
+    files = written_files(cat).join(daily.in_states(named_stations(cat), ["NATION_3", "NATION_17"]).select("ID"), "ID", "left_semi")
+    return _by_station(daily.files_data(files, path=True))
+
+
+@query("s5_region_files", with_views(PICKED, "obs", "stations", daily=DAILY, picked="""SELECT daily.* FROM daily
+  JOIN stations s ON daily.ID = printf('ST%09d', s.ID) WHERE starts_with(ECO3, '2.') OR regexp_matches(ECO3, '^5.1.1') OR starts_with(ECO3, '4.1.')"""))
+def s5_files(cat):
+    files = written_files(cat).join(daily.in_regions(named_stations(cat), ["2", "5.1.1", "4.1"]).select("ID"), "ID", "left_semi")
+    return _by_station(daily.files_data(files, path=True))
+
+
+@query("s3_missing_files", with_views("""
+SELECT printf('ST%09d', ID) AS ID FROM places WHERE printf('ST%09d', ID) NOT IN (SELECT ID FROM daily)""", "places", "obs", daily=DAILY))
+def s3_files(cat):
+    asked = cat.places.select(F.format_string("ST%09d", "ID").alias("ID"))
+    return daily.missing_files(cat.spark, station_folder(cat), asked, daily.WRITTEN_GLOB, daily.WRITTEN_NAME)
+
+
+@query("c17_file_tags", with_views("""
+SELECT CASE WHEN ID LIKE '%7' THEN 'first' WHEN ID LIKE '%3_' THEN 'second' ELSE 'unknown' END AS name, ELEMENT, CAST(count(*) AS BIGINT) AS N,
+  CAST(count(DISTINCT ID) AS BIGINT) AS FILES FROM daily GROUP BY ALL""", "obs", daily=DAILY))
+def c17_files(cat):
+    tag = labels.reviewer_tag("path", {"first": r"ID=ST\d*7/", "second": r"ID=ST\d*3\d/"})
+    return (daily.files_data(written_files(cat), path=True).withColumn("name", tag).groupBy("name", "ELEMENT")
+            .agg(big(F.count(F.lit(1))).alias("N"), big(F.countDistinct("path")).alias("FILES")))
+
+
 @query("s6_yearly_csv", with_views(DAILY_OUT + " WHERE ELEMENT = 'WESD' AND year(DATE) IN (1996, 1999)", "obs", daily=DAILY))
 def s6(cat):
     root = scratch_path(cat.spark, "by-year")

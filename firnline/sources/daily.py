@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.functions.labels import region_match
-from firnline.schema import MISSING_VALUE, OBSERVATIONS
+from firnline.schema import MISSING_VALUE
+from firnline.sources import manifest
 from firnline.sources.scans import ELEMENTS
 
 # Column positions of the format, counted from 1.
@@ -18,8 +19,10 @@ SLOT_WIDTH = 8
 VALUE_WIDTH = 5
 DAYS = 31
 
-#: Station files named to a scan at most.
-MAX_LISTED = 10_000
+#: Files of single stations: what their names match, and the station in the path.
+GLOB, NAME = "*.dly", r"([^/]+)\.dly$"
+#: The same for what ``write_station_files`` writes.
+WRITTEN_GLOB, WRITTEN_NAME = "part-*", r"/ID=([^/]+)/"
 
 
 def _slot(line: Column, day: Column) -> Column:
@@ -35,8 +38,8 @@ def _slot(line: Column, day: Column) -> Column:
         flag(0).alias("m"), flag(1).alias("q"), flag(2).alias("s"))
 
 
-def parse_daily_lines(lines: DataFrame, elements=ELEMENTS, column: str = "value") -> DataFrame:
-    """Observations from raw lines.
+def parse_daily_lines(lines: DataFrame, elements=ELEMENTS, column: str = "value", keep=()) -> DataFrame:
+    """Observations from raw lines, with the columns ``keep`` of ``lines``.
 
     Unwanted elements go before anything is expanded, and empty slots before the
     slots become rows. Slots beyond the end of a month are dropped.
@@ -47,11 +50,11 @@ def parse_daily_lines(lines: DataFrame, elements=ELEMENTS, column: str = "value"
     slots = F.filter(F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda d: _slot(line, d)),
                      lambda s: s["v"].isNotNull() & (s["v"] != MISSING_VALUE))
     rows = wanted.select(line.substr(*ID_AT).alias("ID"), first.alias("_first"),
-                         line.substr(*ELEMENT_AT).alias("ELEMENT"), F.explode(slots).alias("s"))
+                         line.substr(*ELEMENT_AT).alias("ELEMENT"), *keep, F.explode(slots).alias("s"))
     return rows.where(F.col("s.d") <= F.dayofmonth(F.last_day("_first"))).select(
         "ID", F.date_add("_first", F.col("s.d") - 1).alias("DATE"), "ELEMENT",
         F.col("s.v").alias("VALUE"), F.col("s.m").alias("MFLAG"),
-        F.col("s.q").alias("QFLAG"), F.col("s.s").alias("SFLAG"))
+        F.col("s.q").alias("QFLAG"), F.col("s.s").alias("SFLAG"), *keep)
 
 
 def format_daily_lines(obs: DataFrame) -> DataFrame:
@@ -68,54 +71,58 @@ def format_daily_lines(obs: DataFrame) -> DataFrame:
                                   F.array_join(days, "")).alias("value"))
 
 
-def _read_lines(spark: SparkSession, source: str, stations) -> DataFrame:
-    reader = (spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.dly"))
-    lines = reader.text(source)
-    if stations is not None:
-        # A literal list on the file name prunes files before any is opened.
-        lines = lines.where(F.col("_metadata.file_name").isin([f"{s}.dly" for s in stations]))
-    return lines.select("value")
+def write_station_files(obs: DataFrame, folder: str) -> None:
+    """A file for each station, in a folder ``ID=<station>`` of its own."""
+    lines = format_daily_lines(obs).withColumn("ID", F.rtrim(F.col("value").substr(*ID_AT)))
+    lines.repartition("ID").write.partitionBy("ID").text(folder)
+
+
+def station_files(spark: SparkSession, source: str, glob: str = GLOB, name: str = NAME) -> DataFrame:
+    """The manifest (path, ID, size) of the station files in ``source``."""
+    return manifest.list_files(spark, source, name, glob)
+
+
+def files_data(files: DataFrame, elements=ELEMENTS, path: bool = False) -> DataFrame:
+    """Observations of the station files of a manifest; no other file is opened. With ``path`` each row names its file."""
+    return parse_daily_lines(manifest.read_files(files), elements, keep=["path"] if path else [])
 
 
 def get_station_data(spark: SparkSession, source: str, stations=None, elements=ELEMENTS) -> DataFrame:
-    """Observations of the named stations (all files without a list).
+    """Observations of the named stations, a list or a table with an ID column (all files without one).
 
     Station files that do not exist are skipped; :func:`missing_files` names them.
     No match gives an empty table with the full schema.
     """
-    if stations is not None and not list(stations):
-        return spark.createDataFrame([], OBSERVATIONS)
-    return parse_daily_lines(_read_lines(spark, source, stations), elements)
-
+    if stations is None:
+        return parse_daily_lines(spark.read.option("pathGlobFilter", GLOB).text(source), elements)
+    if not isinstance(stations, DataFrame):
+        stations = spark.createDataFrame([(s,) for s in stations], "ID string")
+    return files_data(_chosen(station_files(spark, source), stations), elements)
 
-def _data_of(spark: SparkSession, source: str, chosen: DataFrame, elements) -> DataFrame:
-    """Observations of the stations in ``chosen``.
 
-    Up to MAX_LISTED stations are named to the scan, which then opens their
-    files only. For more, the lines of other stations go before the day slots
-    are parsed.
-    """
-    chosen = chosen.select("ID").distinct()
-    listed = [r.ID for r in chosen.limit(MAX_LISTED + 1).collect()]
-    if len(listed) <= MAX_LISTED:
-        return get_station_data(spark, source, listed, elements)
-    lines = _read_lines(spark, source, None).withColumn("_id", F.rtrim(F.col("value").substr(*ID_AT)))
-    wanted = lines.join(chosen, F.col("_id") == F.rtrim(chosen["ID"].cast("string")), "left_semi").select("value")
-    return parse_daily_lines(wanted, elements)
+def _chosen(files: DataFrame, stations: DataFrame) -> DataFrame:
+    return files.join(stations.select(F.col("ID").cast("string")).distinct(), "ID", "left_semi")
 
 
 def get_state_data(spark: SparkSession, source: str, station_table: DataFrame, states,
                    elements=ELEMENTS) -> DataFrame:
-    return _data_of(spark, source, station_table.where(F.col("STATE").isin(*states)), elements)
+    return get_station_data(spark, source, in_states(station_table, states), elements)
 
 
 def get_region_data(spark: SparkSession, source: str, station_table: DataFrame, codes,
                     elements=ELEMENTS, exact: bool = False) -> DataFrame:
-    return _data_of(spark, source, station_table.where(region_match("ECO3", codes, exact)), elements)
+    return get_station_data(spark, source, in_regions(station_table, codes, exact), elements)
+
+
+def in_states(station_table: DataFrame, states) -> DataFrame:
+    return station_table.where(F.col("STATE").isin(*states))
+
+
+def in_regions(station_table: DataFrame, codes, exact: bool = False) -> DataFrame:
+    return station_table.where(region_match("ECO3", codes, exact))
 
 
-def missing_files(spark: SparkSession, source: str, requested: DataFrame) -> DataFrame:
+def missing_files(spark: SparkSession, source: str, requested: DataFrame, glob: str = GLOB, name: str = NAME) -> DataFrame:
     """Requested station ids without a file in ``source``; file contents are not read."""
-    present = (spark.read.format("binaryFile").option("pathGlobFilter", "*.dly").load(source)
-               .select(F.regexp_extract("path", r"([^/]+)\.dly$", 1).alias("ID")))
+    present = station_files(spark, source, glob, name).select("ID")
     return requested.select("ID").distinct().join(present, "ID", "left_anti")

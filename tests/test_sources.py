@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from firnline.operators import reviews
 from firnline.plans import reviews as review_plan
-from firnline.sources import daily, scans, tables
+from firnline.sources import daily, manifest, scans, tables
 from firnline.streaming import ingest
 
 
@@ -42,17 +42,35 @@ def test_daily_files(spark, folder):
     assert scans.missing_stations(asked, daily.get_station_data(spark, str(folder))).count() == 1
 
 
-def test_state_files_alone_are_opened(spark, folder, monkeypatch):
-    st = spark.createDataFrame([("US000000001", "UT", "1.1.1"), ("US000000002", "ID", "6.2.13")], "ID string, STATE string, ECO3 string")
+def test_files_of_the_manifest_alone_are_opened(spark, folder, tmp_path):
+    st = spark.createDataFrame([("US000000001", "UT", "1.1.1"), ("US000000002", "ID", "6.2.13"), ("US000000007", "ID", "6.2.13")], "ID string, STATE string, ECO3 string")
     named = daily.get_state_data(spark, str(folder), st, ["ID"])
     assert [r.ID for r in named.collect()] == ["US000000002"]
-    scan = [x for x in named._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
-    assert "PartitionFilters" in scan[0] and "US000000002.dly" in scan[0] and "US000000001" not in scan[0]
-    # More stations than are named: the same rows.
-    monkeypatch.setattr(daily, "MAX_LISTED", 0)
-    many = daily.get_state_data(spark, str(folder), st, ["ID"])
-    assert "US000000002.dly" not in many._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, named.collect()))
+    files = daily.station_files(spark, str(folder))
+    assert {r.ID for r in files.collect()} == {"US000000001", "US000000002", "US000000003"} and all(r.size > 0 for r in files.collect())
+    rows = daily.files_data(files.where("ID = 'US000000001'"), path=True).collect()
+    assert {r.path.rsplit("/", 1)[1] for r in rows} == {"US000000001.dly"} and len(rows) == 3
+    # A file that went after it was listed is skipped; many small ones share a partition, each is read once.
+    listed = [(f"{folder}/US{i:09d}.dly", f"US{i:09d}", 10) for i in (1, 2, 9)]
+    assert daily.files_data(spark.createDataFrame(listed, "path string, ID string, size long")).count() == 4
+    groups = manifest.packed(listed * 40, manifest.OPEN_BYTES * 10)
+    assert sum(len(g.files) for g in groups) == 120 and max(len(g.files) for g in groups) <= 10 and len(groups) < 20
+    assert manifest.packed([], 5)[0].files == []
+
+
+def test_lines_across_chunks(tmp_path, monkeypatch):
+    (tmp_path / "a.dly").write_bytes(b"one\r\ntwo\n\n" + b"x" * 50 + b"\nlast")
+    for chunk in (1, 3, 7, 1000):
+        monkeypatch.setattr(manifest, "CHUNK", chunk)
+        assert [x for part in manifest.lines_of(str(tmp_path / "a.dly")) for x in part] == ["one", "two", "", "x" * 50, "last"]
+
+
+def test_written_station_files(spark, folder, tmp_path):
+    first = daily.get_station_data(spark, str(folder))
+    daily.write_station_files(first, str(tmp_path / "out"))
+    files = daily.station_files(spark, str(tmp_path / "out"), daily.WRITTEN_GLOB, daily.WRITTEN_NAME)
+    assert sorted(r.ID for r in files.collect()) == ["US000000001", "US000000002"]
+    assert sorted(map(tuple, daily.files_data(files).collect())) == sorted(map(tuple, first.collect()))
 
 
 def test_daily_round_trip(spark, folder):
