@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions.loads import INCH_TO_MM
 from firnline.operators import rules, spatial
+from firnline.operators.quantiles import exact_quantiles
 from firnline.operators.reshape import state_abbreviation
 from firnline.session import cut_lineage
 
@@ -29,7 +30,7 @@ def largest_area(areas: DataFrame) -> DataFrame:
 
 def main_polygons(edges: DataFrame, areas: DataFrame, share: float = 0.9) -> DataFrame:
     """Edges of the polygons larger than the given quantile of all areas."""
-    cut = areas.agg(F.percentile("area", F.lit(share)).alias("_cut"))
+    cut = exact_quantiles(areas, [], "area", {"_cut": share})
     # One row, attached to the polygon table (not to the edges) as a scalar.
     kept = areas.join(cut, F.col("area") > F.col("_cut")).select("region_id", "poly_id")
     return edges.join(kept, ["region_id", "poly_id"], "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from firnline.catalog import OBS_ORDER
 from firnline.functions import calendar, labels, loads as conv
 from firnline.operators import maxima, qc, reshape, reviews, rules
+from firnline.operators.quantiles import exact_quantiles
 from firnline.plans import reviews as review_plan
 from firnline.registry.base import KEY, big, day, query, rnd
 from firnline.registry.sqltext import ROW_RULES, with_views, wy
@@ -271,10 +272,16 @@ def a3(cat):
 SELECT ID, round(quantile_cont(VALUE, 0.1), 6) AS Q10, round(quantile_cont(VALUE, 0.25), 6) AS Q25,
   round(median(VALUE), 6) AS Q50, round(quantile_cont(VALUE, 0.75), 6) AS Q75 FROM obs GROUP BY ID""", "obs"))
 def a6(cat):
-    # Distinct archive values are bounded by the five digits of the format, and
-    # percentile keeps distinct values with counts.
-    return cat.obs.groupBy("ID").agg(*[rnd(F.percentile("VALUE", F.lit(p))).alias(n) for n, p in
-                                       (("Q10", 0.1), ("Q25", 0.25), ("Q50", 0.5), ("Q75", 0.75))])
+    found = exact_quantiles(cat.obs, ["ID"], "VALUE", {"Q10": 0.1, "Q25": 0.25, "Q50": 0.5, "Q75": 0.75})
+    return found.select("ID", *[rnd(n).alias(n) for n in ("Q10", "Q25", "Q50", "Q75")])
+
+
+@query("a6_quantiles_of_all", """SELECT round(quantile_cont(l_extendedprice, 0.01), 6) AS Q01, round(median(l_extendedprice), 6) AS Q50,
+  round(quantile_cont(l_extendedprice, 0.99), 6) AS Q99 FROM lineitem""")
+def a6_all(cat):
+    """One group of all rows."""
+    found = exact_quantiles(cat.table("lineitem"), [], "l_extendedprice", {"Q01": 0.01, "Q50": 0.5, "Q99": 0.99})
+    return found.select(*[rnd(n).alias(n) for n in found.columns])
 
 
 @query("a8_group_centroid", with_views("""
