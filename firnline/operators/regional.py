@@ -2,18 +2,21 @@
 
 Distances come as a long table (row id, region_id, dist_km). The linear model
 is a sum of products per region, so a region with a third of all rows costs
-the same single aggregate. A user's own function is called once per region
-with that region's rows, as its contract says; see :func:`function_models`.
+the same single aggregate. A user's own model is fitted the same way if it can
+be put together from parts, see :class:`MergeableModel`; a plain function is
+called once per region with that region's rows, see :func:`function_models`.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,12 +122,100 @@ def linear_prediction(x) -> Column:
 
 # --- the user's own model -----------------------------------------------------------------
 
+#: Partial states of a region that are merged in one place at first.
+FAN = 64
+#: States that a task holds before it sends them on, and rows that a prediction gets at a time, about.
+HELD, PIECE = 10_000, 50_000
+
+
+class MergeableModel(Protocol):
+    """A model that is fitted in parts. States and the model have to pickle."""
+
+    def init(self) -> Any:
+        """The state of no rows."""
+
+    def update(self, state: Any, rows: pd.DataFrame) -> Any:
+        """The state with some more rows of the region; in what order and portions they come is not known."""
+
+    def merge(self, a: Any, b: Any) -> Any:
+        """The state of the rows of both."""
+
+    def finish(self, state: Any) -> Any:
+        """The model."""
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def mergeable_models(data: DataFrame, members: DataFrame, id: str, model: MergeableModel) -> DataFrame:
+    """``model`` fitted per region: (region_id, model, n_train, error).
+
+    Rows stay in the partitions they are in: a task updates a state for each
+    region it meets, batch by batch. Only states are shuffled, and merged in
+    two levels, some of a region first and what is left of it then. An
+    exception becomes that region's error.
+    """
+    rows = members.join(data, id)
+    schema = "region_id string, part int, state binary, n bigint, error string"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        held: dict[str, list] = {}
+
+        def sent() -> pd.DataFrame:
+            return pd.DataFrame([(r, part, None if e else pickle.dumps(s), n, e) for r, (s, n, e) in held.items()],
+                                columns=["region_id", "part", "state", "n", "error"])
+        for batch in batches:
+            for region, some in batch.groupby("region_id", sort=False):
+                now = held.setdefault(region, [None, 0, None])
+                now[1] += len(some)
+                if now[2] is None:
+                    try:
+                        now[0] = model.update(model.init() if now[0] is None else now[0], some.drop(columns="region_id").reset_index(drop=True))
+                    except Exception as e:  # noqa: BLE001 - a failing region must not stop the others
+                        now[0], now[2] = None, _said(e)
+            if len(held) >= HELD:
+                yield sent()
+                held.clear()
+        if held:
+            yield sent()
+
+    def united(pdf: pd.DataFrame) -> tuple[Any, int, str | None]:
+        state, error = None, next((e for e in pdf["error"] if e is not None), None)
+        try:
+            for data_ in pdf["state"] if error is None else ():
+                one = pickle.loads(data_)
+                state = one if state is None else model.merge(state, one)
+        except Exception as e:  # noqa: BLE001
+            state, error = None, _said(e)
+        return state, int(pdf["n"].sum()), error
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, n, error = united(pdf)
+        return pd.DataFrame({"region_id": [pdf["region_id"].iloc[0]], "part": [0], "state": [None if error else pickle.dumps(state)], "n": [n], "error": [error]})
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, n, error = united(pdf)
+        fitted = None
+        if error is None:
+            try:
+                fitted = pickle.dumps(model.finish(state))
+            except Exception as e:  # noqa: BLE001
+                error = _said(e)
+        return pd.DataFrame({"region_id": [pdf["region_id"].iloc[0]], "model": [fitted], "n_train": [n], "error": [error]})
+
+    parts = rows.mapInPandas(partial, schema)
+    first = parts.groupBy("region_id", F.floor(F.col("part") / FAN).alias("_g")).applyInPandas(lambda key, pdf: some(pdf), schema)
+    return first.groupBy("region_id").applyInPandas(last, "region_id string, model binary, n_train bigint, error string")
+
+
 def function_models(data: DataFrame, members: DataFrame, id: str, fit) -> DataFrame:
     """``fit(pandas rows) -> model`` per region: (region_id, model, n_train, error).
 
     An exception in ``fit`` becomes that region's error. Such a function needs
     its region's rows in one place; no region is left out, so the largest has to
-    fit a task. :func:`linear_models` has no such need.
+    fit a task. :func:`mergeable_models` and :func:`linear_models` have no such need.
     """
     rows = members.join(data, id)
     schema = "region_id string, model binary, n_train bigint, error string"
@@ -134,20 +225,22 @@ def function_models(data: DataFrame, members: DataFrame, id: str, fit) -> DataFr
         try:
             model, error = pickle.dumps(fit(pdf.drop(columns="region_id"))), None
         except Exception as e:  # noqa: BLE001 - a failing region must not stop the others
-            model, error = None, f"{type(e).__name__}: {e}"
+            model, error = None, _said(e)
         return pd.DataFrame({"region_id": [region], "model": [model], "n_train": [len(pdf)], "error": [error]})
 
     return rows.groupBy("region_id").applyInPandas(one, schema)
 
 
-def function_predictions(scored: DataFrame, models: DataFrame, id: str, predict, salt: int = 32) -> DataFrame:
+def function_predictions(scored: DataFrame, models: DataFrame, id: str, predict, piece: int | None = None) -> DataFrame:
     """``predict(model, pandas rows) -> values`` for (region, row) pairs: (id, region_id, pred).
 
-    Rows of a region are spread over ``salt`` groups, each with its own copy of the model.
+    Rows of a region are dealt into pieces of about ``piece`` rows, by how many
+    it has, each with its own copy of the model.
     """
-    usable = models.where(F.col("model").isNotNull()).select("region_id", "model").withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    rows = scored.withColumn("_s", F.pmod(F.hash(id), F.lit(salt)))
+    pieces = scored.groupBy("region_id").agg(F.ceil(F.count(F.lit(1)) / (piece or PIECE)).alias("_k"))
+    usable = models.where(F.col("model").isNotNull()).select("region_id", "model").join(pieces, "region_id").withColumn(
+        "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k")
+    rows = scored.join(pieces, "region_id").withColumn("_s", F.pmod(F.xxhash64(id), F.col("_k"))).drop("_k")
     schema = T.StructType([scored.schema[id], T.StructField("region_id", T.StringType()),
                            T.StructField("pred", T.DoubleType())])
 
@@ -161,6 +254,30 @@ def function_predictions(scored: DataFrame, models: DataFrame, id: str, predict,
     return rows.groupBy("region_id", "_s").cogroup(usable.groupBy("region_id", "_s")).applyInPandas(one, schema)
 
 
+class GroupMedian:
+    """The median of a column, as a :class:`MergeableModel`: the state counts the values met."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def init(self) -> dict[float, int]:
+        return {}
+
+    def update(self, state: dict[float, int], rows: pd.DataFrame) -> dict[float, int]:
+        return self.merge(state, rows[self.column].dropna().value_counts().to_dict())
+
+    def merge(self, a: dict[float, int], b: dict[float, int]) -> dict[float, int]:
+        for value, n in b.items():
+            a[value] = a.get(value, 0) + n
+        return a
+
+    def finish(self, state: dict[float, int]) -> float:
+        values = np.array(sorted(state), float)
+        ends = np.cumsum([state[v] for v in values.tolist()])
+        at = np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], "right")
+        return float(values[at].mean())
+
+
 # --- blending -----------------------------------------------------------------------------
 
 def blend_weights(distances: DataFrame, models: DataFrame, id: str, smooth) -> DataFrame:
@@ -229,7 +346,7 @@ class RegionalModel:
 
 
 def regional_model(data: DataFrame, edges: DataFrame, id: str, buffer, min_n: int = 0, y: str | None = None,
-                   x=None, fit: Callable | None = None, predict: Callable | None = None,
+                   x=None, fit: Callable | MergeableModel | None = None, predict: Callable | None = None,
                    lon: str = "LONGITUDE", lat: str = "LATITUDE",
                    distances: DataFrame | None = None) -> RegionalModel:
     """Train one model per region: linear (``y``, ``x``) or the user's (``fit``, ``predict``).
@@ -246,6 +363,6 @@ def regional_model(data: DataFrame, edges: DataFrame, id: str, buffer, min_n: in
     if fit is None:
         models = linear_models(data, members, id, y, list(x or []))
     else:
-        models = function_models(data, members, id, fit)
+        models = (mergeable_models if hasattr(fit, "merge") else function_models)(data, members, id, fit)
     return RegionalModel(cut_lineage(models), members, edges, lon, lat,
                          None if fit else list(x or []), predict)

@@ -476,6 +476,6 @@ SELECT ID, round(sum(w * m) / sum(w), 5) AS PREDICTION FROM scored JOIN (
 def r2_function(cat):
     d = _distances(cat)
     members = regional.membership(d, "ID", {"A": 150, "B": 150, "C": 150, "D": 150}, 400)
-    models = regional.function_models(cat.places, members, "ID", lambda rows: float(rows["VALUE"].median()))
+    models = regional.mergeable_models(cat.places, members, "ID", regional.GroupMedian("VALUE"))
     out = regional.predict_function(cat.places, d, models, "ID", lambda m, rows: [m] * len(rows), 120)
     return out.select("ID", rnd("prediction", 5).alias("PREDICTION"))

@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +241,34 @@ def test_pairs_are_met_once(spark):
     met = spatial.half_pairs(base.withColumn("_r", F.lit(1)), cells, "ID", 900 / geo.PAIR_RADIUS_KM, ["G"])
     plain = spatial.pairs_within(base, base, cells, ["G"]).where("ID != r_ID")
     assert 2 * met.count() <= plain.count()
+
+
+def test_models_from_parts_equal_those_of_whole_regions(spark, monkeypatch):
+    class Failing(regional.GroupMedian):
+        def update(self, state, rows):
+            if (rows["VALUE"] == 13).any():
+                raise ValueError("thirteen")
+            return super().update(state, rows)
+
+    r = np.random.default_rng(5)
+    values = [(i, "big" if i % 3 else f"r{i % 7}", None if i % 11 == 0 else float(r.integers(0, 40) if i % 3 else r.normal())) for i in range(4000)]
+    values = [(i, g, 14.0 if v == 13 else v) for i, g, v in values] + [(9000, "bad", 13.0), (9001, "bad", 1.0), (9002, "none", None)]
+    df = spark.createDataFrame(values, "ID long, region_id string, VALUE double")
+    data, members = df.select("ID", "VALUE").repartition(90), df.select("ID", "region_id")
+    monkeypatch.setattr(regional, "FAN", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that there are many partitions to merge
+    try:
+        got = {m.region_id: m for m in regional.mergeable_models(data, members, "ID", Failing("VALUE")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert set(got) == {g for _, g, _ in values}
+    for g in got:
+        mine = [v for _, h, v in values if h == g]
+        assert got[g].n_train == len(mine)
+        if g in ("bad", "none"):
+            assert got[g].model is None and got[g].error.startswith("ValueError: thirteen" if g == "bad" else "IndexError")
+        else:
+            assert pickle.loads(got[g].model) == pytest.approx(np.median([v for v in mine if v is not None])) and got[g].error is None
+    models = regional.mergeable_models(data, members, "ID", Failing("VALUE"))
+    out = regional.function_predictions(df.select("ID", "region_id"), models, "ID", lambda m, rows: [m + 0 * len(rows)] * len(rows), 100).collect()
+    assert len(out) == 4000 and {p.region_id for p in out} == set(got) - {"bad", "none"}
