@@ -20,8 +20,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_DOCS = 400
 #: Rounds of expectation maximisation, and pseudo-count of each piece.
 ROUNDS, PSEUDO = 3, 0.05
-#: Longer runs of letters are cut here.
-MAX_WORD = 100
+#: Longer words are scored one by one, place after place, and not learned from.
+LONG = 100
+#: Places of a long word that are looked up at a time.
+SEGMENT = 1 << 14
 #: Distinct words whose scores a task keeps.
 CACHE = 400_000
 
@@ -43,14 +45,11 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters, each at most MAX_WORD long."""
+    """Lower-case runs of letters, however long."""
     out = []
     for w in _RUNS.findall(text.lower()) if text else ():
         if not w.isalpha():
             w = "".join(c for c in w if c.isalpha())
-        while len(w) > MAX_WORD:
-            out.append(w[:MAX_WORD])
-            w = w[MAX_WORD:]
         if w:
             out.append(w)
     return out
@@ -79,7 +78,9 @@ class Lattice:
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """(length with mark, for each piece length the piece that starts at each place of each word)."""
-        marked = [MARK + w for w in words]
+        return self._arcs([MARK + w for w in words])
+
+    def _arcs(self, marked: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         length = np.array([len(w) for w in marked])
         wide = int(length.max())
         codes = np.frombuffer("".join(w.ljust(wide, "\0") for w in marked).encode("utf-32-le"), "<u4").reshape(-1, wide).astype(np.uint64)
@@ -93,6 +94,28 @@ class Lattice:
             out.append(np.where(keys[near] == key, at[near], self.size - 1 if k == 1 else self.none).astype(np.int32))
         return length, out
 
+    def log_long(self, word: str, table: np.ndarray) -> np.ndarray:
+        """Scaled log probability of one word in each language; holds no more than the places that a piece reaches."""
+        marked = MARK + word
+        ahead = np.zeros((self.longest + 1, table.shape[1]))
+        ahead[0] = 1
+        logs = np.zeros(table.shape[1])
+        for start in range(0, len(marked), SEGMENT):
+            _, arcs = self._arcs([marked[start:start + SEGMENT + self.longest - 1]])
+            size = min(SEGMENT, len(marked) - start)
+            pieces = np.full((size, self.longest), self.none)
+            for k, a in enumerate(arcs):
+                pieces[:min(size, a.shape[1]), k] = a[0, :size]
+            for i in range(size):
+                ahead[1:] += ahead[0] * table[pieces[i]]
+                ahead[:-1] = ahead[1:]
+                ahead[-1] = 0
+                if i % 16 == 0:
+                    most = np.maximum(ahead.max(0), 1e-300)
+                    ahead /= most
+                    logs += np.log(most)
+        return logs + np.log(np.maximum(ahead[0], 1e-300))
+
     def forward(self, length: np.ndarray, arcs: list[np.ndarray], table: np.ndarray) -> np.ndarray:
         """Scaled probability of each prefix: places x words x languages."""
         wide = int(length.max())
@@ -110,9 +133,11 @@ def _scaled(model: np.ndarray, pieces: list[str]) -> np.ndarray:
     return np.vstack([model * (_SCALE ** sizes)[:, None], np.zeros((1, model.shape[1]))])
 
 
-def _groups(words: list[str], most: int = 5_000) -> Iterator[np.ndarray]:
-    """Indices of words of similar lengths, a bounded number at a time."""
+def _groups(words: list[str], without: set[int] = frozenset(), most: int = 5_000) -> Iterator[np.ndarray]:
+    """Indices of words of similar lengths, a bounded number at a time, but for those in ``without``."""
     order = np.argsort([len(w) for w in words], kind="stable")
+    if without:
+        order = np.array([i for i in order.tolist() if i not in without], np.int64)
     for i in range(0, len(order), most):
         yield order[i:i + most]
 
@@ -120,7 +145,10 @@ def _groups(words: list[str], most: int = 5_000) -> Iterator[np.ndarray]:
 def log_probabilities(words: list[str], lattice: Lattice, table: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, over all its segmentations."""
     out = np.zeros((len(words), table.shape[1]))
-    for at in _groups(words):
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    for i in long:
+        out[i] = lattice.log_long(words[i], table) - (len(words[i]) + 1) * np.log(_SCALE)
+    for at in _groups(words, set(long)):
         length, arcs = lattice.arcs([words[i] for i in at])
         alpha = lattice.forward(length, arcs, table)
         out[at] = np.log(np.maximum(alpha[length, np.arange(len(at))], 1e-300)) - length[:, None] * np.log(_SCALE)
@@ -164,7 +192,7 @@ def training_words(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                words, n = np.unique(np.array(words_of(text) or [""], object).astype(str), return_counts=True)
+                words, n = np.unique(np.array([w for w in words_of(text) if len(w) <= LONG] or [""], object).astype(str), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words.tolist(), pa.string()), pa.array(n)], ["lang", "word", "n"])
     some = known.join(F.broadcast(cut_lineage(chosen)), "doc_id", "left_semi").select("lang", "text")
     return some.mapInArrow(split, "lang string, word string, n long").where("word != ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -124,6 +124,24 @@ def test_forward_sums_all_segmentations():
     assert float(uses @ sizes) == pytest.approx(2 * 3)
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    pieces = sorted({"▁", "a", "b", "c", "ab", "▁a", "ba", "bab", "▁ab", "cabab"})
+    rng = np.random.default_rng(2)
+    lattice = langid.Lattice(pieces)
+    table = langid._scaled(rng.random((len(pieces) + 1, 3)) * 0.1, pieces)
+    words = ["".join(rng.choice(list("abcx"), n)) for n in (1, 2, 9, 60, 99, 100)]
+    want = langid.log_probabilities(words, lattice, table)
+    for long, segment in ((0, 1), (5, 7), (50, 1000)):
+        monkeypatch.setattr(langid, "LONG", long)
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        assert np.allclose(langid.log_probabilities(words, lattice, table), want)
+    # A run of any length is one word, and its parts add up to nearly the whole.
+    run = "ab" * 20_000
+    assert langid.words_of(f"x {run} y") == ["x", run, "y"]
+    whole = langid.log_probabilities([run, run + run], lattice, table)
+    assert np.isfinite(whole).all() and np.allclose(whole[1] / whole[0], 2, rtol=1e-3)
+
+
 def test_all_letter_pieces_are_used():
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
