@@ -111,13 +111,8 @@ def c17_files(cat):
 @query("s6_yearly_csv", with_views(DAILY_OUT + " WHERE ELEMENT = 'WESD' AND year(DATE) IN (1996, 1999)", "obs", daily=DAILY))
 def s6(cat):
     root = scratch_path(cat.spark, "by-year")
-    rows = daily_values(cat).select(
-        "ID", F.date_format("DATE", "yyyyMMdd").alias("DATE"), "ELEMENT", F.col("VALUE").cast("bigint").alias("VALUE"),
-        "MFLAG", "QFLAG", "SFLAG", F.lit("0700").alias("TIME"))
-    for year in (1996, 1999):
-        rows.where(F.col("DATE").startswith(str(year))).write.option("compression", "gzip").csv(f"{root}/{year}")
-    parts = [tables.get_year_data(cat.spark, f"{root}/{y}", ["part*"], ["WESD"]) for y in (1996, 1999)]
-    back = parts[0].unionByName(parts[1])
+    tables.write_year_data(daily_values(cat), root)
+    back = tables.get_year_data(cat.spark, root, [1996, 1999, 1850], ["WESD"])
     return back.select("ID", day().alias("DAY"), "ELEMENT", "VALUE", *_flags(back))
 
 

@@ -30,6 +30,21 @@ def get_year_data(spark: SparkSession, source: str, years, elements=ELEMENTS,
     return rows if spread is None else rows.repartition(spread)
 
 
+def write_year_data(obs: DataFrame, folder: str) -> None:
+    """Observations as files ``<year>.csv.gz``, which a year fills alone, as the format has it."""
+    spark = obs.sparkSession
+    rows = obs.select("ID", F.date_format("DATE", "yyyyMMdd").alias("DATE"), "ELEMENT", F.col("VALUE").cast("bigint").alias("VALUE"),
+                      "MFLAG", "QFLAG", "SFLAG", F.lit("0700").alias("TIME"), F.year("DATE").alias("_year"))
+    parts = f"{folder.rstrip('/')}/_parts"
+    rows.repartition("_year").write.partitionBy("_year").option("compression", "gzip").csv(parts)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    store = jvm_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in store.globStatus(jvm_path(f"{parts}/_year=*/part-*")):  # a file for each year
+        year = f.getPath().getParent().getName().split("=")[1]
+        store.rename(f.getPath(), jvm_path(f"{folder}/{year}.csv.gz"))
+    store.delete(jvm_path(parts), True)
+
+
 def missing_years(spark: SparkSession, source: str, years: list[int]) -> DataFrame:
     """Requested years without a file."""
     present = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(source)

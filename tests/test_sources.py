@@ -146,3 +146,14 @@ def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5), ("b", None)], "ID string, v double")
     tables.write_csv(df, str(tmp_path / "c"))
     assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "c"), "ID string, v double").collect())) == [("a", 1.5), ("b", None)]
+
+
+def test_written_years(spark, folder, tmp_path):
+    first = daily.get_station_data(spark, str(folder))
+    tables.write_year_data(first, str(tmp_path / "years"))
+    names = {p.name for p in (tmp_path / "years").iterdir() if not p.name.startswith(".")}
+    assert names == {f"{r.DATE.year}.csv.gz" for r in first.collect()}
+    years = sorted(int(n[:4]) for n in names)
+    back = tables.get_year_data(spark, str(tmp_path / "years"), years)
+    assert sorted((r.ID, r.DATE, r.VALUE) for r in back.collect()) == sorted((r.ID, r.DATE, r.VALUE) for r in first.collect())
+    assert [r.YEAR for r in tables.missing_years(spark, str(tmp_path / "years"), [*years, 1850]).collect()] == [1850]
