@@ -9,9 +9,11 @@ called once per region with that region's rows, see :func:`function_models`.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any, Protocol
 
 import numpy as np
@@ -21,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firnline.functions import geodesy as geo
 from firnline.operators import spatial
-from firnline.session import cut_lineage
+from firnline.session import Scratch, cut_lineage
 
 
 def check_names(value, regions: DataFrame, name: str, needed: DataFrame | None = None) -> None:
@@ -78,6 +81,48 @@ def membership(distances: DataFrame, id: str, buffer, min_n: int = 0) -> DataFra
     return enough.union(short)
 
 
+#: What a radius grows by that had too few rows, and the least it grows to.
+GROWTH, LEAST_KM = 4.0, 100.0
+
+
+def training_rows(data: DataFrame, edges: DataFrame, id: str, buffer, min_n: int = 0,
+                  lon: str = "LONGITUDE", lat: str = "LATITUDE", need_inside: bool = True) -> DataFrame:
+    """``membership`` without the distances of all rows to all regions.
+
+    Without ``need_inside`` regions that no row is inside of count too; with a
+    buffer of 0 the result is then the ``min_n`` nearest rows of each region.
+
+    Rows within the largest buffer come first. Regions that miss ``min_n`` get
+    a radius of their own, grown until so many rows are within it: then the
+    nearest are among them for certain. Only those regions are looked at again.
+    """
+    half_globe = math.pi * geo.POLYGON_RADIUS_KM
+    radius = float(max(buffer.values()) if isinstance(buffer, dict) else buffer)
+    with Scratch(data.sparkSession) as scratch:
+        known = scratch.cut(spatial.distances_within(data, edges, id, radius, lon, lat))
+        near = F.col("dist_km") < _per_region(buffer)
+        counts = scratch.cut(known.groupBy("region_id").agg(
+            F.sum(F.when(F.col("dist_km") == 0, 1).otherwise(0)).alias("_inside"),
+            F.sum(F.when(near, 1).otherwise(0)).alias("_near")))
+        if need_inside:
+            counts = counts.where(F.col("_inside") > 0)
+        else:
+            counts = edges.select("region_id").distinct().join(counts, "region_id", "left").fillna(0, ["_inside", "_near"])
+        enough = counts.where(F.col("_near") >= min_n).select("region_id")
+        found = [known.join(enough, "region_id", "left_semi").where(near).select("region_id", id)]
+        short = scratch.cut(counts.where(F.col("_near") < min_n).select("region_id"))
+        while min_n > 0 and not short.isEmpty():
+            have = known.groupBy("region_id").agg(F.count(F.lit(1)).alias("_n"))
+            have = short.join(have, "region_id", "left").where((F.coalesce("_n", F.lit(0)) >= min_n) | F.lit(radius >= half_globe))
+            ready = scratch.cut(have.select("region_id"))
+            found.append(nearest_rows(known.join(ready, "region_id", "left_semi"), id, min_n).select("region_id", id))
+            short = scratch.cut(short.join(ready, "region_id", "left_anti"))
+            radius = max(GROWTH * radius, LEAST_KM)
+            if not short.isEmpty():
+                known = scratch.cut(spatial.distances_within(data, edges.join(short, "region_id", "left_semi"), id, min(radius, half_globe), lon, lat))
+        return cut_lineage(reduce(DataFrame.union, found))
+
+
 # --- linear models --------------------------------------------------------------------
 
 def linear_models(data: DataFrame, members: DataFrame, id: str, y: str, x) -> DataFrame:
@@ -358,8 +403,9 @@ def regional_model(data: DataFrame, edges: DataFrame, id: str, buffer, min_n: in
         raise ValueError("give either y and x, or fit and predict")
     check_names(buffer, edges, "buffer")
     if distances is None:
-        distances = cut_lineage(spatial.regional_distance(data, edges, id, lon, lat))
-    members = cut_lineage(membership(distances, id, buffer, min_n))
+        members = training_rows(data, edges, id, buffer, min_n, lon, lat)
+    else:
+        members = cut_lineage(membership(distances, id, buffer, min_n))
     if fit is None:
         models = linear_models(data, members, id, y, list(x or []))
     else:

@@ -356,6 +356,16 @@ def regional_distance(points: DataFrame, edges: DataFrame, id: str, lon: str = "
     return rows.join(near.unionByName(far), [lon, lat]).select(id, "region_id", "dist_km")
 
 
+def distances_within(points: DataFrame, edges: DataFrame, id: str, km: float, lon: str = "LONGITUDE", lat: str = "LATITUDE") -> DataFrame:
+    """(id, region_id, dist_km) of the points and regions that are ``km`` or less apart, 0 inside; no others are built."""
+    rows = points.select(id, lon, lat)
+    key = [lon, lat, "region_id"]
+    near = nearest(rows, edges, by=["region_id"], limit=km_to_chord(km), lon=lon, lat=lat).select(*key, _km(F.col("_dist")).alias("dist_km"))
+    inside = point_in_polygon(rows, edges, lon, lat).select(*key).distinct()
+    both = inside.withColumn("dist_km", F.lit(0.0)).unionByName(near.join(inside, key, "left_anti"))
+    return rows.join(both, [lon, lat]).select(id, "region_id", "dist_km")
+
+
 def distances_wide(distances: DataFrame, id: str, regions) -> DataFrame:
     """One row per point and one column per region."""
     return distances.groupBy(id).pivot("region_id", list(regions)).agg(F.min("dist_km"))

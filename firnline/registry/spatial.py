@@ -204,8 +204,7 @@ def j15(cat):
 SELECT region_id, ID FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY km, ID) AS k FROM dist) WHERE k <= 12""",
                                       "places", "regions", "edges", **_distance_views("places")))
 def j16(cat):
-    d = spatial.regional_distance(cat.places, regions(cat), "ID")
-    return regional.nearest_rows(d, "ID", 12).select("region_id", "ID")
+    return regional.training_rows(cat.places, regions(cat), "ID", 0, 12, need_inside=False).select("region_id", "ID")
 
 
 @query("h3_distances_wide", with_views("""
@@ -443,8 +442,7 @@ def _distances(cat):
 
 @query("r1_region_members", with_views("SELECT region_id, ID FROM members", "places", "regions", "edges", **MODEL_VIEWS))
 def r1_members(cat):
-    d = _distances(cat)
-    return regional.membership(d, "ID", 150, 400).select("region_id", "ID")
+    return regional.training_rows(cat.places, regions(cat), "ID", 150, 400).select("region_id", "ID")
 
 
 def _models(cat):

@@ -272,3 +272,17 @@ def test_models_from_parts_equal_those_of_whole_regions(spark, monkeypatch):
     models = regional.mergeable_models(data, members, "ID", Failing("VALUE"))
     out = regional.function_predictions(df.select("ID", "region_id"), models, "ID", lambda m, rows: [m + 0 * len(rows)] * len(rows), 100).collect()
     assert len(out) == 4000 and {p.region_id for p in out} == set(got) - {"bad", "none"}
+
+
+def test_training_rows_by_growing_radius_equal_those_of_all_distances(spark):
+    r = np.random.default_rng(8)
+    df = points(spark, np.column_stack([r.uniform(-125, -65, 300), r.uniform(25, 50, 300), np.zeros(300)]))
+    boxes = {"full": (-110, 30, -90, 45), "tiny": (-80.2, 40, -80, 40.2), "empty": (60, -10, 61, -9)}
+    table = edges(spark, [(n, 1, 1, [(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d))]) for n, (a, b, c, d) in boxes.items()])
+    far = spatial.regional_distance(df, table, "ID")
+    buffer = {"full": 10, "tiny": 500, "empty": 1}
+    want = {tuple(x) for x in regional.membership(far, "ID", buffer, 25).select("region_id", "ID").collect()}
+    got = [tuple(x) for x in regional.training_rows(df, table, "ID", buffer, 25).collect()]
+    assert set(got) == want and len(got) == len(want)
+    nearest = {tuple(x) for x in regional.nearest_rows(far, "ID", 7).select("region_id", "ID").collect()}
+    assert {tuple(x) for x in regional.training_rows(df, table, "ID", 0, 7, need_inside=False).collect()} == nearest and len(nearest) == 21
