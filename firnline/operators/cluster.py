@@ -175,6 +175,8 @@ def _summed_merges(pairs: DataFrame, places: DataFrame, h: float, method: str, d
 
 def _linked(places: DataFrame, pairs: DataFrame, h: float, method: str, dist_adj: float, elev_adj: float) -> DataFrame:
     """(node, cluster) of the places that are in a cluster with others; ``pairs(u, v, d)`` are those up to the cut."""
+    if pairs.isEmpty():
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("cluster"))
     roots = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")))
     if method == "single":
         return roots.withColumnRenamed("root", "cluster")
@@ -191,7 +193,9 @@ def _linked(places: DataFrame, pairs: DataFrame, h: float, method: str, dist_adj
         else:
             done = []
         open_pairs = scratch.cut(rooted.select("u", "v", "d"))
-        if method == "complete":
+        if open_pairs.isEmpty():
+            rounds = []
+        elif method == "complete":
             rounds = _complete_merges(open_pairs, scratch)
         else:
             rounds = _summed_merges(open_pairs, places.join(known.select("node"), "node", "left_semi"), h, method, dist_adj, elev_adj, scratch)
