@@ -57,3 +57,14 @@ def without_keys(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     found = _marked(rows, key, gone)
     stay = found.where("_met").join(gone, key, "left_anti")
     return found.where("not _met").unionByName(stay).drop("_met")
+
+
+def flagged(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether ``key`` is in the column ``key`` of ``wanted``, which has no key twice.
+
+    Only those that may be in it are shuffled.
+    """
+    found = _marked(rows, key, wanted)
+    known = found.where("_met").drop("_met").join(wanted.select(key, F.lit(True).alias(name)), key, "left")
+    return (found.where("not _met").drop("_met").withColumn(name, F.lit(False))
+            .unionByName(known.withColumn(name, F.coalesce(F.col(name), F.lit(False)))))

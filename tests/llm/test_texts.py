@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -49,6 +51,53 @@ def test_quality_keeps_what_resembles_trusted_text(spark, no_docs):
     assert all(r.kept != r.base_failed for r in quality.quality(docs, labels.where("false")).collect())
 
 
+def plain_scores(texts, copies, trusted):
+    """Mean log ratio of each text; text i occurs copies[i] times, trusted[i] of them are trusted."""
+    def cells(text):
+        c = [zlib.crc32(w.encode()) for w in words(text)]
+        return [x % quality.BUCKETS for x in c] + [(x * 31 + y + 7) % quality.BUCKETS for x, y in zip(c, c[1:])]
+    raw, good = collections.Counter(), collections.Counter()
+    for text, n, g in zip(texts, copies, trusted):
+        for cell in cells(text):
+            raw[cell] += n
+            good[cell] += g
+    share = lambda c, cell: math.log((c[cell] + 1) / (sum(c.values()) + quality.BUCKETS))
+    llr = {cell: round((share(good, cell) - share(raw, cell)) * 1e6) for cell in raw}
+    return [sum(llr[c] for c in cells(t)) / (len(cells(t)) * 1e6) for t in texts]
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_quality_is_fitted_on_all_trusted_documents(spark, broadcast):
+    # 24,000 trusted documents; text 1 is that of the 4,000 with the largest hashes, text 2 of 500 raw documents.
+    texts = [" ".join(f"{kind}{i}" for i in range(50)) for kind in ("plain", "late", "junk")]
+    ranked = sorted(range(24_000), key=lambda i: zlib.crc32(str(i).encode()))
+    late = spark.createDataFrame([(i,) for i in ranked[20_000:]], "doc_id long").withColumn("late", F.lit(1))
+    pick = F.when(F.col("doc_id") >= 24_000, 2).otherwise(F.coalesce("late", F.lit(0)))
+    docs = spark.range(24_500).withColumnRenamed("id", "doc_id").join(late, "doc_id", "left").select(
+        "doc_id", F.get(F.array(*map(F.lit, texts)), pick).alias("text"))
+    labels = spark.range(24_000).select(F.col("id").cast("int").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = quality.quality(docs, labels).groupBy("score", "kept").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scores = plain_scores(texts, [20_000, 4_000, 500], [20_000, 4_000, 0])
+    assert sorted((r["count"], r.score, r.kept) for r in got) == [
+        (500, pytest.approx(scores[2]), False), (4_000, pytest.approx(scores[1]), True), (20_000, pytest.approx(scores[0]), True)]
+
+
+def test_threshold_is_exact(spark):
+    values = list(np.random.default_rng(3).normal(0, 1, 1999)) + [0.25] * 1002
+    df = spark.createDataFrame([(float(v), i) for i, v in enumerate(values)], "score double, doc_id long").repartition(5)
+    for share in (0.0, 0.002, 0.3337, 1.0):
+        assert quality.least_score(df, share) == pytest.approx(2 * np.quantile(values, share) - np.median(values), rel=1e-12)
+    # Between two equal scores the threshold is that score; rounding must not lift it above.
+    same = df.withColumn("score", F.lit(-0.1))
+    assert {quality.least_score(same.where(f"doc_id < {n}"), p) for n in (1, 2, 6, 3000) for p in (0.002, 0.1, 0.7)} == {-0.1}
+    assert quality.least_score(df.where("false")) is None
+
+
 def plain_fingerprint(text):
     w = words((text or "").translate(LOWER))
     grams = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
