@@ -13,4 +13,4 @@ def close_pair_study(stations: DataFrame, obs: DataFrame, max_km: float = 30, ma
     """Correlation of all close pairs of stations with data, by distance class."""
     observed = rules.semi(stations, obs, ["ID"]).where(F.col("ELEVATION").isNotNull())
     pairs = spatial.close_pairs(observed, max_km, max_delev)
-    return correlation.classed(correlation.pair_correlation(pairs, obs), min_n)
+    return correlation.classed(correlation.pair_correlation(pairs, obs, places=observed), min_n)
