@@ -286,3 +286,32 @@ def test_training_rows_by_growing_radius_equal_those_of_all_distances(spark):
     assert set(got) == want and len(got) == len(want)
     nearest = {tuple(x) for x in regional.nearest_rows(far, "ID", 7).select("region_id", "ID").collect()}
     assert {tuple(x) for x in regional.training_rows(df, table, "ID", 0, 7, need_inside=False).collect()} == nearest and len(nearest) == 21
+
+
+def test_radius_means_take_the_smallest_radius_of_each_variable(spark):
+    r = np.random.default_rng(6)
+    cells = [(float(x), float(y), float(x * y) if x % 3 else None, float(x + y) if x > 45 else None) for x in range(40, 50) for y in range(40, 50)]
+    grid_table = spark.createDataFrame(cells, "x double, y double, a double, b double")
+    places = np.column_stack([r.uniform(40, 50, 60), r.uniform(40, 50, 60), np.zeros(60)])
+    df = points(spark, np.vstack([places, places[:5], [[-100, 10, 0]]]))
+    got = {p.ID: (p.a, p.b) for p in grid.radius_means(df, grid_table, ["a", "b"], [400000, 60000, 130000]).collect()}
+    assert len(got) == 66 and got[65] == (None, None)
+    for i, p in enumerate(np.vstack([places, places[:5]])):
+        for k, v in ((2, got[i][0]), (3, got[i][1])):
+            want = None
+            for radius in (60, 130, 400):
+                near = [c[k] for c in cells if c[k] is not None and km(p[:2], c[:2]) <= radius]
+                if near:
+                    want = np.mean(near)
+                    break
+            assert v == (None if want is None else pytest.approx(want))
+
+
+def test_settled_places_do_not_meet_cells_of_larger_radii(spark, monkeypatch):
+    met = []
+    plain = grid.pairs_within
+    monkeypatch.setattr(grid, "pairs_within", lambda left, right, *a: met.append(left.count()) or plain(left, right, *a))
+    cells = spark.createDataFrame([(float(x), float(y), 1.0) for x in range(40, 50) for y in range(40, 50)], "x double, y double, a double")
+    df = points(spark, [(40.01, 40.01, 0), (45.01, 45.01, 0), (49.0, 51.5, 0)])
+    grid.radius_means(df, cells, ["a"], [10000, 400000]).count()
+    assert met == [3, 1]
