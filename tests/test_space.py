@@ -310,8 +310,26 @@ def test_radius_means_take_the_smallest_radius_of_each_variable(spark):
 def test_settled_places_do_not_meet_cells_of_larger_radii(spark, monkeypatch):
     met = []
     plain = grid.pairs_within
-    monkeypatch.setattr(grid, "pairs_within", lambda left, right, *a: met.append(left.count()) or plain(left, right, *a))
+    monkeypatch.setattr(grid, "pairs_within", lambda left, right, *a, **k: met.append(left.count()) or plain(left, right, *a, **k))
     cells = spark.createDataFrame([(float(x), float(y), 1.0) for x in range(40, 50) for y in range(40, 50)], "x double, y double, a double")
     df = points(spark, [(40.01, 40.01, 0), (45.01, 45.01, 0), (49.0, 51.5, 0)])
     grid.radius_means(df, cells, ["a"], [10000, 400000]).count()
     assert met == [3, 1]
+
+
+def test_nearest_cell_near_and_far_from_the_grid(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    cells = [(i // 20, i % 20, 170.0 + i % 20, -10.0 + i // 20, float(i) if i % 4 else None) for i in range(400)]  # across the date line
+    table = spark.createDataFrame(cells, "row long, col long, x double, y double, v double")
+    places = np.vstack([np.column_stack([r.uniform(171, 188, 80), r.uniform(-9, 8, 80), np.zeros(80)]),
+                        [[0, 89, 0], [10, -60, 0], [-170.3, 4.1, 0], [171.5, 0.5, 0]]])
+    df = points(spark, np.vstack([places, places[:9]])).union(spark.createDataFrame([(500, None, 1.0, 1.0)], "ID long, LONGITUDE double, LATITUDE double, ELEVATION double"))
+    descended, plain = [], grid.nearest
+    monkeypatch.setattr(grid, "nearest", lambda p, *a, **k: descended.append(p.count()) or plain(p, *a, **k))
+    rows = grid.nearest_cell(df, table, ["v"]).collect()
+    got = {p.ID: p.v for p in rows}
+    assert len(rows) == len(got) == 94 and got[500] is None
+    assert descended and 1 <= descended[0] <= 2  # the others have a cell at hand
+    for i, p in enumerate(np.vstack([places, places[:9]])):
+        far = [round(km(p[:2], c[2:4]), 7) for c in cells]
+        assert got[i] == min((d, c[0], c[1], c[4]) for d, c in zip(far, cells) if d == min(far))[3], i
