@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.operators import grid as grids
 from firnline.operators import spatial
+from firnline.session import cut_lineage
 
 VARIABLES = ("PPTWT", "MCMT", "MWMT", "TD", "MAT")
 # Areas in km2 that tell the mainland from islands and oceans, and large lakes.
@@ -37,6 +38,7 @@ def covariates(stations: DataFrame, fine, second, third, coarse, variables=VARIA
     out = grids.bilinear(stations, *fine, variables)
     for layer in (second, third):
         out = grids.fill_from(out, grids.bilinear(stations, *layer, variables), id, variables, key)
+    out = cut_lineage(out)  # read several times from here on
     lost = out.where(F.col(key).isNull())
     last = grids.nearest_cell(lost.drop(*variables), coarse, variables)
     if "dist2coast" in stations.columns:
